@@ -1,0 +1,110 @@
+"""State that depends on the data itself: sliding windows over segments and caption phrases.
+
+Each is a chain in which the next start follows from the last, so it is one linear pass over a medium's rows: an Arrow function on
+arrays returns where windows or phrases begin and end, and everything else stays in built-in expressions.
+"""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def window_bounds(start: np.ndarray, end: np.ndarray, target: int, overlap: float, longest: int, shortest: int) -> list:
+    """(first, last) segment of each window: from i to the first segment that fills the target; the next begins where the
+    overlap does. Windows longer than the cap lose segments at their end; short or nearly repeated ones are left out."""
+    n, out, last, i = len(start), [], None, 0
+    while i < n:
+        j = i
+        while j < n - 1 and end[j] - start[i] < target:
+            j += 1
+        if end[j] - start[i] < min(target, shortest) and out:
+            break  # a scrap at the end, which the overlap has covered
+        k = j
+        while k > i and end[k] - start[i] > longest:
+            k -= 1
+        span = (start[i], end[k])
+        same = last is not None and max(0, min(last[1], span[1]) - max(last[0], span[0])) > 0.9 * (max(last[1], span[1]) - min(last[0], span[0]))
+        if not same and not (span[1] - span[0] < shortest and out):
+            out.append((i, k))
+            last = span
+        step, k = start[i] + target * (1 - overlap), i
+        while k < j and end[k] <= step:
+            k += 1
+        i = max(k, i + 1)
+    return out
+
+
+def windows(segments: DataFrame, target_ms: int = 45_000, overlap: float = 0.5, longest_ms: int = 90_000, shortest_ms: int = 15_000) -> DataFrame:
+    """Windows over segments (media_id, seg_id, text, start_ms, end_ms, n_words)."""
+
+    @F.pandas_udf("array<struct<lo:int,hi:int>>")
+    def bounds(s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": a, "hi": b} for a, b in window_bounds(x, y, target_ms, overlap, longest_ms, shortest_ms)] for x, y in zip(s, e)])
+
+    order = Window.partitionBy("media_id").orderBy("start_ms", "seg_id")
+    numbered = segments.withColumn("pos", F.row_number().over(order) - 1)
+    lists = numbered.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "text", "n_words", "seg_id"))).alias("x"))
+    part = lambda name: F.transform("x", lambda v: v[name])
+    found = lists.select("media_id", "x", F.posexplode(bounds(part("start_ms"), part("end_ms"))).alias("index", "w"))
+    inside = found.select("media_id", "index", F.slice("x", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + 1).alias("x"))
+    first, last = F.col("x")[0], F.element_at("x", F.lit(-1))
+    return inside.select(
+        "media_id", F.format_string("chunk-%05d", F.col("index")).alias("chunk_id"), F.col("index").alias("w_index"),
+        F.array_join(part("text"), " ").alias("text"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"),
+        F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v["n_words"]).alias("n_words"), first["seg_id"].alias("first_seg"), last["seg_id"].alias("last_seg"),
+    )
+
+
+def phrase_starts(words: list, most_words: int = 4, most_chars: int = 24) -> list:
+    """1 where a word opens a caption phrase."""
+    out, held, chars = [], 0, 0
+    for w in words:
+        opens = held == 0 or held >= most_words or chars + len(w) + 1 > most_chars
+        if opens:
+            held = chars = 0
+        out.append(int(opens))
+        held, chars = held + 1, chars + len(w) + 1
+        if w.endswith((".", "!", "?")) and held >= 2:
+            held = 0
+    return out
+
+
+def caption_phrases(words: DataFrame) -> DataFrame:
+    """Words with the phrase they are shown in: media_id, w_idx, word, start_ms, end_ms, phrase, place, phrase_end_ms."""
+
+    @F.pandas_udf("array<int>")
+    def starts(w: pd.Series) -> pd.Series:
+        return pd.Series([phrase_starts(list(x)) for x in w])
+
+    lists = words.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "w_idx", "word"))).alias("x"))
+    rows = lists.select("media_id", F.explode(F.arrays_zip(F.col("x"), starts(F.transform("x", lambda v: v["word"])).alias("opens"))).alias("z")).select("media_id", "z.x.*", "z.opens")
+    w = Window.partitionBy("media_id").orderBy("start_ms", "end_ms", "w_idx").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("phrase", F.sum("opens").over(w)).drop("opens")
+    inside = Window.partitionBy("media_id", "phrase").orderBy("start_ms", "end_ms", "w_idx")
+    return numbered.select("*", F.row_number().over(inside).alias("place"), F.max("end_ms").over(Window.partitionBy("media_id", "phrase")).alias("phrase_end_ms"))
+
+
+def caption_slots(phrases: DataFrame, shortest_ms: int = 130) -> DataFrame:
+    """Highlight slots that tile each phrase: a word holds until the next begins; slots too short to see join the one before, a short first one the next."""
+    item = F.struct("place", "start_ms", "end_ms", "word")
+    lists = phrases.groupBy("media_id", "phrase").agg(F.array_sort(F.collect_list(item)).alias("x"), F.max("phrase_end_ms").alias("until"))
+    slot = "array<struct<s:bigint,e:bigint,active:int>>"
+
+    def step(acc, i):
+        cursor = F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["e"]).otherwise(F.col("x")[0]["start_ms"].cast("long"))
+        end = F.greatest(F.coalesce(F.get(F.col("x"), i + 1)["start_ms"], F.col("until")).cast("long"), cursor)
+        last = F.try_element_at(acc, F.lit(-1))
+        new = F.struct(cursor.alias("s"), end.alias("e"), i.cast("int").alias("active"))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e"), last["active"].alias("active"))))
+        return F.when((end - cursor < shortest_ms) & (F.size(acc) > 0), longer).otherwise(F.concat(acc, F.array(new)))
+
+    slots = F.aggregate(F.sequence(F.lit(0), F.size("x") - 1), F.array().cast(slot), step)
+    short = (F.size("slots") > 1) & (F.col("slots")[0]["e"] - F.col("slots")[0]["s"] < shortest_ms)
+    second = F.get("slots", F.lit(1))
+    given = F.concat(F.array(F.struct(F.col("slots")[0]["s"].alias("s"), second["e"].alias("e"), second["active"].alias("active"))), F.slice("slots", 3, F.greatest(F.size("slots") - 2, F.lit(0))))
+    rows = lists.withColumn("slots", slots).withColumn("slots", F.when(short, given).otherwise(F.col("slots")))
+    text = F.array_join(F.transform("x", lambda v: v["word"]), " ")
+    return rows.select("media_id", "phrase", text.alias("text"), F.size("slots").alias("n"), F.posexplode("slots").alias("k", "z")).select(
+        "media_id", "phrase", "text", F.col("z.s").alias("start_ms"), F.col("z.e").alias("end_ms"), F.col("z.active").alias("active"), (F.col("k") == 0).alias("is_first"), (F.col("k") == F.col("n") - 1).alias("is_last")
+    )
