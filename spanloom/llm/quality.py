@@ -77,7 +77,7 @@ def _fit(frames):
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights of 2^18 buckets and the intercept. The sample is bounded, so one task fits it and the driver gets at most 2 MB."""
-    rows = training_rows(docs, labels, target, sample).coalesce(1)
+    rows = training_rows(docs, labels, target, sample).repartition(1)  # the scan stays parallel; only the sample meets
     w = np.zeros((1 << BITS) + 1)
     for r in rows.mapInPandas(_fit, "i long, w double").toLocalIterator():
         w[r["i"]] = r["w"]
