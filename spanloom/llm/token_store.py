@@ -31,6 +31,7 @@ from spanloom.llm.word_ids import encoder
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 WINDOW, MASK, SHORTEST, LONGEST = 8, 255, 64, 2048
 _HASH = 16
+BATCH = 512  # documents encoded between two outputs of a task
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -50,9 +51,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
     if n <= SHORTEST:
         return [n] if n else []
     g = _GEAR[ids] if ids.max() < len(_GEAR) else _gear(ids)
-    h = g.copy()
-    for k in range(1, WINDOW):
-        h[k:] += g[:-k] << np.uint64(k)
+    h, k = g, 1
+    while k < WINDOW:  # sums over 1, 2, 4, ... ids: each is two of the last kind
+        wider = h.copy()
+        wider[k:] += h[:-k] << np.uint64(k)
+        h, k = wider, 2 * k
     marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1
     ends, at, m = [], 0, 0
     while n - at > SHORTEST:
@@ -78,7 +81,7 @@ def _split(tokenizer: str, end_id: int):
         words, sent = encoder(tokenizer), set()
         narrow = words.library.get_vocab_size() <= 1 << 16
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.frombuffer(words.encode(text) + end, dtype="<u4")
