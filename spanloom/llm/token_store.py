@@ -16,11 +16,13 @@ same identifier keep their own recipes next to each other; null identifiers come
 
 from __future__ import annotations
 
+from functools import cache
 from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,13 +110,13 @@ def _once(batches):
     """Of the rows of a partition, every recipe and the first row of each chunk; a partition holds all rows of its chunks."""
     seen = set()
     for batch in batches:
-        keep = []
-        for kind, name in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist()):
-            fresh = kind == "doc" or name not in seen
-            if fresh and kind == "chunk":
+        recipe = pc.equal(batch.column("kind"), "doc").to_pylist()
+        keep = list(recipe)
+        for i, (doc, name) in enumerate(zip(recipe, batch.column("name").to_pylist())):
+            if not doc and name not in seen:
                 seen.add(name)
-            keep.append(fresh)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+                keep[i] = True
+        yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _number(batches):
@@ -193,7 +195,13 @@ class CrcJoin:
         m = _square(_square(_square(one_bit)))  # one byte
         self.tables = []
         for _ in range(40):
-            self.tables.append([[_times(m, b << (8 * k)) for b in range(256)] for k in range(4)])
+            tables = []
+            for k in range(4):
+                t = [0] * 256
+                for b in range(1, 256):  # linear: the lowest bit's column and the rest
+                    t[b] = t[b & (b - 1)] ^ m[8 * k + (b & -b).bit_length() - 1]
+                tables.append(t)
+            self.tables.append(tables)
             m = _square(m)
 
     def join(self, crc: int, more: int, n_bytes: int) -> int:
@@ -207,8 +215,13 @@ class CrcJoin:
         return crc ^ more
 
 
+@cache
+def _joiner() -> CrcJoin:
+    return CrcJoin()
+
+
 def _rebuild(batches):
-    joiner = CrcJoin()
+    joiner = _joiner()
     for batch in batches:
         crcs, tokens, fine = [], [], []
         for parts, root, want in zip(*(batch.column(c).to_pylist() for c in ("parts", "root", "n_tokens"))):
