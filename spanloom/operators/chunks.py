@@ -6,9 +6,11 @@ arrays returns where windows or phrases begin and end, and everything else stays
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.intervals import overlapping
+
 
 def window_bounds(start: np.ndarray, end: np.ndarray, target: int, overlap: float, longest: int, shortest: int) -> list:
     """(first, last) segment of each window: from i to the first segment that fills the target; the next begins where the
@@ -108,3 +110,76 @@ def caption_slots(phrases: DataFrame, shortest_ms: int = 130) -> DataFrame:
     return rows.select("media_id", "phrase", text.alias("text"), F.size("slots").alias("n"), F.posexplode("slots").alias("k", "z")).select(
         "media_id", "phrase", "text", F.col("z.s").alias("start_ms"), F.col("z.e").alias("end_ms"), F.col("z.active").alias("active"), (F.col("k") == 0).alias("is_first"), (F.col("k") == F.col("n") - 1).alias("is_last")
     )
+
+
+SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")  # fixed values, tried in this order
+
+
+def split_text(text: str, size: int = 2400, overlap: int = 200, separators: tuple = SEPARATORS) -> list:
+    """(from, to) of pieces of at most `size` characters that share up to `overlap`, cut before the coarsest separators that do."""
+
+    def parts(lo: int, hi: int, seps: tuple) -> list:
+        """Smallest units: none is as long as a piece unless it holds no separator."""
+        if hi - lo < size or not seps:
+            return [(lo, hi)]
+        at = [lo]
+        while (k := text.find(seps[0], at[-1] + 1, hi)) >= 0:
+            at.append(k)
+        return [u for a, b in zip(at, [*at[1:], hi]) for u in parts(a, b, seps[1:])]
+
+    units, out, i = parts(0, len(text), separators), [], 0
+    while i < len(units):
+        j = i
+        while j + 1 < len(units) and units[j + 1][1] - units[i][0] <= size:
+            j += 1
+        out.append((units[i][0], units[j][1]))
+        k = j + 1
+        while k < len(units) and k - 1 > i and units[j][1] - units[k - 1][0] <= overlap and units[j + 1][1] - units[k - 1][0] <= size:
+            k -= 1
+        i = k
+    return out
+
+
+def split_long(words: DataFrame, size: int = 2400, overlap: int = 200) -> DataFrame:
+    """Texts of media that are longer than `size` in pieces (media_id, piece, first_word, last_word, start_ms, end_ms): words are found by their characters."""
+
+    @F.pandas_udf("array<struct<lo:int,hi:int>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": a, "hi": b} for a, b in split_text(t, size, overlap)] for t in texts])
+
+    w = Window.partitionBy("media_id").orderBy("w_idx")
+    before = F.coalesce(F.sum(F.length("word") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = words.select("media_id", "w_idx", "word", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), before.alias("start_ms")).withColumn("end_ms", F.col("start_ms") + F.length("word"))
+    texts = words.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_idx", "word"))), lambda x: x["word"]), " ").alias("text")).where(F.length("text") > size)
+    cut = texts.select("media_id", F.posexplode(pieces("text")).alias("id", "p")).select("media_id", "id", F.col("p.lo").cast("long").alias("start_ms"), F.col("p.hi").cast("long").alias("end_ms"))
+    held = overlapping(cut, placed.drop("word"), size)
+    return held.groupBy("l.media_id", F.col("l.id").alias("piece")).agg(F.min("r.w_idx").alias("first_word"), F.max("r.w_idx").alias("last_word"), F.min("r.s").alias("start_ms"), F.max("r.e").alias("end_ms"))
+
+
+def wrapped(words: Column, most: Column, width=F.length) -> Column:
+    """An array of words as lines (arrays of places) whose text is at most `most` wide; a word that is wider has a line of its own."""
+    lines = "array<array<int>>"
+    text = lambda line: F.array_join(F.transform(line, lambda i: F.get(words, i)), " ")
+
+    def step(acc, i):
+        last = F.get(acc, F.size(acc) - 1)
+        fits = (F.size(acc) > 0) & (width(text(F.concat(last, F.array(i)))) <= most)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.array(i))))).otherwise(F.concat(acc, F.array(F.array(i)))).cast(lines)
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.array().cast(lines), step)
+
+
+def enable_windows(events: DataFrame, height: int = 1920, margin: float = 0.16) -> DataFrame:
+    """Caption pictures (media_id, start_ms, end_ms, height) laid over one another, each in its own time: one filter chain a medium."""
+    e = F.col("x")
+    lists = events.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "height"))).alias("x"))
+    seconds = lambda c: F.format_string("%.3f", (c / 1000).cast("double"))
+    label = lambda i: F.when(i + 1 == F.size(e), F.lit("out")).otherwise(F.concat(F.lit("cap"), i.cast("string")))
+
+    def part(v, i):
+        source = F.when(i == 0, F.lit("in")).otherwise(F.concat(F.lit("cap"), (i - 1).cast("string")))
+        y = F.greatest(F.lit(0), F.lit(height - int(height * margin)) - v["height"]).cast("string")
+        return F.concat(F.lit("["), source, F.lit("]["), (i + 1).cast("string"), F.lit(":v]overlay=x=(W-w)/2:y="), y, F.lit(":enable='between(t,"), seconds(v["start_ms"]), F.lit(","), seconds(v["end_ms"]), F.lit(")'["), label(i), F.lit("]"))
+
+    return lists.select("media_id", F.array_join(F.transform(e, part), ";").alias("chain"))

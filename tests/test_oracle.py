@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from spanloom.plans import queries as plans
+from spanloom.plans import queries as plans  # the package registers all modules
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
