@@ -1,18 +1,20 @@
 """Clips from spans: edges snapped within length limits, a setup put in front, exclusions cut out.
 
-A span gets the words around it as one array, by a join on time buckets; what follows are column expressions on that array, so
-cuts that depend on earlier cuts cost no further shuffle. The array is as long as a clip and its reach allow, whatever the
+A span gets the words around it as one array, by a join on time buckets; a small Arrow helper
+places the two edges of a span on it, since each cut depends on the one before; all else are column expressions. The array is as long as a clip and its reach allow, whatever the
 medium's length. Times stay fractional until the end.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.operators.intervals import overlapping
-from spanloom.operators.snapping import INSIDE, cut_score
+from spanloom.operators.snapping import CLAUSE, CRAMPED, EXTEND, INSIDE, SENTENCE, SILENCE, SILENCE_MS, TRUNCATE
 from spanloom.operators.transcript import MIN_PAUSE_MS
 
 LEAD_MS, TAIL_MS, EXTEND_MS, TRUNCATE_MS, COLLAPSED_MS, RESNAP_MS = 250, 600, 10_000, 1500, 500, 3000
@@ -23,66 +25,82 @@ SPANS = "array<struct<s:double,e:double>>"
 
 
 def nearby(words: DataFrame, spans: DataFrame, grow_ms: int = MIN_MS, reach_ms: int = REACH_MS) -> DataFrame:
-    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e]) with `words` around them, the pauses between those, and the medium's length."""
+    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e]) with `words` around them and the medium's length."""
     first = F.least("start_ms", "setup_s") if "setup_s" in spans.columns else F.col("start_ms")
     around = spans.select("media_id", "id", F.greatest(first.cast("long") - reach_ms, F.lit(0)).alias("start_ms"), (F.greatest(F.col("end_ms"), F.col("start_ms") + grow_ms) + reach_ms).cast("long").alias("end_ms"))
     said = words.select("media_id", "w_idx", "start_ms", "end_ms", C.ends_sentence(F.col("word")).alias("sent"), (C.ends_sentence(F.col("word")) | C.ends_clause(F.col("word"))).alias("clause"))
     word = F.struct(F.col("r.start_ms").cast("double").alias("s"), F.col("r.w_idx").alias("i"), F.col("r.end_ms").cast("double").alias("e"), "r.sent", "r.clause")
     lists = overlapping(around, said).groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(word)).alias("words"))
     length = words.groupBy("media_id").agg(F.max("end_ms").cast("double").alias("length_ms"))
-    rows = spans.join(lists, ["media_id", "id"]).join(length, "media_id")
-    gap = lambda w, i: F.struct(w["e"].alias("a"), F.get("words", i + 1)["s"].alias("b"), w["sent"].alias("sent"), w["clause"].alias("clause"))
-    gaps = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), gap)
-    return rows.withColumn("pauses", F.filter(gaps, lambda p: p["sent"] | (p["b"] - p["a"] >= MIN_PAUSE_MS)))
-
-
-def edge(rows: DataFrame, name: str, target: Column, at_start: bool, pad_ms: float, limit: Column, extend_ms: int = EXTEND_MS, truncate_ms: int = TRUNCATE_MS) -> DataFrame:
-    """Rows with column `name`: the target moved to the pause in reach that scores best, or held where nothing beats its place."""
-    lo, hi = (-extend_ms, truncate_ms) if at_start else (-truncate_ms, extend_ms)
-    t = F.col("_t")
-    rows = rows.withColumn("_t", target.cast("double"))
-    rows = rows.select(
-        "*",
-        F.get(F.filter("words", lambda w: (w["s"] < t) & (w["e"] > t)), F.lit(0)).alias("_in"),
-        F.array_max(F.transform(F.filter("words", lambda w: w["e"] <= t), lambda w: F.struct(w["e"].alias("e"), w["sent"].alias("sent"), w["clause"].alias("clause")))).alias("_prev"),
-        F.array_min(F.transform(F.filter("words", lambda w: w["s"] >= t), lambda w: w["s"])).alias("_next"),
-    )
-    split = F.col("_in").isNotNull()
-    a = F.when(split, t).otherwise(F.coalesce("_prev.e", t))
-    b = F.greatest(a, F.when(split, t).otherwise(F.coalesce("_next", t)))
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) & ~split
-    stay = F.round(cut_score(a, b, yes("_prev.sent"), yes("_prev.clause"), split | (~yes("_prev.sent") & (b - a < MIN_PAUSE_MS)), t, at_start), 9)
-    side = "b" if at_start else "a"
-    near = F.filter("pauses", lambda p: (p[side] - t).between(lo, hi))
-    rated = lambda p: F.struct(F.round(cut_score(p["a"], p["b"], p["sent"], p["clause"], F.lit(False), t, at_start), 9).alias("score"), (-p["a"]).alias("o"), p["a"].alias("a"), p["b"].alias("b"))
-    rows = rows.withColumn("_best", F.array_max(F.transform(near, rated))).withColumn("_stay", stay)
-    moves = F.coalesce(F.col("_best.score") >= F.col("_stay"), F.lit(False))
-    inside = F.least(F.lit(float(pad_ms)), INSIDE * (F.col("_best.b") - F.col("_best.a")))
-    if at_start:
-        cut = F.when(moves, F.greatest(F.col("_best.b") - inside, limit)).when(split, F.greatest("_in.s", limit)).otherwise(F.greatest(t - pad_ms, F.coalesce("_prev.e", limit), limit))
+    return spans.join(lists, ["media_id", "id"]).join(length, "media_id")
+
+
+def points(a, b, sentence, clause, cramped, t: float, at_start: bool):
+    """The score of `snapping.cut_score` for arrays of gaps."""
+    moved = (b if at_start else a) - t
+    dear = moved > 0 if at_start else moved < 0
+    base = np.where(sentence, SENTENCE, np.where(clause, CLAUSE, 0.0))
+    return np.round(base + SILENCE * np.minimum(b - a, SILENCE_MS) / 1000 - CRAMPED * cramped - np.where(dear, TRUNCATE, EXTEND) * np.abs(moved) / 1000, 9)
+
+
+def cut_at(words: tuple, t: float, at_start: bool, pad: float, limit: float, extend: float = EXTEND_MS, truncate: float = TRUNCATE_MS) -> float:
+    """Where a cut at t goes: to the pause in reach that scores best, or it holds where nothing beats its place. words: starts, ends, terminators, clause ends."""
+    ws, we, sent, clause = words
+    a, b = we[:-1], ws[1:]
+    lo, hi = (-extend, truncate) if at_start else (-truncate, extend)
+    near = (sent[:-1] | (b - a >= MIN_PAUSE_MS)) & ((b if at_start else a) - t >= lo) & ((b if at_start else a) - t <= hi)
+    spoken, past, later = np.flatnonzero((ws < t) & (we > t)), we <= t, ws >= t
+    before = we[past].max() if past.any() else None
+    after = ws[later].min() if later.any() else None
+    if len(spoken):
+        stay = points(t, t, False, False, 1, t, at_start)
     else:
-        word = F.when(F.col("_in.e") <= limit, F.col("_in.e")).otherwise(F.greatest("_in.s", F.lit(0.0)))
-        cut = F.when(moves, F.least(F.col("_best.a") + inside, limit)).when(split, word).otherwise(F.least(t + pad_ms, F.coalesce("_next", limit), limit))
-    return rows.withColumn(name, cut.cast("double")).drop("_t", "_in", "_prev", "_next", "_best", "_stay")
+        x = t if before is None else before
+        y = max(x, t if after is None else after)
+        s, c = (bool(k[we == before].any()) if before is not None else False for k in (sent, clause))
+        stay = points(x, y, s, s or c, int(not s and y - x < MIN_PAUSE_MS), t, at_start)
+    if near.any():
+        a, b = a[near], b[near]
+        rated = points(a, b, sent[:-1][near], clause[:-1][near], 0, t, at_start)
+        k = int(rated.argmax())
+        if rated[k] >= stay:
+            inside = min(pad, INSIDE * (b[k] - a[k]))
+            return max(b[k] - inside, limit) if at_start else min(a[k] + inside, limit)
+    if len(spoken):
+        i = spoken[0]
+        return max(ws[i], limit) if at_start else we[i] if we[i] <= limit else max(ws[i], 0.0)
+    if at_start:
+        return max(t - pad, limit if before is None else before, limit)
+    return min(t + pad, limit if after is None else after, limit)
+
+
+def snap_one(words: tuple, s: float, e: float, length: float, min_ms: float | None, max_ms: float | None) -> tuple:
+    """Both edges of a span: a collapsed span keeps its place, one over the longest ends at a cut before its limit, one under the least runs on to a cut."""
+    a, b = cut_at(words, s, True, LEAD_MS, 0.0), cut_at(words, e, False, TAIL_MS, length)
+    if b - a < COLLAPSED_MS:
+        a, b = s, max(e, s + COLLAPSED_MS)
+    if max_ms is not None and b - a > max_ms:
+        b = cut_at(words, a + max_ms, False, 0.0, a + max_ms, 0, max(TRUNCATE_MS, RESNAP_MS))
+    if min_ms is not None and b - a < min_ms:
+        b = cut_at(words, min(a + min_ms, length), False, TAIL_MS, length, max(EXTEND_MS, RESNAP_MS), 0)
+    return float(np.round(a)), float(np.round(b))
 
 
 def snap_within(rows: DataFrame, s: str, e: str, min_ms: float | None = None, max_ms: float | None = None) -> DataFrame:
-    """Rows with columns s and e snapped: a collapsed span keeps its place, one over the longest ends at a cut before its limit, one under the
-    least runs on to a cut. Rows without s stay without."""
-    rows = edge(rows, "_s", F.col(s), True, LEAD_MS, F.lit(0.0))
-    rows = edge(rows, "_e", F.col(e), False, TAIL_MS, F.col("length_ms"))
-    fell = F.col("_e") - F.col("_s") < COLLAPSED_MS
-    rows = rows.withColumn("_fell", fell).withColumn("_s", F.when(F.col("_fell"), F.col(s)).otherwise(F.col("_s")))
-    rows = rows.withColumn("_e", F.when(F.col("_fell"), F.greatest(F.col(e), F.col(s) + COLLAPSED_MS)).otherwise(F.col("_e")))
-    if max_ms is not None:
-        top = F.col("_s") + float(max_ms)
-        rows = edge(rows, "_x", top, False, 0, top, 0, max(TRUNCATE_MS, RESNAP_MS))
-        rows = rows.withColumn("_e", F.when(F.col("_e") - F.col("_s") > max_ms, F.col("_x")).otherwise(F.col("_e")))
-    if min_ms is not None:
-        rows = edge(rows, "_x", F.least(F.col("_s") + float(min_ms), F.col("length_ms")), False, TAIL_MS, F.col("length_ms"), max(EXTEND_MS, RESNAP_MS), 0)
-        rows = rows.withColumn("_e", F.when(F.col("_e") - F.col("_s") < min_ms, F.col("_x")).otherwise(F.col("_e")))
+    """Rows with columns s and e moved to their best cuts; rows without s stay without."""
+
+    @F.pandas_udf("struct<s:double,e:double>")
+    def moved(ws: pd.Series, we: pd.Series, sent: pd.Series, clause: pd.Series, length: pd.Series, s: pd.Series, e: pd.Series) -> pd.DataFrame:
+        out = []
+        for *w, n, x, y in zip(ws, we, sent, clause, length, s, e):
+            lists = tuple(np.asarray(v, dtype=k) for v, k in zip(w, (float, float, bool, bool)))
+            out.append((None, None) if pd.isna(x) else snap_one(lists, x, y, n, min_ms, max_ms))
+        return pd.DataFrame(out, columns=["s", "e"], dtype=float)
+
+    part = lambda name: F.transform("words", lambda w: w[name])
+    rows = rows.withColumn("_m", moved(part("s"), part("e"), part("sent"), part("clause"), F.col("length_ms"), F.col(s), F.col(e)))
     there = F.col(s).isNotNull()
-    return rows.withColumns({s: F.when(there, F.round("_s")), e: F.when(there, F.round("_e"))}).drop("_s", "_e", "_x", "_fell")
+    return rows.withColumns({s: F.when(there, F.col("_m.s")), e: F.when(there, F.col("_m.e"))}).drop("_m")
 
 
 def without(spans: Column, ads: Column, least_ms: float = PIECE_MS) -> Column:
@@ -137,7 +155,7 @@ def compose(words: DataFrame, spans: DataFrame, excluded: DataFrame, min_ms: int
     main, setup = (F.array(F.struct(F.col(a).alias("s"), F.col(b).alias("e"))).cast(SPANS) for a, b in (("s", "e"), ("u", "v")))
     rows = rows.withColumn("whole", F.when(F.col("v") - F.col("u") >= SETUP_LEAST_MS, F.concat(setup, main)).otherwise(main))
     rows = rows.withColumn("left", F.when(F.coalesce("cleared", F.lit(False)), without(F.col("whole"), F.col("ads"))).otherwise(F.array().cast(SPANS)))
-    keep = ["media_id", "id", "words", "pauses", "length_ms", "ads", "whole"]
+    keep = ["media_id", "id", "words", "length_ms", "ads", "whole"]
     pieces = snap_within(rows.select(*keep, F.posexplode_outer("left").alias("k", "p")).select(*keep, "k", F.col("p.s").alias("s"), F.col("p.e").alias("e")), "s", "e", None, max_ms)
     listed = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("k", "s", "e"))))
     same = [F.first(c).alias(c) for c in keep[2:]]  # equal in all pieces of a span

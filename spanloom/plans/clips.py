@@ -104,7 +104,7 @@ def q_refine(spark, sf_dir):
 
 @query(
     f"""WITH cand AS ({SQL['q_multi_probe']}), r AS (SELECT id, retrieval_score, CASE WHEN id % 4 <> 0 THEN least(100, greatest(0, id * 37 % 131 - 10)) END AS v FROM cand)
-    SELECT id, CAST(v AS DOUBLE) AS virality, coalesce(round(CAST(0.75 AS DOUBLE) * CAST(v AS DOUBLE) + CAST(25 AS DOUBLE) * retrieval_score, 2), round(retrieval_score * 100, 2)) AS final_score, CASE WHEN v IS NULL THEN 'retrieval' ELSE 'model' END AS scored_by FROM r"""
+    SELECT id, CAST(v AS DOUBLE) AS virality, CAST(coalesce(round(0.75 * v + 25 * CAST(retrieval_score AS DECIMAL(10, 4)), 2), round(retrieval_score * 100, 2)) AS DOUBLE) AS final_score, CASE WHEN v IS NULL THEN 'retrieval' ELSE 'model' END AS scored_by FROM r"""
 )
 def q_score_final(spark, sf_dir):
     """Candidates and the replies of a stub model, a quarter of which is no JSON."""
