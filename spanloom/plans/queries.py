@@ -40,7 +40,7 @@ def _opens(text: str, words) -> str:
 
 
 MERGE = """SELECT media_id, CAST(min(start_ms) AS BIGINT) AS start_ms, CAST(max(end_ms) AS BIGINT) AS end_ms FROM (
-  SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {slack} THEN 0 ELSE 1 END AS fresh
   FROM {src})) GROUP BY media_id, island"""
 
