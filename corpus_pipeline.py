@@ -6,17 +6,23 @@ read again as the next one's docs. All but the last return the columns of `docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, packing, quality, simhash, toxicity
 from spanloom.llm.common import written
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of docs whose identifier is in keep, one row an identifier, with docs' own columns."""
-    names = keep.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(names, docs["doc_id"].eqNullSafe(names["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+def _name(digest: Column) -> Column:
+    """What tells rows apart: the digest of the text, of fixed length, and the identifier, which may be null."""
+    return F.concat_ws(" ", digest, F.col("doc_id").cast("string"))
+
+
+def _kept(docs: DataFrame, digest: Column, keep: DataFrame) -> DataFrame:
+    """Rows of docs that keep (doc_id, text_sha256) names, with docs' own columns; of rows with one name the smallest stays.
+    Rows are combined before they are dealt out, so many copies under one identifier don't meet in one task."""
+    rows = docs.select(_name(digest).alias("name"), F.struct(*docs.columns).alias("row")).groupBy("name").agg(F.min("row").alias("row"))
+    return rows.join(keep.select(_name(F.col("text_sha256")).alias("name")), "name", "left_semi").select("row.*")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +40,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return _kept(docs, F.sha2(exact_dedup.normalised(F.col("text")), 256), exact_dedup.exact_dedup(docs).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, simhash.near_duplicates(docs).where("doc_id <=> component_id"))
+    return _kept(docs, F.sha2(F.coalesce("text", F.lit("")), 256), simhash.near_kept(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

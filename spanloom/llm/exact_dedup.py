@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,11 +88,15 @@ def _join_edges(edges: list) -> list[tuple]:
     return fixes
 
 
+def normalised(c) -> Column:
+    """A text with white space runs as one space; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the text with white space runs as one space)."""
     spark = df.sparkSession
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    rows = df.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    rows = df.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", F.sha2("norm", 256))
     key = [F.substring("norm", 1, PREFIX), F.col("sha"), F.asc_nulls_last("doc_id")]
     sorted_rows = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(key[0], key[1], F.col("norm"), key[2])
     kind = rows.schema["doc_id"].dataType

@@ -180,3 +180,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """The row of each component of near copies that stays (doc_id, text_sha256): smallest identifier, null last, then the text's digest.
+    Fingerprints are the nodes here, so texts under one identifier, or under none, are rows of their own."""
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"))
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(fp.view(np.int64))], names=["doc_id", "sha", "fp"])
+
+    prints = docs.mapInArrow(run, f"doc_id {kind}, sha string, fp long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first")
+    distinct = written(prints.groupBy("fp").agg(first), "distinct-fingerprints")
+    found = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    named = distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("c"), "first")
+    return named.groupBy("c").agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.sha").alias("text_sha256"))

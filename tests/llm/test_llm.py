@@ -396,3 +396,19 @@ def test_pipeline(spark, sf, tmp_path):
             fp = {i: plain_fingerprint(t) for i, t in before.items()}
             assert kept == set(plain_components(sorted(fp), lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3).values())
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length").collect()} == {tuple(r) for r in docs.select("doc_id", "piece", "length").collect()}
+
+
+def test_pipeline_keeps_rows_by_identifier_and_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(300)) for _ in range(5))
+    near = next(t for w in a.split() if bin(plain_fingerprint(a) ^ plain_fingerprint(t := a.replace(w, "other"))).count("1") in (1, 2, 3))
+    rows = [(3, a, 0), (5, a, 1), (5, b, 1), (5, b, 2), (None, c, 1), (None, d, 1), (None, a, 1), (7, e, 1), (None, e.replace(" ", "  ", 1), 0), (3, near, 0), (None, near, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name int").repartition(3)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns
+    assert Counter(map(tuple, exact.collect())) == Counter([(3, a, 0), (5, b, 1), (None, c, 1), (None, d, 1), (7, e, 1), (3, near, 0)])
+    kept = Counter(tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    first = min((3, a), (3, near), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    assert kept == Counter([first, (5, b), (None, c), (None, d), (7, e)])
