@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates removed.
 
-Every element's subtree is hashed from its tag and what it holds; Spark counts the hashes for each host over distinct pages. A
-subtree that recurs on many pages of its host is template and is deleted wherever it stands on that host, unless it holds or
-lies in the article. Rules on tags and class names then remove menus, headers, footers, sidebars, notices, adverts,
+Every element's subtree is hashed from its tag and what it holds; Spark counts the hashes for each host over distinct pages,
+where pages that give the same text before any deletion are one page however often they are copied. A subtree that recurs on
+many distinct pages of its host is template and is deleted wherever it stands on that host, unless it is the page's html or
+body or holds or lies in the article. Rules on tags and class names then remove menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments, and the article's blocks are joined.
 
 Edge cases: null html and null url are empty; pages that repeat an identifier are pages of their own; a page without an article
@@ -123,7 +124,7 @@ class _Page:
         h = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace"))
         if self.stack:
             self.stack[-1][1].append(f"{h:x}")
-        if protected or tag in _INLINE:
+        if protected or tag in _INLINE or tag in ("html", "body"):
             return
         signed = h - (1 << 64) if h >> 63 else h
         self.hashes.add(signed)
@@ -144,18 +145,18 @@ def host(c):
 
 def _subtrees(batches):
     for batch in batches:
-        hosts, hashes = [], []
-        for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            got = _Page(source or "").hashes
-            hosts += [h] * (len(got) + 1)
-            hashes += [None, *got]  # null counts the page itself
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+        pages = [_Page(source or "") for source in batch.column("html").to_pylist()]
+        texts = [xxhash.xxh3_128_hexdigest(p.main_text().encode("utf-8", "replace")) for p in pages]
+        hashes = [sorted(p.hashes) for p in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(texts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on many pages of the host."""
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_subtrees, "host string, hash long")
-    counts = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
+    """(host, templates): hashes of the subtrees that recur on many distinct pages of the host."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_subtrees, "host string, content string, hashes array<long>")
+    distinct = rows.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
+    each = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("hashes"))).alias("hash"))  # null counts the page itself
+    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
     # each page has few subtrees, so those on a share of a host's pages are few: a row per host stays small
     per_host = counts.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("all"))
     return per_host.select("host", F.transform(F.filter("all", lambda x: x["n"] >= F.col("pages") * min_share), lambda x: x["hash"]).alias("templates")).where(F.size("templates") > 0)

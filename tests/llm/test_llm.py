@@ -412,3 +412,11 @@ def test_pipeline_keeps_rows_by_identifier_and_text(spark):
     kept = Counter(tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     first = min((3, a), (3, near), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
     assert kept == Counter([first, (5, b), (None, c), (None, d), (7, e)])
+
+
+def test_html_copies_keep_their_text(spark):
+    page = "<html><body><div>Same block</div><div><p>Copied words</p></div></body></html>"
+    rows = [(i, None if i % 2 else "odd", page) for i in range(9)] + [(20 + i, None, f"<head><title>{i}</title></head>" + page) for i in range(6)]
+    rows += [(50 + i, None, f"<body><div>Same block</div><div>Own words {i}</div></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: "Copied words" if i < 50 else f"Own words {i - 50}" for i, _, _ in rows}
