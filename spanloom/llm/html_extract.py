@@ -3,7 +3,8 @@
 Every element's subtree is hashed from its tag and what it holds; Spark counts the hashes for each host over distinct pages,
 where pages that give the same text before any deletion are one page however often they are copied. A subtree that recurs on
 many distinct pages of its host is template and is deleted wherever it stands on that host, unless it is the page's html or
-body or holds or lies in the article. Rules on tags and class names then remove menus, headers, footers, sidebars, notices, adverts,
+body or is or holds the article. Inside the article only boxes (div, section) can be template: paragraphs, headings, lists
+and quotes that recur there are content. Rules on tags and class names then remove menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments, and the article's blocks are joined.
 
 Edge cases: null html and null url are empty; pages that repeat an identifier are pages of their own; a page without an article
@@ -35,6 +36,8 @@ _BOILERPLATE = re.compile(
     re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: What can be template inside an article.
+_BOXES = frozenset(("div", "section"))
 _SPACE = re.compile(r"\s+")
 _P_ENDS = frozenset("p div ul ol li table section article main aside nav footer header form h1 h2 h3 h4 h5 h6 blockquote pre hr dl figure address fieldset".split())
 
@@ -46,13 +49,13 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class _Page:
-    """One pass over a page: its blocks, and the hashes of its subtrees outside the article."""
+    """One pass over a page: its blocks, and the hashes of its subtrees that can be template."""
 
     def __init__(self, source: str, templates: frozenset = frozenset()):
         self.templates, self.hashes = templates, set()
         self.blocks: list[tuple[str, bool]] = []  # text, in the article
         self.run: list[str] = []
-        self.stack: list[list] = []  # tag, parts of the hash, blocks before, dropped, in the article, holds the article
+        self.stack: list[list] = []  # tag, parts of the hash, blocks before, dropped, in the article, attributes, is or holds the article
         self.has_main = False
         for m in _PART.finditer(source):
             raw = m[0]
@@ -102,7 +105,7 @@ class _Page:
             inside = self.has_main = True
             for e in self.stack:
                 e[6] = True
-        self.stack.append([tag, [tag, attrs], len(self.blocks), dropped, inside, attrs, inside])
+        self.stack.append([tag, [tag, attrs], len(self.blocks), dropped, inside, attrs, main and not dropped])
 
     def close(self, tag: str, _attrs: str) -> None:
         if tag not in _INLINE:
@@ -124,7 +127,7 @@ class _Page:
         h = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace"))
         if self.stack:
             self.stack[-1][1].append(f"{h:x}")
-        if protected or tag in _INLINE or tag in ("html", "body"):
+        if protected or tag in _INLINE or tag in ("html", "body") or inside and tag not in _BOXES:
             return
         signed = h - (1 << 64) if h >> 63 else h
         self.hashes.add(signed)
@@ -157,9 +160,11 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     distinct = rows.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
     each = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("hashes"))).alias("hash"))  # null counts the page itself
     counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
+    counts = written(counts, "subtree-counts")
+    totals = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     # each page has few subtrees, so those on a share of a host's pages are few: a row per host stays small
-    per_host = counts.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("all"))
-    return per_host.select("host", F.transform(F.filter("all", lambda x: x["n"] >= F.col("pages") * min_share), lambda x: x["hash"]).alias("templates")).where(F.size("templates") > 0)
+    recurring = counts.where("hash is not null").join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
+    return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def _extract(batches):

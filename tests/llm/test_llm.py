@@ -420,3 +420,11 @@ def test_html_copies_keep_their_text(spark):
     rows += [(50 + i, None, f"<body><div>Same block</div><div>Own words {i}</div></body>") for i in range(5)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {i: "Copied words" if i < 50 else f"Own words {i - 50}" for i, _, _ in rows}
+
+
+def test_html_boxes_inside_the_article(spark):
+    page = "<body><{0}><div class='box'>Get <b>the letter</b></div><p>Same paragraph</p><div>Own words {1}</div></{0}></body>"
+    rows = [(i, "https://h.example/", page.format("main" if i % 2 else "article", i)) for i in range(8)]
+    rows += [(20, "https://h.example/", "<main><div class='box'>Get <b>the letter</b></div></main>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {**{i: f"Same paragraph Own words {i}" for i in range(8)}, 20: ""}
