@@ -156,18 +156,29 @@ def split_long(words: DataFrame, size: int = 2400, overlap: int = 200) -> DataFr
     return held.groupBy("l.media_id", F.col("l.id").alias("piece")).agg(F.min("r.w_idx").alias("first_word"), F.max("r.w_idx").alias("last_word"), F.min("r.s").alias("start_ms"), F.max("r.e").alias("end_ms"))
 
 
+def line_starts(widths: list, gap: int, most: int) -> list:
+    """Places of the words that open a line, from the words' widths."""
+    out, held = [], 0
+    for i, n in enumerate(widths):
+        if i and held + gap + n <= most:
+            held += gap + n
+        else:
+            out.append(i)
+            held = n
+    return out
+
+
 def wrapped(words: Column, most: Column, width=F.length) -> Column:
-    """An array of words as lines (arrays of places) whose text is at most `most` wide; a word that is wider has a line of its own."""
-    lines = "array<array<int>>"
-    text = lambda line: F.array_join(F.transform(line, lambda i: F.get(words, i)), " ")
+    """An array of words as lines (arrays of places) whose text is at most `most` wide; a word that is wider has a line of its own.
+    The width of a text has to be the sum of its parts' widths. One linear pass over a text finds where lines start."""
 
-    def step(acc, i):
-        last = F.get(acc, F.size(acc) - 1)
-        fits = (F.size(acc) > 0) & (width(text(F.concat(last, F.array(i)))) <= most)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.array(i))))).otherwise(F.concat(acc, F.array(F.array(i)))).cast(lines)
+    @F.pandas_udf("array<int>")
+    def starts(widths: pd.Series, gaps: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([np.array([*line_starts(w.tolist(), gap, limit), len(w)], dtype=np.int32) for w, gap, limit in zip(widths, gaps, limits)])
 
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.array().cast(lines), step)
+    widths = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.coalesce(width(w), F.lit(0)))
+    opens = starts(widths, width(F.lit(" ")), most)  # and where the text ends
+    return F.zip_with(F.slice(opens, F.lit(1), F.size(opens) - 1), F.slice(opens, F.lit(2), F.size(opens) - 1), lambda a, b: F.sequence(a, b - 1))
 
 
 def enable_windows(events: DataFrame, height: int = 1920, margin: float = 0.16) -> DataFrame:

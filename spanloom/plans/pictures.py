@@ -11,11 +11,12 @@ from spanloom.sources import store, views
 
 @query()
 def q_caption_wrap(spark, sf_dir):
-    """Document openings wrapped to 24 characters."""
-    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), 1, 40)
+    """Documents wrapped to 24 characters."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     d = views.table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
     lines = chunks.wrapped(F.col("words"), F.lit(24))
-    return d.select("doc_id", "words", lines.alias("l")).select("doc_id", F.posexplode("l").alias("line", "x")).select("doc_id", "line", F.col("x")[0].alias("first"), F.size("x").alias("n"))
+    rows = d.select("doc_id", lines.alias("l")).select("doc_id", F.posexplode_outer("l").alias("line", "x")).where("x IS NOT NULL")  # an inner one would run the pass twice
+    return rows.select("doc_id", "line", F.col("x")[0].alias("first"), F.size("x").alias("n"))
 
 
 @query(

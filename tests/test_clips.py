@@ -170,3 +170,22 @@ def test_model_setup_and_store(spark, tmp_path):
     assert store.Settings.read(spark) == store.Settings(min_ms=9000, hook_anchor=False)
     spark.conf.unset("spanloom.hook_anchor")
     spark.conf.unset("spanloom.min_ms")
+
+
+def test_caption_wrap_covers_whole_texts(spark, sf):
+    from spanloom.plans import queries as plans
+
+    got = {}
+    for r in plans.Q["q_caption_wrap"](spark, sf).collect():
+        got.setdefault(r["doc_id"], []).append((r["line"], r["first"], r["n"]))
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("w")).collect():
+        lines = []
+        for i, w in enumerate(r["w"]):
+            if lines and len(" ".join(r["w"][lines[-1][0] : i + 1])) <= 24:
+                lines[-1][1] += 1
+            else:
+                lines.append([i, 1])
+        if lines:
+            want[r["doc_id"]] = [(k, a, n) for k, (a, n) in enumerate(lines)]
+    assert {k: sorted(v) for k, v in got.items()} == want and max(len(x) for x in want.values()) > 40
