@@ -499,4 +499,4 @@ def q_stream_windows(spark, sf_dir):
 @query()
 def q_stream_sessions(spark, sf_dir):
     schema = views.table(spark, sf_dir, "events").schema
-    return live.drained(live.sessions(live.event_stream(spark, sf_dir, schema)), "append")
+    return live.all_sessions(live.event_stream(spark, sf_dir, schema))

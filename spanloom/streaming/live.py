@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import store
+
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet") -> DataFrame:
     """Job events from Parquet files as they come, with an event time."""
@@ -24,12 +24,34 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
-    spark, name = stream.sparkSession, f"t{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote: Parquet in the shared folder, never rows in the driver. A run
+    in the same folder goes on where the last one ended. In complete mode each batch is the whole result and the last one counts."""
+    spark, folder = stream.sparkSession, folder or store.scratch(stream.sparkSession, "stream")
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        written.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={written[-1]}") if written else spark.createDataFrame([], stream.schema)
+
+
+def all_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of all events that are there, those still open at the end of the input too: once the stream is drained, a last event far
+    in the future moves the watermark past every session. Its own session stays open and is never written."""
+    spark, folder = events.sparkSession, store.scratch(events.sparkSession, "sessions")
+    last = spark.range(1).select(*[(F.lit("9999-01-01").cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema])
+    last.where("false").write.parquet(f"{folder}/last")
+    stream = events.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/last"))
+    drained(sessions(stream, gap, late), folder=folder)
+    last.write.mode("append").parquet(f"{folder}/last")
+    return drained(sessions(stream, gap, late), folder=folder)
 
 
 def append_batches(stream: DataFrame, folder: str, checkpoint: str, prepare=lambda df: df) -> None:

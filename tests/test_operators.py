@@ -237,3 +237,20 @@ def test_restore_skips_unreadable_files(spark, tmp_path):
     assert [r["id"] for r in views.segments_of_jobs(spark, f"file://{tmp_path}").collect()] == ["a"]
     media = views.media_probe(spark.createDataFrame([(1, '{"streams":[{"codec_type":"audio"}],"format":{"duration":"3"}}'), (2, "{}")], "id int, body string"))
     assert [r["id"] for r in views.usable(media).collect()] == [1]
+
+
+def test_stream_sessions_equal_batch(spark, sf, tmp_path):
+    from collections import Counter
+
+    from spanloom.plans import queries as plans
+    from spanloom.streaming import live
+
+    def batch(folder):
+        return live.sessions(spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+
+    got = plans.Q["q_stream_sessions"](spark, sf)
+    assert got.columns == batch(sf).columns and Counter(got.collect()) == Counter(batch(sf).collect())
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.orderBy("ts").limit(40).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream = live.event_stream(spark, str(tmp_path), events.schema, "part-*.parquet")
+    assert Counter(live.all_sessions(stream).collect()) == Counter(batch(tmp_path).collect())
