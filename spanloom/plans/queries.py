@@ -341,6 +341,24 @@ def q_merge_touching(spark, sf_dir):
     return intervals.merge_touching(rows, 4000)
 
 
+@query(f"WITH {SENT} {MERGE.format(slack=250, src='tx_sentences')}")
+def q_merge_touching_all(spark, sf_dir):
+    """All sentences; longer pauses stay open."""
+    return intervals.merge_touching(_sentences(spark, sf_dir), 250)
+
+
+@query(
+    f"""WITH {SENT}, {GRID} SELECT g.media_id, g.id, CAST(row_number() OVER (PARTITION BY g.media_id, g.id ORDER BY s.start_ms, s.sent_id) - 1 AS INTEGER) AS n, s.start_ms, s.end_ms, s.text
+    FROM grid g JOIN tx_sentences s ON g.media_id = s.media_id AND s.end_ms > g.start_ms AND s.start_ms < g.end_ms"""
+)
+def q_lines_grid(spark, sf_dir):
+    """Numbered lines of every span of the grid, over the whole of each medium."""
+    w = views.words(spark, sf_dir)
+    both = intervals.overlapping(_grid(w), transcript.sentences(w))
+    n = F.row_number().over(Window.partitionBy("l.media_id", "l.id").orderBy("r.start_ms", "r.sent_id")) - 1
+    return both.select("l.media_id", "l.id", n.alias("n"), "r.start_ms", "r.end_ms", "r.text")
+
+
 @query()
 def q_captions(spark, sf_dir):
     return chunks.caption_phrases(views.words(spark, sf_dir))

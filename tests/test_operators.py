@@ -254,3 +254,19 @@ def test_stream_sessions_equal_batch(spark, sf, tmp_path):
     events.orderBy("ts").limit(40).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     stream = live.event_stream(spark, str(tmp_path), events.schema, "part-*.parquet")
     assert Counter(live.all_sessions(stream).collect()) == Counter(batch(tmp_path).collect())
+
+
+def test_merge_and_lines_take_all_sentences(spark, sf):
+    from spanloom.plans import queries as plans
+
+    every = transcript.sentences(views.words(spark, sf)).collect()
+    merged = plans.Q["q_merge_touching_all"](spark, sf).collect()
+    media: dict = {}
+    for r in merged:
+        media.setdefault(r["media_id"], []).append((r["start_ms"], r["end_ms"]))
+    assert all(any(a <= r["start_ms"] and r["end_ms"] <= b for a, b in media[r["media_id"]]) for r in every)
+    assert len(media) < len(merged) < len(every)  # some gaps are open and some are bridged
+    lines = plans.Q["q_lines_grid"](spark, sf).collect()
+    assert max(r["start_ms"] for r in lines) > 90_000
+    spans = lambda r: sum(k * 40_000 < r["end_ms"] and r["start_ms"] < k * 40_000 + 30_000 for k in range(r["start_ms"] // 40_000, r["end_ms"] // 40_000 + 1))
+    assert len(lines) == sum(map(spans, every))
