@@ -54,7 +54,7 @@ def op10_chat_formatting(spark, sf_dir):
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.digest(chat.format_turns(rows))
+    return chat.digest(spark, chat.write_examples(rows))
 
 
 def pipeline(spark, sf_dir):
