@@ -3,10 +3,10 @@
 Pre-tokens that are vocabulary entries are resolved by a minimal perfect hash (hash and displace: one seed for each bucket
 of keys, and the slot itself for buckets of one key). The others are merged from bytes: a heap holds the adjacent pairs of
 a linked list by rank and place, and stale pairs are dropped when they come up. Results of distinct pre-tokens are kept
-in a bounded table in each worker.
+in a table bounded in bytes in each worker.
 
 Edge cases: null and empty texts give no ids and the digests of nothing; text is encoded whole, control strings as ordinary text;
-equal rows give equal rows; lone surrogates become the replacement character; an empty table gives an empty result.
+equal rows give equal rows; null and repeated identifiers are rows like any other; lone surrogates become the replacement character; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import vocabulary_file
+from spanloom.llm.common import Memo, vocabulary_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -96,10 +96,10 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class ByteBPE(dict):
+class ByteBPE(Memo):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str):
         super().__init__()
         import public_tokenizers
         import regex
@@ -107,19 +107,15 @@ class ByteBPE(dict):
         self.ranks = load_ranks(name)
         self.whole = PerfectHash(self.ranks)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.limit = limit
         white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the Unicode White_Space property
         pattern = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{white}").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")
         self.general = regex.compile(pattern)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         raw = piece.encode("utf-8", "replace")
         whole = self.whole.get(raw)
         ids = [whole] if whole is not None else merge_bytes(raw, self.ranks)
-        self[piece] = packed = np.array(ids, dtype="<u4").tobytes()
-        return packed
+        return self.keep(piece, np.array(ids, dtype="<u4").tobytes())
 
     def encode(self, text: str | None) -> bytes:
         if not text:

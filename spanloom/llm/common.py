@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_LOCAL: dict[str, str] = {}  # folders of local sessions that name none, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,8 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL:
+            _LOCAL[name] = tempfile.mkdtemp(prefix="spanloom-")
+        base = _LOCAL[name]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,6 +50,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_limit(rows: int, least: int = 20_000, most: int = 10_000) -> int:
+    """Rows from which a key is hot: at most `most` keys of `rows` rows can be, whatever the data."""
+    return max(least, 2 * rows // most)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, limit: int, how: str = "inner") -> DataFrame:
+    """left joined by key with right, which has a row a key and `n`, the key's rows in left. Keys with over `limit` rows, few by
+    `hot_limit`, are broadcast, so no task gets all rows of one; the others meet in a shuffle. how: inner or left."""
+    hot = right.where(F.col("n") > limit).drop("n")
+    frequent = left.join(F.broadcast(hot), key)
+    others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key, how)
+    return frequent.unionByName(others)
+
+
+class Memo(dict):
+    """Results by piece of text, bounded in bytes: it is emptied when full, and long pieces are not kept."""
+
+    def __init__(self, limit: int = 64 << 20, longest: int = 256):
+        super().__init__()
+        self.limit, self.longest, self.held = limit, longest, 0
+
+    def keep(self, piece: str, packed: bytes) -> bytes:
+        if len(piece) <= self.longest:
+            self.held += 200 + 4 * len(piece) + len(packed)
+            if self.held > self.limit:
+                self.clear()
+                self.held = 200 + 4 * len(piece) + len(packed)
+            self[piece] = packed
+        return packed
+
+
 def vocabulary_file(name: str) -> str:
     """A tokenizer file by absolute path, or by its name in the installed public vocabulary package (resolved where it runs)."""
     if os.path.isabs(name):

@@ -1,20 +1,24 @@
-"""Token ids of whole texts by a tokenizers file whose pre-tokenizer never joins across white space.
+"""Token ids of whole texts by a tokenizers file, as the untouched library gives them.
 
-Words repeat, so each distinct piece goes through the library once per worker and its ids are kept in a bounded
-table. White space never takes part in a match of the file's split pattern, nor in NFC composition, so a text's
-ids are those of its white-space separated chunks in order. Where a text holds only printable ASCII without
-apostrophes and Latin-1 letters, a run of letters, one digit, or a run of other signs is exactly one pre-token, and
-the library's own BPE model encodes it directly.
+Words repeat, so each distinct piece goes through the library once per worker and its ids are kept in a table bounded in
+bytes. That holds for files whose normalizer and pre-tokenizer are the ones stated below: white space never takes part in a match
+of their split pattern, nor in NFC composition, so a text's ids are those of its white-space separated chunks in order. Where a
+text holds only printable ASCII without apostrophes and Latin-1 letters, a run of letters, one digit, or a run of other signs is
+exactly one pre-token, and the library's own BPE model encodes it directly. Texts that hold an added token's string, and all texts
+under files with other rules, go through the library whole.
+
+Edge cases: null and empty texts have no ids; very long texts and pieces are encoded whole; equal texts have equal ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-from spanloom.llm.common import vocabulary_file
+from spanloom.llm.common import Memo, vocabulary_file
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9 \\t\\n\\r]+")
@@ -29,34 +33,50 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in kept else chr(next(spare)) for b in range(256)}
 
 
-class WordEncoder(dict):
+#: The rules under which a text may be cut into pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+class WordEncoder(Memo):
     """Maps a piece to its ids as little-endian unsigned 32-bit integers; ``encode`` joins them for a text."""
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.limit = limit
-        self.library = Tokenizer.from_file(vocabulary_file(name))
-        self.library.encode_special_tokens = True
+        path = vocabulary_file(name)
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        plain = rules["model"].get("type") == "BPE" and not rules["model"].get("dropout") and not rules.get("post_processor") and not rules.get("truncation") and not rules.get("padding")
+        added = rules.get("added_tokens") or []
+        self.cut = plain and rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and not any(t["normalized"] for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
         self.model = self.library.model
         self.alphabet = byte_alphabet()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         if piece[0] == "\0":  # a chunk for the whole library pipeline
-            ids = self.library.encode(piece[1:], add_special_tokens=False).ids
-        else:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = [token.id for token in self.model.tokenize(spelled)]
-        self[piece] = packed = np.array(ids, dtype="<u4").tobytes()
-        return packed
+            return self.keep(piece, self.whole(piece[1:]))
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return self.keep(piece, np.array([token.id for token in self.model.tokenize(spelled)], dtype="<u4").tobytes())
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.cut or self.added.search(text):
+            return self.whole(text)
         if _UNUSUAL.search(text):
             return b"".join(map(self.__getitem__, ["\0" + x for x in _CHUNK.findall(text)]))
         return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))

@@ -27,9 +27,13 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def whole_ids(text):
-    enc = word_ids.encoder("word_bpe_49k.json")
-    return enc.library.encode(text or "", add_special_tokens=False).ids
+def whole_ids(text, library=[]):
+    if not library:  # a tokenizer of the test's own, as the file gives it
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        library.append(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    return library[0].encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_encoder_equals_library():
@@ -357,8 +361,15 @@ def test_chat(spark):
     want = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or "")):
         want[c].append((role or "", text or ""))
-    got = {r["conv_id"]: r for r in chat.digest(turns).collect()}
+    folder = chat.write_examples(df)
+    got = {r["conv_id"]: r for r in chat.digest(spark, folder).collect()}
     assert set(got) == set(want)
+    stored = spark.read.parquet(f"{folder}/examples").collect()
+    assert Counter(r["conv_id"] for r in stored) == Counter(c for c, _, role, _ in rows if role == "assistant")
+    whole = {c: "".join(r["piece"] for r in sorted(ps, key=lambda r: r["pos"])) for c, ps in ((c, [r for r in spark.read.parquet(f"{folder}/pieces").collect() if r["conv_id"] == c]) for c in want)}
+    for r in stored:  # the mask covers the reply and nothing else, right behind its context
+        assert whole[r["conv_id"]][r["loss_start"] : r["loss_end"]] == r["reply"] and r["context_start"] == 0 and r["context_end"] == r["loss_start"]
+        assert whole[r["conv_id"]][: r["context_end"]].endswith("### assistant: ") and whole[r["conv_id"]][r["loss_end"] : r["chars"]] == "</turn>\n"
     for c, ts in want.items():
         loss = "".join(x for role, x in ts if role == "assistant")
         assert got[c]["n_turns"] == len(ts) and got[c]["loss_chars"] == len(loss)
@@ -370,7 +381,7 @@ def test_chat(spark):
     first, second = full[1, 1], full[1, 2]
     at = [i for i, (role, _) in enumerate(want[1]) if role == "assistant"]
     assert first["context"] == "".join(pieces[: at[0]]) + "### assistant: " and second["context"] == "".join(pieces[: at[1]]) + "### assistant: "
-    assert chat.digest(chat.format_turns(df.where("false"))).count() == 0
+    assert chat.digest(spark, chat.write_examples(df.where("false"))).count() == 0
 
 
 def test_pipeline(spark, sf, tmp_path):
