@@ -1,15 +1,21 @@
 """Main text of web pages, with site templates removed.
 
 Every element's subtree is hashed from its tag and what it holds; Spark counts the hashes for each host over distinct pages,
-where pages that give the same text before any deletion are one page however often they are copied. A subtree that recurs on
-many distinct pages of its host is template and is deleted wherever it stands on that host, unless it is the page's html or
-body or is or holds the article. Inside the article only boxes (div, section) can be template: paragraphs, headings, lists
-and quotes that recur there are content. Rules on tags and class names then remove menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments, and the article's blocks are joined.
+where pages that give the same text before any deletion are one page however often they are copied. Two kinds of subtrees are
+template and are deleted:
+
+- frame: what stands outside the article on many pages of the host. Sites use several layouts, so a small share of the pages is
+  enough. A frame is deleted wherever it stands outside an article, on pages that have none too.
+- anything that stands on a large share of the host's pages: boxes (div, section) inside the article, and all of a page that has
+  no article. Paragraphs, headings, lists and quotes that recur in an article are content and stay, as do html, body and
+  whatever is or holds the article.
+
+Rules on tags and class names then take what recurrence can't see on a host of few pages: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and comments. What is left of the article, or of the body where there is none, is joined.
 
 Edge cases: null html and null url are empty; pages that repeat an identifier are pages of their own; a page without an article
 or main element gives what is left of its body; unclosed elements end with their parent, a cut tag at the end is dropped;
-an empty table gives an empty result.
+an empty table gives an empty result; a page may be as long as a row.
 """
 
 import html
@@ -20,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import written
+from spanloom.llm.common import hot_limit, written
 
-#: A subtree is template from this many pages of its host, and this share of the host's pages, on.
-MIN_PAGES, MIN_SHARE = 5, 0.3
-#: Rows of template hashes up to which they are broadcast; more are joined by host.
+#: A subtree is template from this many distinct pages of its host on, and from a share of them: a small one for what stands outside
+#: articles, a large one for anything else. A page has few subtrees, so few can reach a share: a host's list stays short.
+MIN_PAGES, FRAME_SHARE, MIN_SHARE = 5, 0.01, 0.3
+#: Template hashes up to which they are broadcast; more are joined by host.
 BROADCAST_ROWS = 200_000
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z|[^<]+|<", re.S | re.I)
@@ -49,10 +56,11 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class _Page:
-    """One pass over a page: its blocks, and the hashes of its subtrees that can be template."""
+    """One pass over a page: its blocks, and the hashes of its subtrees that can be template, outside and inside its article."""
 
-    def __init__(self, source: str, templates: frozenset = frozenset()):
-        self.templates, self.hashes = templates, set()
+    def __init__(self, source: str, frames: frozenset = frozenset(), anywhere: frozenset = frozenset()):
+        self.frames, self.anywhere, self.removed = frames, anywhere, 0
+        self.outside, self.boxes = set(), set()
         self.blocks: list[tuple[str, bool]] = []  # text, in the article
         self.run: list[str] = []
         self.stack: list[list] = []  # tag, parts of the hash, blocks before, dropped, in the article, attributes, is or holds the article
@@ -130,16 +138,23 @@ class _Page:
         if protected or tag in _INLINE or tag in ("html", "body") or inside and tag not in _BOXES:
             return
         signed = h - (1 << 64) if h >> 63 else h
-        self.hashes.add(signed)
-        if signed in self.templates:
+        (self.boxes if inside else self.outside).add(signed)
+        if signed in self.anywhere or not inside and signed in self.frames:
+            self.removed += 1
             del self.blocks[before:]
 
+    def candidates(self) -> tuple[list, list]:
+        """Hashes that stand outside the article, and all others that can be template."""
+        if not self.has_main:
+            return [], sorted(self.outside)
+        return sorted(self.outside), sorted(self.boxes - self.outside)
+
     def main_text(self) -> str:
         return " ".join(text for text, inside in self.blocks if inside or not self.has_main)
 
 
-def main_text(source: "str | None", templates=()) -> str:
-    return _Page(source or "", frozenset(templates or ())).main_text()
+def main_text(source: "str | None", frames=(), anywhere=()) -> str:
+    return _Page(source or "", frozenset(frames or ()), frozenset(anywhere or ())).main_text()
 
 
 def host(c):
@@ -150,36 +165,51 @@ def _subtrees(batches):
     for batch in batches:
         pages = [_Page(source or "") for source in batch.column("html").to_pylist()]
         texts = [xxhash.xxh3_128_hexdigest(p.main_text().encode("utf-8", "replace")) for p in pages]
-        hashes = [sorted(p.hashes) for p in pages]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(texts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
-
-
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on many distinct pages of the host."""
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_subtrees, "host string, content string, hashes array<long>")
-    distinct = rows.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
-    each = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("hashes"))).alias("hash"))  # null counts the page itself
-    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
-    counts = written(counts, "subtree-counts")
+        frames, others = zip(*(p.candidates() for p in pages)) if pages else ((), ())
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(texts, pa.string()), pa.array(frames, kind), pa.array(others, kind)], names=["host", "content", "frames", "others"])
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, frame_share: float = FRAME_SHARE, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, frames, anywhere): hashes of the subtrees that recur on many distinct pages of the host, by where they may be deleted."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_subtrees, "host string, content string, frames array<long>, others array<long>")
+    distinct = rows.groupBy("host", "content").agg(F.min(F.struct("frames", "others")).alias("x"))
+    item = lambda h, f: F.struct(h.cast("long").alias("hash"), F.lit(f).alias("frame"))
+    all_ = F.concat(F.array(item(F.lit(None), False)), F.transform("x.frames", lambda h: item(h, True)), F.transform("x.others", lambda h: item(h, False)))  # null counts the page itself
+    each = distinct.select("host", F.explode(all_).alias("i")).select("host", "i.*")
+    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.count_if("frame").alias("n_frame"))
+    counts = written(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtree-counts")
     totals = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    # each page has few subtrees, so those on a share of a host's pages are few: a row per host stays small
-    recurring = counts.where("hash is not null").join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    rated = counts.where("hash is not null").join(totals, "host")
+    rated = rated.withColumn("anywhere", F.col("n") >= F.col("pages") * min_share)
+    rated = rated.withColumn("framing", (F.col("n_frame") >= min_pages) & (F.col("n_frame") >= F.col("pages") * frame_share) & ~F.col("anywhere")).where("anywhere OR framing")
+    return rated.groupBy("host").agg(F.collect_list(F.when(F.col("framing"), F.col("hash"))).alias("frames"), F.collect_list(F.when(F.col("anywhere"), F.col("hash"))).alias("anywhere"))
 
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(s, t) for s, t in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-        )
+        pages = [_Page(s or "", frozenset(f or ()), frozenset(a or ())) for s, f, a in zip(*(batch.column(c).to_pylist() for c in ("html", "frames", "anywhere")))]
+        texts = [p.main_text() for p in pages]
+        counts = pa.array([len(t) for t in texts], pa.int64()), pa.array([p.removed for p in pages], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *counts], names=["page_id", "url", "text", "n_chars", "n_templates"])
+
+
+def _by_host(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows joined by host with templates; a host with a large share of the rows is dealt over several tasks, its templates to each."""
+    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-sizes")
+    limit = hot_limit(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    large = F.broadcast(sizes.where(F.col("n") > limit).select("host", F.ceil(F.col("n") / limit).alias("parts")))  # few, by hot_limit
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(large, "host", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts)).drop("parts")
+    right = found.join(large, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return left.join(right, ["host", "part"], "left")
 
 
 def extract_pages(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
+    """One row per page: page_id, url, text, n_chars, n_templates (deleted subtrees)."""
     found = written(site_templates(pages), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
-    side = F.broadcast(found) if size <= broadcast_rows else found
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(side, "host", "left")
+    size = found.agg(F.coalesce(F.sum(F.size("frames") + F.size("anywhere")), F.lit(0))).first()[0]
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    joined = rows.join(F.broadcast(found), "host", "left") if size <= broadcast_rows else _by_host(rows, found)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "templates").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "frames", "anywhere").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long, n_templates int")

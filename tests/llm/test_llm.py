@@ -439,3 +439,99 @@ def test_html_boxes_inside_the_article(spark):
     rows += [(20, "https://h.example/", "<main><div class='box'>Get <b>the letter</b></div></main>")]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {**{i: f"Same paragraph Own words {i}" for i in range(8)}, 20: ""}
+
+
+def plain_pages(rows, outside=0.01, share=0.3, least=5):
+    """Texts of pages (page_id, url, html) of div, p and article elements alone, by trees, strings and sets."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, source):
+            super().__init__()
+            self.root = ["body", []]
+            self.open = [self.root]
+            self.feed(source)
+
+        def handle_starttag(self, tag, attrs):
+            node = [tag, []]
+            self.open[-1][1].append(node)
+            self.open.append(node)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.open[-1][1].append(data)
+
+    def spell(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(spell, node[1]))}</{node[0]}>"
+
+    def holds(node):
+        return not isinstance(node, str) and (node[0] == "article" or any(map(holds, node[1])))
+
+    def walk(node, inside, see):
+        for child in node[1]:
+            if not isinstance(child, str):
+                within = inside or child[0] == "article"
+                if not holds(child) and (not inside or child[0] == "div"):
+                    see(spell(child), within)
+                walk(child, within, see)
+
+    def text(node, inside, gone, article):
+        out = []
+        for child in node[1]:
+            if isinstance(child, str):
+                if inside or not article:
+                    out.append(child)
+            elif holds(child) or not gone(spell(child), inside, child[0]):
+                out += [" ", *text(child, inside or child[0] == "article", gone, article), " "]
+        return out
+
+    def whole(tree, gone):
+        return " ".join("".join(text(tree, False, gone, holds(tree))).split())
+
+    trees = {i: Tree(h).root for i, _, h in rows}
+    sites = defaultdict(dict)
+    for i, u, _ in rows:
+        sites[u.split("/")[2]].setdefault(whole(trees[i], lambda *_: False), []).append(i)
+    out = {}
+    for pages in sites.values():
+        n, framed = Counter(), Counter()
+        for ids in pages.values():
+            seen, frame = set(), set()
+            tree = trees[ids[0]]
+            walk(tree, False, lambda x, within: (seen.add(x), frame.add(x) if not within and holds(tree) else None))
+            n.update(seen)
+            framed.update(frame)
+        for ids in pages.values():
+            for i in ids:
+                everywhere = lambda x: n[x] >= least and n[x] >= share * len(pages)
+                frame = lambda x: framed[x] >= least and framed[x] >= outside * len(pages)
+                out[i] = whole(trees[i], lambda x, inside, tag: everywhere(x) and (not inside or tag == "div") or not inside and frame(x))
+    return out
+
+
+def test_html_templates_against_trees(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        site = rng.choice("aaab")
+        layout = [f"<div>frame {site}{rng.randrange(2)}<p>menu {rng.randrange(2)}</p></div>" for _ in range(2)]
+        words = lambda: f"<p>{rng.choice(['said often', f'said once {i} {rng.random()}'])}</p>"
+        notice = "<div>read the letter</div>" if rng.random() < 0.6 else f"<div>own box {i}</div>"
+        main = f"{words()}{notice}{words()}<div>{words()}</div>"
+        body = f"<article>{main}</article>" if rng.random() < 0.8 else f"<div>{main}</div>"
+        rows.append((i, f"https://{site}.example/{i}", f"{layout[0]}<div>{body}</div>{layout[1]}"))
+    want = plain_pages(rows)
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    split = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=0).collect()
+    assert {r["page_id"]: r["text"] for r in split} == want
+    assert not any("frame" in t or "letter" in t for t in want.values()) and sum("said often" in t for t in want.values()) > 100
+    assert all(r["n_templates"] > 0 for r in got)
+
+
+def test_html_finds_templates_in_the_fixtures(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = html_extract.extract_pages(pages).agg({"n_templates": "sum"}).first()[0]
+    assert found > 0
