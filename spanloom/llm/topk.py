@@ -1,31 +1,34 @@
 """Exact top-k inner-product search by ball trees.
 
-Vectors are dealt into shards by a hash of their identifier, queries into blocks; each block meets each shard once. A shard is a
-ball tree: every node knows its centre, radius and smallest identifier, so `q.c + |q| r` bounds the inner product of a
-query with anything below. Nodes are walked by falling bound for a block of queries at once, and a query leaves a branch
-whose bound is under its current k-th score. The first shard is searched before the others, whose searches begin with
-the k-th scores it found.
+Vectors are dealt into shards by a hash of their identifier. Each shard becomes a ball tree once, stored as a row: every node knows
+its centre and radius, so `q.c + |q| r` bounds the inner product of a query with anything below. Queries travel to the
+shards in blocks, as they are many times fewer than vectors. Nodes are walked by falling bound for a block of queries at
+once, and a query leaves a branch whose bound is under its current k-th score. Shards are searched in rounds of growing width (1, 1,
+2, 4, ...), and each round begins with the k-th scores that all rounds before it found.
 
 Scores are whole-number inner products: in float64 where every partial sum is below 2^53, else in 64-bit integers, which the true scores have to fit.
 
-Edge cases: vectors that are null or hold null or non-finite components, or whose length is not the commonest one, take no part; rows
-that repeat an identifier are candidates of their own but never of a query with that identifier; equal vectors make a
-leaf; fewer candidates than k give all; ties go to the smaller identifier; empty tables give an empty result.
+Edge cases: vectors that are null or hold null or non-finite components, or that have no identifier, take no part; vectors of
+different lengths have no inner product, so those of each length are searched among themselves; rows that repeat an identifier are
+queries and candidates of their own, but never candidates of a query with that identifier; equal vectors make a leaf; fewer candidates
+than k give all; ties go to the smaller identifier; empty vectors score 0; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import written
+from spanloom.llm.common import shuffle_partitions, written
 
 SCALE, K, EVERY = 64, 20, 20
-SHARD, BLOCK, LEAF = 32_768, 4_096, 1_024
+SHARD, BLOCK, LEAF = 16_384, 4_096, 1_024
 LOWEST, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-_OUT = "query_id long, vec_id long, score long"
+_TREE = "n int, shard int, ids binary, v binary, centres binary, shape binary"
 
 
 def quantised(df: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -37,7 +40,7 @@ def quantised(df: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_
 
 
 class BallTree:
-    """Nodes in preorder; a leaf holds a range of the reordered rows."""
+    """Nodes in preorder; a leaf holds a range of the reordered rows. A tree can be stored as four byte strings."""
 
     def __init__(self, v: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.v, self.ids = v, ids
@@ -66,6 +69,25 @@ class BallTree:
         return me
 
 
+    def stored(self) -> tuple:
+        top = int(np.abs(self.v).max(initial=0))
+        narrow = next(k for k in ("<i2", "<i4", "<i8") if top <= np.iinfo(k).max)
+        centres = np.array([n[0] for n in self.nodes], dtype="<f8")
+        shape = np.array([(n[1], *n[2:]) for n in self.nodes], dtype="<f8")  # places are far below 2^53
+        return self.ids.astype("<i8").tobytes(), self.v.astype(narrow).tobytes(), centres.tobytes(), shape.tobytes()
+
+    @classmethod
+    def loaded(cls, width: int, ids: bytes, v: bytes, centres: bytes, shape: bytes) -> "BallTree":
+        tree = cls.__new__(cls)
+        tree.ids = np.frombuffer(ids, dtype="<i8")
+        each = len(v) // max(1, len(tree.ids) * width)
+        tree.v = np.frombuffer(v, dtype=f"<i{each or 8}").reshape(len(tree.ids), width).astype(np.int64)
+        shape = np.frombuffer(shape, dtype="<f8").reshape(-1, 5)
+        centres = np.frombuffer(centres, dtype="<f8").reshape(len(shape), width)
+        tree.nodes = [(c, float(r[0]), *map(int, r[1:])) for c, r in zip(centres, shape)]
+        return tree
+
+
 class BlockSearch:
     """The best k of a block of queries so far, by falling score, then identifier."""
 
@@ -115,47 +137,89 @@ class BlockSearch:
                 self.score[row], self.id[row] = sc[best], ii[best]
                 self.least[row] = max(self.least[row], self.score[row, -1])
 
-    def frame(self) -> pd.DataFrame:
+    def found(self, asked: np.ndarray) -> pa.RecordBatch:
         r, c = np.nonzero(self.id != NONE)
-        return pd.DataFrame({"query_id": self.qid[r], "vec_id": self.id[r, c], "score": self.score[r, c]})
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[r], self.qid[r], self.id[r, c], self.score[r, c])], names=["asked", "query_id", "vec_id", "score"])
+
+
+def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    n, shard = key
+    v = np.array(rows["v"].to_list(), dtype=np.int64).reshape(len(rows), n)
+    return pd.DataFrame([(n, shard, *BallTree(v, rows["vec_id"].to_numpy()).stored())], columns=["n", "shard", "ids", "v", "centres", "shape"])
 
 
 def _search(k: int):
-    def run(key, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        tree = BallTree(np.stack(candidates["v"].to_list()).astype(np.int64), candidates["vec_id"].to_numpy())
-        block = BlockSearch(np.stack(queries["qv"].to_list()).astype(np.int64), queries["qid"].to_numpy(), k, queries["floor"].to_numpy())
-        block.search(tree)
-        return block.frame()
+    """Rows of a partition come as shard after shard, its tree before its queries; queries are searched a block at a time."""
+
+    def run(batches):
+        tree, at, waiting, held = None, None, [], 0
+
+        def searched():
+            asked, qid, floor = (np.concatenate([w.column(c).to_numpy() for w in waiting]) for c in ("asked", "qid", "floor"))
+            q = np.concatenate([w.column("q").flatten().to_numpy() for w in waiting]).reshape(len(asked), at[0])
+            block = BlockSearch(q, qid, k, floor)
+            block.search(tree)
+            return block.found(asked)
+
+        for batch in batches:
+            ids = batch.column("ids")
+            marks = [i for i in range(batch.num_rows) if ids[i].is_valid]  # trees are few
+            for a, b in zip([-1, *marks], [*marks, batch.num_rows]):
+                if a >= 0:
+                    if held:
+                        yield searched()
+                    at = tuple(batch.column(c)[a].as_py() for c in ("n", "shard"))
+                    tree = BallTree.loaded(at[0], *(batch.column(c)[a].as_py() for c in ("ids", "v", "centres", "shape")))
+                    waiting, held = [], 0
+                if tree is None:
+                    continue
+                mine = batch.slice(a + 1, b - a - 1)  # a shard that has no vector of a query's length has no tree
+                mine = mine.filter(pc.and_(pc.equal(mine.column("n"), at[0]), pc.equal(mine.column("shard"), at[1])))
+                while mine.num_rows:
+                    part, mine = mine.slice(0, BLOCK - held), mine.slice(BLOCK - held)
+                    waiting.append(part)
+                    held += part.num_rows
+                    if held >= BLOCK:
+                        yield searched()
+                        waiting, held = [], 0
+        if held:
+            yield searched()
 
     return run
 
 
+def rounds(shards: int) -> list[tuple[int, int]]:
+    """Shards from and up to which each round goes: one, one, then as many as before."""
+    edges = [0, 1]
+    while edges[-1] < shards:
+        edges.append(min(2 * edges[-1], shards))
+    return list(zip(edges, edges[1:]))
+
+
 def top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Queries are the rows whose identifier is divisible by `every`: query_id, rank, vec_id, score of the k best other rows each."""
-    rows = quantised(df, scale, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "n").limit(1).collect()
-    width = sizes[0]["n"] if sizes else 0
-    rows = written(rows.where(F.size("v") == width), "vectors")
-    total = rows.count()
-    shards = max(1, -(-total // SHARD))
-    blocks = max(1, -(-(total // max(1, every)) // BLOCK))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    candidates = rows.withColumn("shard", deal(shards, 1))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"), deal(blocks, 2).alias("block"))
-    numbers = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi)))
-
-    def searched(c: DataFrame, q: DataFrame) -> DataFrame:
-        return c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(_search(k), _OUT)
-
-    low = F.lit(int(LOWEST))
-    first = searched(candidates.where("shard = 0").withColumn("block", numbers(0, blocks - 1)), queries.withColumn("shard", F.lit(0)).withColumn("floor", low))
-    if shards > 1:
-        first = written(first, "first-shard")
-        kth = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("floor"))
-        known = queries.join(kth, F.col("qid") == F.col("query_id"), "left").drop("query_id").withColumn("floor", F.coalesce("floor", low))
-        rest = searched(candidates.where("shard > 0").withColumn("block", numbers(0, blocks - 1)), known.withColumn("shard", numbers(1, shards - 1)))
-        first = first.unionByName(rest)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = df.sparkSession
+    rows = written(quantised(df, scale, id_col, vector_col).withColumn("n", F.size("v")), "vectors")
+    shards = max(1, -(-rows.count() // SHARD))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    trees = written(dealt.select("n", "shard", "vec_id", "v").groupBy("n", "shard").applyInPandas(_grow, _TREE), "trees")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("asked"), F.col("vec_id").alias("qid"), "n", F.col("v").alias("q"))
+    queries, found = written(asked, "queries"), None
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    for lo, hi in rounds(shards):
+        low, now = F.lit(int(LOWEST)), queries
+        if found is None:
+            now = now.withColumn("floor", low)
+        else:
+            kth = found.where(F.col("rank") == k).select("asked", F.col("score").alias("floor"))
+            now = now.join(kth, "asked", "left").withColumn("floor", F.coalesce("floor", low))
+        sent = now.withColumn("shard", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        sent = sent.select("n", "shard", none("ids", "binary"), none("v", "binary"), none("centres", "binary"), none("shape", "binary"), "asked", "qid", "q", "floor")
+        held = trees.where(F.col("shard").between(lo, hi - 1)).select("*", none("asked", "long"), none("qid", "long"), none("q", "array<bigint>"), none("floor", "long"))
+        # an explicit number of partitions: adaptive execution must not gather the shards in one task
+        meet = held.unionByName(sent).repartition(max(shuffle_partitions(spark), hi - lo), "n", "shard").sortWithinPartitions("n", "shard", F.desc_nulls_last("ids"))
+        hits = meet.mapInArrow(_search(k), "asked long, query_id long, vec_id long, score long")
+        found = written(ranked(hits if found is None else hits.unionByName(found.drop("rank"))), "found")
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -315,20 +315,22 @@ def test_top_k(spark, monkeypatch):
     v = rng.normal(size=(300, 8)).round(2)
     v[50:90] = v[50]
     rows = [(i, [float(x) for x in e], 0) for i, e in enumerate(v)]
-    rows += [(400, None, 0), (420, [None] * 8, 0), (440, [float("nan")] * 8, 0), (460, [1.0, 2.0], 0), (480, [float("inf")] * 8, 0), (20, rows[20][1], 0)]
+    rows += [(400, None, 0), (420, [None] * 8, 0), (440, [float("nan")] * 8, 0), (460, [1.0, 2.0], 0), (461, [0.5, 2.0], 0), (480, [float("inf")] * 8, 0)]
+    rows += [(20, rows[20][1], 0), (40, rows[41][1], 0), (500, [], 0), (501, [], 0), (None, rows[3][1], 0)]  # repeated queries, one with another vector
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, floor int")
-    for shard, leaf in ((topk.SHARD, topk.LEAF), (64, 16)):
-        monkeypatch.setattr(topk, "SHARD", shard)
-        monkeypatch.setattr(topk, "LEAF", leaf)
-        got = sorted(map(tuple, topk.top_k(df, k=7).collect()))
-        want, usable = [], [(i, np.floor(64 * np.array(e)).astype(int)) for i, e, _ in rows if e and None not in e and np.isfinite(e).all() and len(e) == 8]
-        for q, a in {i: x for i, x in usable if i % 20 == 0}.items():
-            best = sorted((-int(a @ b), i) for i, b in usable if i != q)[:7]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-        assert got == sorted(want)
+    usable = [(i, np.floor(64 * np.array(e)).astype(int)) for i, e, _ in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()]
+    want = []
+    for q, a in (x for x in usable if x[0] % 20 == 0):
+        best = sorted((-int(a @ b), i) for i, b in usable if i != q and len(b) == len(a))[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for shard, leaf, block in ((topk.SHARD, topk.LEAF, topk.BLOCK), (64, 16, 4)):
+        for name, value in (("SHARD", shard), ("LEAF", leaf), ("BLOCK", block)):
+            monkeypatch.setattr(topk, name, value)
+        assert sorted(map(tuple, topk.top_k(df, k=7).collect())) == sorted(want)
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>, floor int")
     assert topk.top_k(few).count() == 3
     assert topk.top_k(df.where("false")).count() == 0
+    assert topk.rounds(1) == [(0, 1)] and topk.rounds(6) == [(0, 1), (1, 2), (2, 4), (4, 6)]
 
 
 def test_top_k_beyond_float_range(spark):
