@@ -2,15 +2,15 @@
 
 Fingerprints are 64 majority bits over the XXH64 values of word shingles. Two that differ in at most three bits agree in one
 of four 16-bit blocks, so each distinct fingerprint is dealt out once for each block, by the block's value; a value that
-too many share is split again by the blocks of its other 48 bits, in which the same holds. In a partition the
+too many share is split again, twice at most, by the blocks of the bits left, in which the same holds. In a partition the
 fingerprints are sorted by Gray rank behind their block: fingerprints with equal leading bits lie together, and each level of
 the index holds the next eight bits once for all of them. Node pairs are walked from the top, adding up differing bits; a
 pair of groups over the limit is dropped whole, as is one whose members are already joined. A partition reports a spanning
 star of what it linked, not all pairs; components over these links give the result.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle are
-one shingle; equal rows share a fingerprint; rows without an identifier keep a fingerprint but no component; an
-empty table gives an empty result.
+one shingle; equal rows share a fingerprint; identifiers may be numbers or text, and rows that repeat one are rows of their own; rows
+without an identifier link like any other, and a component where none has one has no name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import shuffle_partitions, written
+from spanloom.llm.common import hot_limit, join_hot, shuffle_partitions, written
 from spanloom.llm.components import components
 
 SHINGLE, SEED, RADIUS, HOT = 3, 42, 3, 20_000
@@ -159,27 +159,51 @@ def _rotated(block: int):
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Links (a, b) between representatives (fp, rep) whose fingerprints differ in at most `radius` <= 3 bits, spanning each component."""
+    """Links (a, b) between representatives (fp, rep) whose fingerprints differ in at most `radius` <= 3 bits, spanning each component.
+
+    Rows that agree in a block are a group; a crowded group is dealt again by the four blocks of the bits left, in which the
+    same holds, twice at most: fingerprints that then still meet agree in 37 bits."""
     n = shuffle_partitions(prints.sparkSession)
     dealt = prints.select("rep", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _rotated(b).alias("code")) for b in range(4)])).alias("x"))
     dealt = dealt.select("rep", "x.code", (F.col("x.block") * 65536 + F.shiftrightunsigned("x.code", 48)).cast("long").alias("grp"))
-    crowded = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot)
-    # a crowded value is dealt again by the four 12-bit blocks of the 48 bits left, numbered from 1
-    again = F.array(*[(F.lit((k + 1) << 12) + F.shiftrightunsigned("code", 12 * k).bitwiseAND(F.lit(4095))).cast("long") for k in range(4)])
-    split = dealt.join(crowded, "grp", "left").select("rep", "code", "grp", F.explode(F.when(F.col("members").isNull(), F.array(F.lit(0).cast("long"))).otherwise(again)).alias("sub"))
-    keyed = split.select("rep", "code", (F.col("grp") * 65536 + F.col("sub")).alias("grp")).repartition(n, "grp")
-    return keyed.mapInArrow(_links(radius), "a long, b long")
+    limit = hot_limit(4 * prints.count(), hot)
+    for bits, room in ((12, 15), (9, 12)):  # a block's bits, and those of its number (from 1) and value together; 18 + 15 + 12 in all
+        crowded = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > limit)
+        again = F.array(*[(F.lit((k + 1) << bits) + F.shiftrightunsigned("code", bits * k).bitwiseAND(F.lit((1 << bits) - 1))).cast("long") for k in range(4)])
+        split = dealt.join(F.broadcast(crowded), "grp", "left")  # few, by hot_limit
+        subs = F.when(F.col("members").isNull(), F.array(F.lit(0).cast("long"))).otherwise(again)
+        # of 36 bits left the blocks are cut alike wherever a group was split before; where it was not, it is not crowded now
+        dealt = split.select("rep", "code", F.col("grp").alias("was"), F.explode(subs).alias("sub")).select("rep", _below("code", "sub", bits).alias("code"), F.shiftleft("was", room).bitwiseOR(F.col("sub")).alias("grp"))
+    return dealt.repartition(n, "grp").mapInArrow(_links(radius), "a long, b long")
+
+
+def _below(code: str, sub: str, bits: int):
+    """The code with the block that `sub` names moved behind the bits used before, so the bits left are the lowest ones again; as it is for 0."""
+    left = 4 * bits  # the lowest bits, not used so far
+    out = F.col(code)
+    for k in range(4):
+        low, high = (1 << (bits * k)) - 1, (1 << (left - bits * (k + 1))) - 1
+        block = F.shiftrightunsigned(code, bits * k).bitwiseAND(F.lit((1 << bits) - 1))
+        above = F.shiftrightunsigned(code, bits * (k + 1)).bitwiseAND(F.lit(high))
+        moved = F.shiftleft(F.shiftrightunsigned(code, left), left)
+        moved = moved.bitwiseOR(F.shiftleft(block, left - bits)).bitwiseOR(F.shiftleft(above, bits * k)).bitwiseOR(F.col(code).bitwiseAND(F.lit(low)))
+        out = F.when(F.shiftright(sub, bits) == k + 1, moved).otherwise(out)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One row per row: doc_id (a whole number), fingerprint (16 hex digits), component_id (smallest identifier reachable)."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(docs.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    found = components(near_links(distinct.where("rep is not null"), radius))
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    """One row per row: doc_id, fingerprint (16 hex digits), component_id (smallest identifier reachable)."""
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = written(docs.mapInArrow(_fingerprints(shingle, seed), f"doc_id {kind}, fp long"), "fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    found = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius))  # fingerprints are the nodes
+    named = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c"), "rep", F.col("n").alias("rows"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_print = written(join_hot(named.select("fp", "c", "rows"), least, "c", hot_limit(distinct.count())).select("fp", "component_id", F.col("rows").alias("n")), "named-fingerprints")
+    rows = join_hot(prints, of_print, "fp", hot_limit(prints.count()))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def near_kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

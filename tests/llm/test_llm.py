@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm import byte_bpe, chat, exact_dedup, html_extract, labelled, packing, quality, simhash, token_store, topk, toxicity, word_ids
+from spanloom.llm import byte_bpe, chat, common, exact_dedup, html_extract, labelled, packing, quality, simhash, token_store, topk, toxicity, word_ids
 from spanloom.llm.components import components
 
 LONG = "word's Ünïcode 12,5 \x85 ß  naïve café " * 3000
@@ -136,12 +136,16 @@ def test_simhash(spark, docs, empty):
     want = plain_components(sorted(fp), lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3)
     assert {i: r["component_id"] for i, r in rows.items()} == want
     assert simhash.near_duplicates(empty).count() == 0
+    named = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("a", "else"), (None, "else"), (None, "alone here")], "doc_id string, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(named).collect()]
+    assert Counter(got) == Counter([("b", "a"), ("a", "a"), ("a", "a"), (None, "a"), (None, None)])
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
+@pytest.mark.parametrize("hot", [20_000, 5, 0])
 def test_gray_index_finds_every_link(spark, hot):
     rng = np.random.default_rng(7)
     centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    centres[20:] = centres[20] ^ rng.integers(0, 1 << 9, 10, dtype=np.uint64)  # crowded blocks
     codes = {0, (1 << 64) - 1}
     for c in centres.tolist():
         for _ in range(6):
@@ -157,6 +161,16 @@ def test_gray_index_finds_every_link(spark, hot):
     assert {n: got.get(n, n) for n in range(len(codes))} == want
 
 
+def test_hot_keys_join_like_any_other(spark):
+    left = spark.createDataFrame([(k % 3, k) for k in range(60)] + [(7, 60), (None, 61)], "key int, x int")
+    right = spark.createDataFrame([(0, "a", 20), (1, "b", 20), (2, "c", 20), (9, "d", 0)], "key int, y string, n long")
+    for limit in (0, 19, 100):
+        got = common.join_hot(left, right, "key", limit, "left")
+        assert Counter(map(tuple, got.select("key", "x", "y").collect())) == Counter([(k % 3, k, "abc"[k % 3]) for k in range(60)] + [(7, 60, None), (None, 61, None)])
+        assert common.join_hot(left, right, "key", limit).count() == 60
+    assert common.hot_limit(10) == 20_000 and common.hot_limit(10**9) == 200_000
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60) if i != 30] + [(100, 101), (5, 5), (101, 100)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
