@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, limit: int, how: str =
     return frequent.unionByName(others)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """left joined by key with right in one shuffle each: a key in hot (key, parts; few rows) is dealt over so many parts by `salt`, a
+    hash of what tells its rows apart, and its row of right goes to each."""
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    few = F.broadcast(hot.select(key, F.col("parts").cast("long").alias("_parts")))
+    dealt = left.join(few, key, "left").withColumn("_part", F.pmod(salt, parts)).drop("_parts")
+    copied = right.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
 class Memo(dict):
     """Results by piece of text, bounded in bytes: it is emptied when full, and long pieces are not kept."""
 

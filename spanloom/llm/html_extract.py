@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hot_limit, written
+from spanloom.llm.common import hot_limit, join_salted, written
 
 #: A subtree is template from this many distinct pages of its host on, and from a share of them: a small one for what stands outside
 #: articles, a large one for anything else. A page has few subtrees, so few can reach a share: a host's list stays short.
@@ -198,11 +198,8 @@ def _by_host(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows joined by host with templates; a host with a large share of the rows is dealt over several tasks, its templates to each."""
     sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-sizes")
     limit = hot_limit(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    large = F.broadcast(sizes.where(F.col("n") > limit).select("host", F.ceil(F.col("n") / limit).alias("parts")))  # few, by hot_limit
-    parts = F.coalesce("parts", F.lit(1))
-    left = rows.join(large, "host", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts)).drop("parts")
-    right = found.join(large, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    return left.join(right, ["host", "part"], "left")
+    large = sizes.where(F.col("n") > limit).select("host", F.ceil(F.col("n") / limit).alias("parts"))  # few, by hot_limit
+    return join_salted(rows, found, "host", large, F.xxhash64("page_id", "url", F.length("html")), "left")
 
 
 def extract_pages(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Layout under a folder: `parts/kind=chunk` (hash, n, body) holds each distinct chunk once, `recipes` holds one row per document in
 ascending identifier order (part, pos, doc_id, n_tokens, chunk hashes, chunk lengths, Merkle root over the hashes), and
-`manifest` holds a Merkle root for each recipe file and, with part -1, the root over them. Bodies are little-endian
-unsigned 16-bit ids where the vocabulary allows, else 32-bit.
+`manifest` holds, for each recipe file, the root of a Merkle tree over its recipes' roots (4,096 to a node) with the file's numbers of
+documents, tokens and chunks, and, with part -1, the root over the files. Bodies are little-endian unsigned 16-bit ids where the
+vocabulary allows, else 32-bit.
 
 Chunks end where a rolling hash over the last ids has its low bits zero, so equal passages cut alike wherever they
 stand in a document. A task sends each distinct chunk once, dealt by its hash; recipes are dealt by identifier. Reading back
-takes the checksum of each stored chunk, checks its hash, and combines the checksums along each recipe: token ids are
-shuffled once in all.
+checks the recipes against the manifest up to the top root, takes the checksum of each stored chunk, checks its hash, and
+combines the checksums along each recipe: token ids are shuffled once in all. A lost or altered file is an error, never a shorter answer.
 
 Edge cases: null and empty texts hold the end id alone; equal rows share their chunks and keep a recipe each; rows with the
-same identifier keep their own recipes next to each other; null identifiers come first; an empty table gives an empty store.
+same identifier, null ones first of all, keep recipes next to each other in the order of their content; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import scratch_path, shuffle_partitions
+from spanloom.llm.common import join_salted, scratch_path, shuffle_partitions
 from spanloom.llm.word_ids import encoder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -142,25 +143,30 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     rows = docs.mapInArrow(_split(tokenizer, end_id), row)
     rows.repartition(n, "deal").mapInArrow(_once, row).drop("deal").write.partitionBy("kind").parquet(f"{folder}/parts")
     plain = spark.read.schema(f"doc_id {kind}, n long, name binary, body binary, sizes array<int>, kind string").parquet(f"{folder}/parts")
-    recipes = plain.where("kind = 'doc'").select("doc_id", "n", "name", "sizes").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    recipes = plain.where("kind = 'doc'").select("doc_id", "n", "name", "sizes", F.xxhash64("name").alias("tie"))
+    recipes = recipes.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "name").drop("tie")
     recipe = f"part int, pos long, doc_id {kind}, n_tokens long, chunks binary, sizes array<int>, root binary"
     recipes.mapInArrow(_number, recipe).write.parquet(f"{folder}/recipes")
     # roots of a file, by position, are read in Spark a file at a time; the driver sees one root a file
-    kept = spark.read.schema(recipe).parquet(f"{folder}/recipes")
-    files = _file_roots(kept).collect()
-    top = merkle([bytes(r["root"]) for r in sorted(files, key=lambda r: r["part"])])
-    total = sum(r["n_tokens"] for r in files)
-    manifest = [(r["part"], r["documents"], r["n_tokens"], bytes(r["root"])) for r in files]
-    spark.createDataFrame([*manifest, (-1, sum(r["documents"] for r in files), total, top)], "part int, documents long, n_tokens long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+    files = _file_roots(spark.read.schema(recipe).parquet(f"{folder}/recipes")).collect()
+    rows = [(r["part"], r["documents"], r["n_tokens"], r["n_chunks"], bytes(r["root"])) for r in files]
+    rows.append((-1, *(sum(r[k] for r in rows) for k in (1, 2, 3)), _top(files)))
+    spark.createDataFrame(rows, "part int, documents long, n_tokens long, n_chunks long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def _top(files: list) -> bytes:
+    return merkle([bytes(r["root"]) for r in sorted(files, key=lambda r: r["part"])])
 
 
 def _file_roots(recipes: DataFrame) -> DataFrame:
     """Root over the recipe roots of each file: blocks of 4,096 first, then over the blocks in order."""
     order = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: F.hex(y["root"])), "")
-    blocks = recipes.groupBy("part", F.floor(F.col("pos") / 4096).alias("block")).agg(order(F.struct("pos", "root")).alias("all"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"))
-    blocks = blocks.select("part", "block", F.unhex(F.sha2("all", 256)).alias("root"), "documents", "n_tokens")
-    files = blocks.groupBy("part").agg(order(F.struct("block", "root")).alias("all"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"))
-    return files.select("part", F.unhex(F.sha2("all", 256)).alias("root"), "documents", "n_tokens")
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_chunks")]
+    rows = recipes.select("part", "pos", "root", "n_tokens", F.size("sizes").alias("n_chunks"))
+    blocks = rows.groupBy("part", F.floor(F.col("pos") / 4096).alias("block")).agg(order(F.struct("pos", "root")).alias("all"), F.count(F.lit(1)).alias("documents"), *sums)
+    blocks = blocks.select("part", "block", F.unhex(F.sha2("all", 256)).alias("root"), "documents", "n_tokens", "n_chunks")
+    files = blocks.groupBy("part").agg(order(F.struct("block", "root")).alias("all"), F.sum("documents").alias("documents"), *sums)
+    return files.select("part", F.unhex(F.sha2("all", 256)).alias("root"), "documents", "n_tokens", "n_chunks")
 
 
 def _checksums(batches):
@@ -226,38 +232,63 @@ def _rebuild(batches):
         crcs, tokens, fine = [], [], []
         for parts, root, want in zip(*(batch.column(c).to_pylist() for c in ("parts", "root", "n_tokens"))):
             crc = n = 0
-            for p in parts:
+            whole = all(p["fine"] for p in parts)  # null for a chunk that is not there
+            for p in parts if whole else ():
                 crc = joiner.join(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
                 n += p["n"]
             crcs.append(crc)
             tokens.append(n)
-            fine.append(n == want and all(p["fine"] for p in parts) and merkle([p["name"] for p in parts]) == root)
+            fine.append(whole and n == want and merkle([p["name"] for p in parts]) == root)
         cols = [batch.column(c) for c in ("part", "pos", "doc_id")]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(tokens, pa.int64()), pa.array(crcs, pa.int64()), pa.array(fine, pa.bool_())], names=["part", "pos", "doc_id", "n_tokens", "ids_crc32", "verified"])
 
 
+def _checked(recipes: DataFrame, manifest: DataFrame) -> dict:
+    """The manifest's rows by file, once the recipes that are there agree with it, file by file and at the top."""
+    rows = {r["part"]: r for r in manifest.collect()}  # a row a file
+    top, files = rows.pop(-1, None), _file_roots(recipes).collect()
+    if top is None or _top(list(rows.values())) != bytes(top["root"]):
+        raise ValueError("the manifest is incomplete or altered")
+    there = {r["part"]: bytes(r["root"]) for r in files}
+    wrong = sorted(p for p in rows.keys() | there.keys() if p not in rows or there.get(p) != bytes(rows[p]["root"]))
+    if wrong:
+        raise ValueError(f"recipe files {wrong[:20]} are missing or differ from the manifest")
+    return rows
+
+
+def _frequent(recipes: DataFrame, uses: int, sample: int = 1_000_000, most: int = 5_000) -> DataFrame:
+    """(name, parts) of the chunks used so often that they are dealt over several tasks, as a sample of the recipes shows them. It decides
+    where rows meet, never which; at most about `most` names can reach their share of the sample."""
+    share = min(1.0, sample / max(1, uses))
+    least = max(20.0, uses * share / most)
+    names = recipes.sample(share, 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda k: F.substring("chunks", k * _HASH + 1, F.lit(_HASH)))).alias("name"))
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") > least)
+    return counted.select("name", F.ceil(F.col("uses") / least).alias("parts"))
+
+
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document read back: doc_id, start, n_tokens, ids_crc32, verified. Fails if a file's recipes don't match the manifest."""
+    """One row per document read back: doc_id, start, n_tokens, ids_crc32, verified. An error names what a store lacks: here for
+    recipes and the manifest, in the job that reads the rows for a chunk that is lost or altered."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    manifest = {r["part"]: r for r in spark.read.parquet(f"{folder}/manifest").collect()}  # a row per file
-    for r in _file_roots(recipes).collect():
-        if bytes(manifest[r["part"]]["root"]) != bytes(r["root"]):
-            raise ValueError(f"recipe file {r['part']} differs from the manifest")
+    files = _checked(recipes, spark.read.parquet(f"{folder}/manifest"))
     before, bases = 0, []
-    for part in sorted(p for p in manifest if p >= 0):
+    for part in sorted(files):
         bases.append((part, before))
-        before += manifest[part]["n_tokens"]
+        before += files[part]["n_tokens"]
     store = spark.read.schema("name binary, n long, body binary, kind string").parquet(f"{folder}/parts").where("kind = 'chunk'").select("name", "n", "body")
     checks = store.mapInArrow(_checksums, "name binary, n long, crc long, fine boolean")
     one = recipes.select("part", "pos", F.posexplode("sizes").alias("k", "size"), "chunks").select("part", "pos", "k", F.expr(f"substring(chunks, k * {_HASH} + 1, {_HASH})").alias("name"))
-    found = one.join(checks, "name", "left").groupBy("part", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "name", "n", "crc", "fine"))).alias("parts"))
+    held = join_salted(one, checks, "name", _frequent(recipes, sum(f["n_chunks"] for f in files.values())), F.xxhash64("part", "pos", "k"), "left")
+    held = held.select("part", "pos", F.struct("k", "name", "n", "crc", "fine").alias("p"))
+    found = held.groupBy("part", "pos").agg(F.array_sort(F.collect_list("p")).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
     whole = recipes.select("part", "pos", "doc_id", "n_tokens", "root").join(found, ["part", "pos"])
     docs = whole.mapInArrow(_rebuild, f"part int, pos long, doc_id {kind}, n_tokens long, ids_crc32 long, verified boolean")
     earlier = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     offset = spark.createDataFrame(bases, "part int, base long")  # a row per file
     placed = docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
-    return placed.join(F.broadcast(offset), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "verified")
+    lost = F.raise_error(F.concat(F.lit("a chunk of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" is missing or altered")))
+    return placed.join(F.broadcast(offset), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", F.when(F.col("verified"), F.col("ids_crc32")).otherwise(lost.cast("long")).alias("ids_crc32"), "verified")
 
 
 def store_documents(df: DataFrame, folder: str | None = None, **options) -> DataFrame:

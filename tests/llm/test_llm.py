@@ -198,6 +198,58 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert token_store.store_documents(empty).count() == 0
 
 
+@pytest.fixture
+def stored(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(None if i % 7 == 0 else i % 9, rng.choice(["", None, "a b c", " ".join(f"w{rng.randrange(90)}" for _ in range(400))])) for i in range(120)]
+    folder = f"{tmp_path}/store"
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{folder}")
+    return rows, folder
+
+
+def test_token_store_orders_null_and_repeated_identifiers(spark, stored):
+    rows, folder = stored
+    got = sorted(map(tuple, token_store.read_store(spark, f"file://{folder}").collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    ids = {t: np.array(whole_ids(t) + [2], "<u4") for _, t in rows}
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((i, len(ids[t]), zlib.crc32(ids[t].tobytes())) for i, t in rows)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+    again = f"{folder}-again"  # the same rows in another order give the same places
+    token_store.write_store(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5), f"file://{again}")
+    assert sorted(map(tuple, token_store.read_store(spark, f"file://{again}").collect()), key=lambda r: r[1]) == got
+
+
+def largest(folder):
+    import pathlib
+
+    return max(pathlib.Path(folder).rglob("*.parquet"), key=lambda p: p.stat().st_size)
+
+
+@pytest.mark.parametrize("part", ["recipes", "manifest", "parts/kind=chunk"])
+def test_token_store_with_a_lost_file_is_an_error(spark, stored, part):
+    largest(f"{stored[1]}/{part}").unlink()
+    with pytest.raises(Exception, match="recipe files|manifest|is missing or altered|UNABLE_TO_INFER_SCHEMA|PATH_NOT_FOUND"):
+        token_store.read_store(spark, f"file://{stored[1]}").collect()
+
+
+def test_token_store_with_an_altered_chunk_is_an_error(spark, stored):
+    folder = f"file://{stored[1]}"
+    chunks = spark.read.parquet(f"{folder}/parts/kind=chunk").collect()
+    worst = max(chunks, key=lambda r: r["n"])
+    rows = [(r["doc_id"], r["n"], r["name"], bytes(r["body"][::-1] if r["name"] == worst["name"] else r["body"]), r["sizes"]) for r in chunks]
+    spark.createDataFrame(rows, spark.read.parquet(f"{folder}/parts/kind=chunk").schema).write.mode("overwrite").parquet(f"{folder}/parts/kind=chunk")
+    with pytest.raises(Exception, match="is missing or altered"):
+        token_store.read_store(spark, folder).collect()
+
+
+def test_salted_join_equals_a_plain_one(spark):
+    left = spark.createDataFrame([(k % 3, k) for k in range(60)] + [(7, 60), (None, 61)], "key int, x int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (9, "d")], "key int, y string")
+    for hot in ([], [(0, 7)], [(0, 2), (1, 3), (9, 4), (5, 5)]):
+        got = common.join_salted(left, right, "key", spark.createDataFrame(hot, "key int, parts int"), common.F.xxhash64("x"), "left")
+        assert Counter(map(tuple, got.select("key", "x", "y").collect())) == Counter([(k % 3, k, "abc"[k % 3]) for k in range(60)] + [(7, 60, None), (None, 61, None)])
+
+
 def test_crc_join_and_cuts():
     rng, joiner = random.Random(5), token_store.CrcJoin()
     for _ in range(50):
