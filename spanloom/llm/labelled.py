@@ -1,4 +1,8 @@
-"""Training rows for the classifiers: labelled documents outside the held-out fifth, a bounded sample of them."""
+"""Training rows for the classifiers: labelled documents outside the held-out fifth, a bounded sample of them.
+
+Edge cases: null labels and null identifiers train nothing; an identifier that is labelled twice has the greater label; an identifier
+that repeats among documents trains with each of its texts; identifiers may be text; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ Each piece then finds its place from its rank among the pieces of its length: no
 length, and no token moves.
 
 Edge cases: null and empty texts are one piece holding the closing id alone; a document longer than the capacity is cut
-into full pieces and a rest; equal rows are packed each on its own; an empty table gives an empty result.
+into full pieces and a rest; equal rows, and rows that repeat an identifier or have none, are packed each on its own; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ weighted by the logarithm of its count and the vector scaled to length one. Weig
 bucket, L1 and L2), fitted in one task on a bounded sample of labelled rows; scoring is a sparse dot product in each task.
 
 Edge cases: null and empty texts have no features and get the score of the intercept; without labelled rows every score is 0.5;
-labels of one kind only fit an intercept; equal texts score alike; an empty table gives an empty result.
+labels of one kind only fit an intercept; equal texts score alike, however long; null and repeated identifiers
+are rows like any other and may be text; an empty table gives an empty result.
 """
 
 import re
@@ -63,7 +64,7 @@ class Ftrl:
 
 def _fit(frames):
     rows = [r for f in frames for r in zip(f["doc_id"].to_list(), f["text"].to_list(), f["y"].to_list())]
-    rows.sort(key=lambda r: (crc32(b"%d" % r[0]), r[0], r[1] or ""))
+    rows.sort(key=lambda r: (crc32(str(r[0]).encode()), str(r[0]), r[1] or ""))
     model, seen = Ftrl(), [(features(t), y) for _, t, y in rows]
     ones = sum(y for _, y in seen)
     rare = np.sqrt(max(1, len(seen) - ones) / max(1, ones))  # between the labels' shares and equal shares

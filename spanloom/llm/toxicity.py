@@ -9,7 +9,8 @@ bit score lambda S - log n; the text's bit scores are summed over its significan
 a bounded sample of labelled rows, gives the probability.
 
 Edge cases: null and empty texts have no segment and get the score of a text without any; without labelled rows every score
-is 0; labels of one kind only give no tokens and the share of that label; equal texts score alike; an empty table gives an empty result.
+is 0; labels of one kind only give no tokens and the share of that label; equal texts score alike, however long; null and repeated identifiers
+are rows like any other and may be text; an empty table gives an empty result.
 """
 
 import re
@@ -25,7 +26,6 @@ PRIOR = 500.0  # weight of the informative prior, in words of documents
 FLAT = 0.5  # weight of the flat prior, for each word
 Z = 3.0  # standard errors that a token's log-odds have to exceed
 DRIFT = 0.35  # cost of any other token
-VOCABULARY = 50_000  # tokens a model holds at most, by evidence
 SAMPLE = 40_000  # labelled rows the model is fitted on at most, a fixed bound
 SIGNIFICANT = 0.0  # bit score from which a segment counts
 THRESHOLD = 0.5
@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W_]+")
 _SPARK_WORD = "[\\p{L}\\p{N}]+"
 
 
-def token_scores(counts: DataFrame, prior: float = PRIOR, z: float = Z, vocabulary: int = VOCABULARY) -> DataFrame:
+def token_scores(counts: DataFrame, prior: float = PRIOR, z: float = Z) -> DataFrame:
     """(word, toxic, clean) counts -> (word, s): log-odds ratio under the prior, less z standard errors, where positive."""
     total = counts.agg(F.sum("toxic").alias("nt"), F.sum("clean").alias("nc"))
     both = counts.crossJoin(F.broadcast(total))  # one row
@@ -42,7 +42,7 @@ def token_scores(counts: DataFrame, prior: float = PRIOR, z: float = Z, vocabula
     odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.col(n) + prior - F.col(y) - F.col("a")))
     error = F.sqrt(1 / (F.col("toxic") + F.col("a")) + 1 / (F.col("clean") + F.col("a")))
     s = odds("toxic", "nt") - odds("clean", "nc") - z * error
-    return rated.select("word", s.alias("s"), ((F.col("clean") + FLAT) / F.col("nc")).alias("p")).where("s > 0").orderBy(F.desc("s"), "word").limit(vocabulary)
+    return rated.select("word", s.alias("s"), ((F.col("clean") + FLAT) / F.col("nc")).alias("p")).where("s > 0")
 
 
 class Scorer:
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
     rows = training_rows(docs, labels, target, sample).cache()
     words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_SPARK_WORD), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    table = token_scores(counts).collect()  # at most VOCABULARY rows
+    table = sorted(token_scores(counts).collect())  # words of the bounded sample that tell the labels apart
     scorer = Scorer({r["word"]: r["s"] for r in table}, {r["word"]: r["p"] for r in table})
     got = rows.select("y", _bits(scorer)("text").alias("bits")).collect()  # at most `sample` rows
     rows.unpersist()

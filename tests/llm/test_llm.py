@@ -477,6 +477,22 @@ def test_pipeline(spark, sf, tmp_path):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length").collect()} == {tuple(r) for r in docs.select("doc_id", "piece", "length").collect()}
 
 
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, None, None, 1), (None, "", "x", 2), (1, "", None, 3), (1, None, None, 4), (2, "word " * 60_000, "y", 5), (2, "tie one two three", None, 6), (2, "tie one two three", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string, norm int")  # clashing names, nulls, a very long text, ties
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    kept = Counter(map(tuple, corpus_pipeline.drop_exact_copies(spark, docs, "").collect()))
+    assert sum(kept.values()) == 3 and {t[1] or "" for t in kept} == {"", rows[4][1], "tie one two three"}
+    packed = corpus_pipeline.pack(spark, docs, "")
+    assert packed.where("piece = 0").count() == len(rows) and corpus_pipeline.pack(spark, docs.where("false"), "").count() == 0
+
+
 def test_pipeline_keeps_rows_by_identifier_and_text(spark):
     import corpus_pipeline
 
