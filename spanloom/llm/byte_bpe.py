@@ -111,11 +111,11 @@ class ByteBPE(Memo):
         pattern = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{white}").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")
         self.general = regex.compile(pattern)
 
-    def __missing__(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
         whole = self.whole.get(raw)
         ids = [whole] if whole is not None else merge_bytes(raw, self.ranks)
-        return self.keep(piece, np.array(ids, dtype="<u4").tobytes())
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -75,18 +75,19 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, sal
 
 
 class Memo(dict):
-    """Results by piece of text, bounded in bytes: it is emptied when full, and long pieces are not kept."""
+    """Results by piece of text, bounded in bytes: emptied when full, and long pieces are not kept."""
 
-    def __init__(self, limit: int = 64 << 20, longest: int = 256):
+    def __init__(self, limit: int = 160 << 20, longest: int = 256):
         super().__init__()
         self.limit, self.longest, self.held = limit, longest, 0
 
-    def keep(self, piece: str, packed: bytes) -> bytes:
-        if len(piece) <= self.longest:
-            self.held += 200 + 4 * len(piece) + len(packed)
+    def __missing__(self, piece: str) -> bytes:
+        packed, n = self.made(piece), len(piece)
+        if n <= self.longest:
+            self.held += 200 + 20 * n  # the most that n characters and their ids take
             if self.held > self.limit:
                 self.clear()
-                self.held = 200 + 4 * len(piece) + len(packed)
+                self.held = 200 + 20 * n
             self[piece] = packed
         return packed
 

@@ -256,7 +256,7 @@ def _checked(recipes: DataFrame, manifest: DataFrame) -> dict:
     return rows
 
 
-def _frequent(recipes: DataFrame, uses: int, sample: int = 1_000_000, most: int = 5_000) -> DataFrame:
+def _frequent(recipes: DataFrame, uses: int, sample: int = 200_000, most: int = 1_000) -> DataFrame:
     """(name, parts) of the chunks used so often that they are dealt over several tasks, as a sample of the recipes shows them. It decides
     where rows meet, never which; at most about `most` names can reach their share of the sample."""
     share = min(1.0, sample / max(1, uses))

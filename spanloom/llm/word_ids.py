@@ -59,15 +59,15 @@ class WordEncoder(Memo):
         plain = rules["model"].get("type") == "BPE" and not rules["model"].get("dropout") and not rules.get("post_processor") and not rules.get("truncation") and not rules.get("padding")
         added = rules.get("added_tokens") or []
         self.cut = plain and rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and not any(t["normalized"] for t in added)
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        self.added = [t["content"] for t in added]
         self.model = self.library.model
         self.alphabet = byte_alphabet()
 
-    def __missing__(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         if piece[0] == "\0":  # a chunk for the whole library pipeline
-            return self.keep(piece, self.whole(piece[1:]))
+            return self.whole(piece[1:])
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-        return self.keep(piece, np.array([token.id for token in self.model.tokenize(spelled)], dtype="<u4").tobytes())
+        return np.array([token.id for token in self.model.tokenize(spelled)], dtype="<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -75,7 +75,7 @@ class WordEncoder(Memo):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cut or self.added.search(text):
+        if not self.cut or any(t in text for t in self.added):
             return self.whole(text)
         if _UNUSUAL.search(text):
             return b"".join(map(self.__getitem__, ["\0" + x for x in _CHUNK.findall(text)]))
