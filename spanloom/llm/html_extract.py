@@ -186,14 +186,33 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, frame_share: fl
     return rated.groupBy("host").agg(F.collect_list(F.when(F.col("framing"), F.col("hash"))).alias("frames"), F.collect_list(F.when(F.col("anywhere"), F.col("hash"))).alias("anywhere"))
 
 
-def _extract(batches):
+def _extracted(batches, of_host):
+    """Rows of pages without their templates; of_host gives the two sets of a row."""
     for batch in batches:
-        pages = [_Page(s or "", frozenset(f or ()), frozenset(a or ())) for s, f, a in zip(*(batch.column(c).to_pylist() for c in ("html", "frames", "anywhere")))]
+        names = batch.column("host").to_pylist()
+        pages = [_Page(source or "", *of_host(name, batch, i)) for i, (name, source) in enumerate(zip(names, batch.column("html").to_pylist()))]
         texts = [p.main_text() for p in pages]
         counts = pa.array([len(t) for t in texts], pa.int64()), pa.array([p.removed for p in pages], pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *counts], names=["page_id", "url", "text", "n_chars", "n_templates"])
 
 
+def _from_broadcast(shared):
+    none = (frozenset(), frozenset())
+    return lambda batches: _extracted(batches, lambda name, batch, i: shared.value.get(name, none))
+
+
+def _from_columns(batches):
+    last: dict = {}  # rows of a host come one after another, with equal lists
+
+    def of_host(name, batch, i):
+        if name not in last:
+            last.clear()
+            last[name] = tuple(frozenset(batch.column(c)[i].as_py() or ()) for c in ("frames", "anywhere"))
+        return last[name]
+
+    return _extracted(batches, of_host)
+
+
 def _by_host(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows joined by host with templates; a host with a large share of the rows is dealt over several tasks, its templates to each."""
     sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-sizes")
@@ -207,6 +226,9 @@ def extract_pages(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Dat
     found = written(site_templates(pages), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("frames") + F.size("anywhere")), F.lit(0))).first()[0]
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(found), "host", "left") if size <= broadcast_rows else _by_host(rows, found)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "frames", "anywhere").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long, n_templates int")
+    out = f"page_id {kind}, url string, text string, n_chars long, n_templates int"
+    if size > broadcast_rows:
+        return _by_host(rows, found).mapInArrow(_from_columns, out)
+    sets = {r["host"]: (frozenset(r["frames"]), frozenset(r["anywhere"])) for r in found.collect()}  # at most `broadcast_rows` hashes
+    return rows.mapInArrow(_from_broadcast(pages.sparkSession.sparkContext.broadcast(sets)), out)
