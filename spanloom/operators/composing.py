@@ -25,14 +25,15 @@ SPANS = "array<struct<s:double,e:double>>"
 
 
 def nearby(words: DataFrame, spans: DataFrame, grow_ms: int = MIN_MS, reach_ms: int = REACH_MS) -> DataFrame:
-    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e]) with `words` around them and the medium's length."""
+    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e]) with `words` around them and the medium's length, null for media without words."""
     first = F.least("start_ms", "setup_s") if "setup_s" in spans.columns else F.col("start_ms")
     around = spans.select("media_id", "id", F.greatest(first.cast("long") - reach_ms, F.lit(0)).alias("start_ms"), (F.greatest(F.col("end_ms"), F.col("start_ms") + grow_ms) + reach_ms).cast("long").alias("end_ms"))
     said = words.select("media_id", "w_idx", "start_ms", "end_ms", C.ends_sentence(F.col("word")).alias("sent"), (C.ends_sentence(F.col("word")) | C.ends_clause(F.col("word"))).alias("clause"))
     word = F.struct(F.col("r.start_ms").cast("double").alias("s"), F.col("r.w_idx").alias("i"), F.col("r.end_ms").cast("double").alias("e"), "r.sent", "r.clause")
     lists = overlapping(around, said).groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(word)).alias("words"))
     length = words.groupBy("media_id").agg(F.max("end_ms").cast("double").alias("length_ms"))
-    return spans.join(lists, ["media_id", "id"]).join(length, "media_id")
+    rows = spans.join(lists, ["media_id", "id"], "left").join(length, "media_id", "left")
+    return rows.withColumn("words", F.coalesce("words", F.array().cast(lists.schema["words"].dataType)))
 
 
 def points(a, b, sentence, clause, cramped, t: float, at_start: bool):
@@ -94,7 +95,12 @@ def snap_within(rows: DataFrame, s: str, e: str, min_ms: float | None = None, ma
         out = []
         for *w, n, x, y in zip(ws, we, sent, clause, length, s, e):
             lists = tuple(np.asarray(v, dtype=k) for v, k in zip(w, (float, float, bool, bool)))
-            out.append((None, None) if pd.isna(x) else snap_one(lists, x, y, n, min_ms, max_ms))
+            if pd.isna(x):
+                out.append((None, None))
+            elif pd.isna(n):  # no word in the medium, so nothing to move to
+                out.append((x, y))
+            else:
+                out.append(snap_one(lists, x, y, n, min_ms, max_ms))
         return pd.DataFrame(out, columns=["s", "e"], dtype=float)
 
     part = lambda name: F.transform("words", lambda w: w[name])
@@ -140,7 +146,7 @@ def fused(spans: Column, slack_ms: float = SLACK_MS) -> Column:
 
 def compose(words: DataFrame, spans: DataFrame, excluded: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS) -> DataFrame:
     """Clips (media_id, id, spans array of s and e) from spans (media_id, id, start_ms, end_ms, setup_s, setup_e; a setup may be null).
-    Spans of media without words have no clip; a span that exclusions swallow whole stays as it was."""
+    Edges of media without words stay where they are; a span that exclusions swallow whole stays as it was."""
     rows = nearby(words, spans, min_ms)
     ads = overlapping(spans.select("media_id", "id", (F.least("start_ms", "setup_s") - REACH_MS).cast("long").alias("start_ms"), (F.greatest(F.col("end_ms"), F.col("start_ms") + min_ms) + REACH_MS).cast("long").alias("end_ms")), excluded)
     ads = ads.groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(F.struct(F.col("r.start_ms").cast("double").alias("s"), F.col("r.end_ms").cast("double").alias("e")))).alias("ads"))

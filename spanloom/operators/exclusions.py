@@ -45,7 +45,7 @@ def sponsor_spans(rows: DataFrame, strong: Sequence[str] = L.STRONG_MARKERS, wea
     members = members.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     found = members.groupBy("media_id", "cluster").agg(
         F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.min("sent_id").alias("lo"), F.max("sent_id").alias("hi"), F.max("seed").alias("seeded"),
-        F.max_by("after", "sent_id").alias("after"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("sent_id"))).alias("first_own"), F.min("named").alias("least_named"),
+        F.max_by("after", "sent_id").alias("after"), F.min_by("own", F.when(F.col("own").isNotNull() & ~F.col("seed"), F.col("sent_id"))).alias("first_own"), F.min("named").alias("least_named"),
     ).where("seeded")
     more = F.coalesce(F.col("after.weak"), F.lit(False))
     end, last = F.when(more, F.col("after.end_ms")).otherwise(F.col("e")) + pad_ms, F.when(more, F.col("after.sent_id")).otherwise(F.col("hi"))

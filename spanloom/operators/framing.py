@@ -23,7 +23,8 @@ def best_window(scores: DataFrame, fraction: float) -> DataFrame:
     ends = rows.select("frame", (F.col("pos") - F.col("width") + 1).alias("at"), "n", "width", "upto")
     before = rows.select(F.col("frame").alias("f"), (F.col("pos") + 1).alias("p"), F.col("upto").alias("skip"))
     totals = ends.where("at >= 0").join(before, (F.col("frame") == F.col("f")) & (F.col("at") == F.col("p")), "left").select("frame", "at", "n", "width", (F.col("upto") - F.coalesce("skip", F.lit(0.0))).alias("total"))
-    spread = (F.max("total").over(Window.partitionBy("frame")) - F.min("total").over(Window.partitionBy("frame")))
+    spread = F.max("total").over(Window.partitionBy("frame")) - F.min("total").over(Window.partitionBy("frame"))
+    spread = F.when(spread == 0, 1.0).otherwise(spread)  # in a flat frame the middle wins
     centre = (F.col("at") + F.col("width") / 2) / F.col("n")
     rated = totals.select("frame", "at", "n", "width", F.round(F.col("total") - CENTRE_BIAS * spread * F.abs(centre - 0.5) * 2, 6).alias("rated"))
     best = rated.groupBy("frame").agg(F.max_by(F.struct("at", "n", "width"), F.struct("rated", -F.col("at"))).alias("b"))

@@ -34,6 +34,12 @@ def overlap_fraction(spans: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.withColumn("fraction", F.least(F.lit(1.0), F.when(F.col("end_ms") > F.col("start_ms"), F.col("covered_ms") / (F.col("end_ms") - F.col("start_ms"))).otherwise(F.lit(0.0))))
 
 
+def mostly_outside(spans: DataFrame, excluded: DataFrame, most: float = 0.25) -> DataFrame:
+    """Spans (media_id, id, start_ms, end_ms, ...) of which less than the share `most` lies under exclusions."""
+    rows = overlap_fraction(spans, excluded)
+    return rows.where(F.col("fraction") < most).drop("covered_ms", "fraction")
+
+
 def keep_unless_empty(rows: DataFrame, flag: str) -> DataFrame:
     """Rows with the flag; all rows of a medium where none has it."""
     some = F.max(F.col(flag).cast("int")).over(Window.partitionBy("media_id"))
@@ -42,13 +48,13 @@ def keep_unless_empty(rows: DataFrame, flag: str) -> DataFrame:
 
 def subtract(spans: DataFrame, excluded: DataFrame, min_piece_ms: int = 2000) -> DataFrame:
     """Pieces of each span (media_id, id, ...) outside the exclusions that are long enough."""
-    pairs = overlapping(spans, merge_touching(excluded, 0)).select("l.media_id", "l.id", "l.start_ms", "l.end_ms", F.col("r.start_ms").alias("a"), F.col("r.end_ms").alias("b"))
-    w = Window.partitionBy("media_id", "id").orderBy("a")
-    inner = pairs.select("media_id", "id", F.coalesce(F.lag("b").over(w), F.col("start_ms")).alias("start_ms"), F.col("a").alias("end_ms"))
-    tail = pairs.groupBy("media_id", "id").agg(F.max("b").alias("start_ms"), F.first("end_ms").alias("end_ms"))
-    free = spans.join(tail.select("media_id", "id"), ["media_id", "id"], "left_anti").select("media_id", "id", "start_ms", "end_ms")
-    pieces = free.unionByName(inner).unionByName(tail)
-    return pieces.where(F.col("end_ms") - F.col("start_ms") >= min_piece_ms)
+    piece = F.struct(F.col("r.start_ms").cast("long").alias("a"), F.col("r.end_ms").cast("long").alias("b"))
+    held = overlapping(spans.select("media_id", "id", "start_ms", "end_ms"), merge_touching(excluded, 0)).groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(piece)).alias("x"))
+    rows = spans.join(held, ["media_id", "id"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    starts = F.concat(F.array(F.col("start_ms").cast("long")), F.transform("x", lambda p: p["b"]))
+    ends = F.concat(F.transform("x", lambda p: p["a"]), F.array(F.col("end_ms").cast("long")))
+    left = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["e"] - p["s"] >= min_piece_ms)
+    return rows.select("media_id", "id", F.explode(left).alias("p")).select("media_id", "id", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"))
 
 
 def clamp_outside(spans: DataFrame, excluded: DataFrame, min_ms: int = 1000) -> DataFrame:

@@ -18,22 +18,29 @@ CONTEXT_MS, SETUP_MS, SETUP_LEAST_MS = 60_000, 20_000, 1500
 TOPIC_MS, REVEAL_MS, MAX_MS, MIN_MS, PAYOFF_LINES, TOLERANCE = 45_000, 25_000, 180_000, 15_000, 2, 0.15
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(hook: pd.Series, line: pd.Series) -> pd.Series:
+def similarity(hook: Column, line: Column, threshold: float = MATCH) -> Column:
     """Matching-blocks ratio of two openings; 0 where its upper bounds are already under the threshold, or a side is null."""
-    matcher, out = difflib.SequenceMatcher(None), []
-    for a, b in zip(hook, line):
-        a, b = (a or "")[:COMPARED].lower(), (b or "")[:COMPARED].lower()
-        matcher.set_seqs(a, b)
-        out.append(matcher.ratio() if matcher.real_quick_ratio() >= MATCH and matcher.quick_ratio() >= MATCH else 0.0)
-    return pd.Series(out, dtype=float)
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(hook: pd.Series, line: pd.Series) -> pd.Series:
+        matcher, out = difflib.SequenceMatcher(None), []
+        for a, b in zip(hook, line):
+            matcher.set_seqs((a or "")[:COMPARED].lower(), (b or "")[:COMPARED].lower())
+            out.append(matcher.ratio() if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return ratio(hook, line)
 
 
 def locate_hooks(hooks: DataFrame, lines: DataFrame, threshold: float = MATCH) -> DataFrame:
     """Hooks (media_id, id, hook, stated) and lines (media_id, n, text, start_ms, end_ms): the stated line if it resembles the hook, else the most similar
     line, the first among equals; hooks without one are left out."""
     said = hooks.select("media_id", "id", F.trim(F.regexp_replace(F.trim("hook"), "^>+", "")).alias("hook"), F.bround(F.col("stated").try_cast("double")).cast("long").alias("stated")).where("hook <> ''")
-    pairs = said.join(lines, "media_id").withColumn("score", similarity(F.col("hook"), F.col("text"))).where(F.col("score") >= threshold)
+    pairs = said.join(lines, "media_id")
+    # the ratio is twice the shared characters over both lengths, so unlike lengths can't reach the threshold
+    a, b = (F.least(F.length(c), F.lit(COMPARED)) for c in ("hook", "text"))
+    pairs = pairs.where(2 * F.least(a, b) >= threshold * (a + b) - 2)
+    pairs = pairs.withColumn("score", similarity(F.col("hook"), F.col("text"), threshold)).where(F.col("score") >= threshold)
     best = pairs.groupBy("media_id", "id").agg(F.max(F.struct((F.coalesce(F.col("n") == F.col("stated"), F.lit(False))).alias("own"), "score", (-F.col("n")).alias("o"), "n", "start_ms", "end_ms")).alias("x"))
     return best.select("media_id", "id", "x.n", F.round("x.score", 6).alias("score"), "x.start_ms", "x.end_ms")
 

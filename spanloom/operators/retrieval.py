@@ -8,12 +8,30 @@ from pyspark.sql import functions as F
 from spanloom.functions import columns as C
 
 
+PROBES = 1_000  # probes that meet the corpus at a time
+
+
 def nearest(corpus: DataFrame, probes: DataFrame, k: int = 8) -> DataFrame:
-    """Exact k nearest by cosine: probes (probe, embedding) are few and stated by the caller; relevance = max(0, cosine), 4 places."""
-    pairs = corpus.select("id", F.col("embedding").alias("v")).crossJoin(F.broadcast(probes.select("probe", F.col("embedding").alias("q"))))
-    scored = pairs.select("probe", "id", F.round(F.greatest(F.lit(0.0), C.cosine(F.col("v"), F.col("q"))), 4).alias("relevance"))
+    """Exact k nearest by cosine: probes (probe, embedding) are stated by the caller and meet the corpus in blocks of bounded size;
+    relevance = max(0, cosine), 4 places."""
+    asked = probes.select("probe", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // PROBES))
     best = Window.partitionBy("probe").orderBy(F.desc("relevance"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = None
+    for number in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == number) if blocks > 1 else asked
+        pairs = corpus.select("id", F.col("embedding").alias("v")).crossJoin(F.broadcast(block))  # about PROBES rows
+        scored = pairs.select("probe", "id", F.round(F.greatest(F.lit(0.0), C.cosine(F.col("v"), F.col("q"))), 4).alias("relevance"))
+        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        found = top if found is None else found.unionByName(top)
+    return found
+
+
+def search(corpus: DataFrame, probes: DataFrame, k: int = 8, most: int = 50) -> DataFrame:
+    """Hits on one finished medium, k held to 1 .. `most`; corpus also has start_ms and end_ms, which come back in seconds."""
+    hits = nearest(corpus, probes, min(max(int(k), 1), most))
+    times = corpus.select("id", *(F.round(F.col(c) / 1000, 3).alias(n) for c, n in (("start_ms", "start"), ("end_ms", "end"))))
+    return hits.join(times, "id").select("probe", "rank", "id", "relevance", "start", "end")
 
 
 def merge_probes(hits: DataFrame, n_probes: int) -> DataFrame:
@@ -45,6 +63,13 @@ def duration_buckets(spark, count: int, lo: float = 15.0, hi: float = 180.0) ->
 
 def spread_by_duration(clips: DataFrame, buckets: DataFrame, count: int) -> DataFrame:
     """At most `count` clips (media_id, id, score, duration) of each medium: every bucket takes the best unused clip of its length, score order fills the rest."""
+    # of a bucket at most as many as there are buckets can be chosen, of the rest at most `count`: the others can go before any list is built
+    n = buckets.count() + count
+    inside = F.col("duration").cast("double").between(F.col("lo"), F.col("hi")) | (F.col("hi") == F.lit(buckets.agg(F.max("hi")).first()[0])) & (F.col("duration") > F.col("hi"))
+    first = Window.partitionBy("media_id", "bucket").orderBy(F.desc("score"), "id")
+    of_bucket = clips.join(F.broadcast(buckets), inside).withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)  # a row a bucket
+    best = clips.withColumn("r", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= n)
+    clips = of_bucket.select("media_id", "id", "score", "duration").unionByName(best.select("media_id", "id", "score", "duration")).distinct()
     item = F.struct((-F.col("score")).alias("o"), "id", F.col("duration").cast("double").alias("d"))
     edges = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "lo", "hi"))).alias("b"))
     lists = clips.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("items")).crossJoin(F.broadcast(edges))  # one row

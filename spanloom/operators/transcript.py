@@ -71,9 +71,11 @@ def topic_ends(gaps: DataFrame) -> DataFrame:
 
 
 def semantic_gaps(rows: DataFrame, threshold: float, block: int = 3) -> DataFrame:
-    """Rows (media_id, sent_id, embedding): gaps where the means of up to `block` vectors before and after are least alike."""
+    """Rows (media_id, sent_id, embedding): gaps where the means of up to `block` vectors before and after are least alike. Media of
+    fewer than two blocks have none."""
     w = _w("sent_id")
     mean = lambda c: F.transform(F.sequence(F.lit(0), F.size(c[0]) - 1), lambda i: F.aggregate(c, F.lit(0.0), lambda s, v: s + v[i].cast("double")) / F.size(c))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("media_id"))).where(F.col("_n") >= 2 * block)
     both = rows.select("media_id", "sent_id", F.collect_list("embedding").over(w.rowsBetween(1 - block, 0)).alias("a"), F.collect_list("embedding").over(w.rowsBetween(1, block)).alias("b")).where(F.size("b") > 0)
     scored = both.select("media_id", "sent_id", C.cosine(mean(F.col("a")), mean(F.col("b"))).alias("score"))
     beside = lambda f: f("score", 1, 1.0).over(w)

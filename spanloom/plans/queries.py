@@ -204,8 +204,8 @@ def _mean(side: str) -> str:
 
 @query(
     f"""WITH w AS (SELECT CAST(label AS BIGINT) AS media_id, vec_id AS sent_id, list(embedding) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a,
-      list(embedding) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS b FROM embeddings),
-    s AS (SELECT media_id, sent_id, list_cosine_similarity({_mean('a')}, {_mean('b')}) AS score FROM w WHERE len(b) > 0),
+      list(embedding) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS b, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+    s AS (SELECT media_id, sent_id, list_cosine_similarity({_mean('a')}, {_mean('b')}) AS score FROM w WHERE len(b) > 0 AND n >= 6),
     k AS (SELECT *, lag(score, 1, 1.0) OVER (PARTITION BY media_id ORDER BY sent_id) AS l, lead(score, 1, 1.0) OVER (PARTITION BY media_id ORDER BY sent_id) AS r FROM s)
     SELECT media_id, sent_id, round(score, 4) AS score FROM k WHERE score <= 0.62 AND score <= l AND score <= r"""
 )

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +26,60 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _part():
+    return F.pmod(F.xxhash64(F.col("media_id").cast("long")), F.lit(64)).cast("int")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:  # nothing was saved yet
+        return None
+
+
+def _replace(spark: SparkSession, folder: str, media: DataFrame, rows: DataFrame | None) -> None:
+    """The parts that hold `media` without their old rows and with the new ones. A part holds the media of one hash, so other media of a
+    touched part are written again; parts that aren't touched stay as they are."""
+    old = _stored(spark, folder)
+    if old is not None:
+        parts = [r["part"] for r in media.select(_part().alias("part")).distinct().collect()]  # 64 at most
+        kept = old.where(F.col("part").isin(parts)).join(media, "media_id", "left_anti")
+        rows = kept if rows is None else kept.unionByName(rows, allowMissingColumns=True)
+    if rows is None:
+        return
+    moved = scratch(spark, "store")  # files that are read can't be overwritten
+    rows.write.parquet(moved)
+    spark.read.parquet(moved).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+
+
 def save(rows: DataFrame, folder: str, index: str, batch: int = BATCH) -> None:
-    """Rows of media in batches by their index; media that are saved again replace what was there."""
-    numbered = rows.withColumn("batch", F.floor(F.col(index) / batch))
-    # partitions are coarse: a folder holds the media of one hash, not one medium
-    numbered.withColumn("part", F.pmod(F.xxhash64("media_id"), F.lit(64)).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+    """Rows of media in batches by their index; media that are saved again replace what was there, other media stay."""
+    numbered = rows.withColumn("batch", F.floor(F.col(index) / batch)).withColumn("part", _part())
+    _replace(rows.sparkSession, folder, rows.select("media_id").distinct(), numbered)
+
+
+def remove(spark: SparkSession, folder: str, media: DataFrame) -> None:
+    """Take media out of a store. A part keeps a mark, so that one which loses its last medium is written at all."""
+    old = _stored(spark, folder)
+    if old is None:
+        return
+    gone = media.select("media_id").distinct()
+    marks = old.join(gone, "media_id", "left_semi").select("media_id").distinct().withColumn("part", _part()).withColumn("removed", F.lit(True))
+    marks = marks.groupBy("part").agg(F.min("media_id").alias("media_id"), F.first("removed").alias("removed"))  # a part is never empty
+    _replace(spark, folder, gone, marks)
+
+
+def drop(spark: SparkSession, folder: str) -> bool:
+    """Delete a whole store; false if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def load(spark: SparkSession, folder: str, media: Sequence[int] | None = None) -> DataFrame:
     """The saved rows, of some media if named."""
-    rows = spark.read.parquet(folder)
+    rows = spark.read.option("mergeSchema", "true").parquet(folder)
+    if "removed" in rows.columns:
+        rows = rows.where("removed IS NULL").drop("removed")
     if media is not None:
         named = F.array(*[F.lit(m).cast("long") for m in media])
         rows = rows.where(F.col("media_id").isin(*media) & F.exists(named, lambda m: F.pmod(F.xxhash64(m), F.lit(64)).cast("int") == F.col("part")))
