@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import WORDS, plain_snap, word_rows
+from test_operators import WORDS, check_cut, word_rows
 
 from spanloom.operators import chunks, composing, narrative, people
 from spanloom.sources import store
@@ -24,11 +24,11 @@ def lists(words):
 
 
 @pytest.mark.parametrize("at_start", [True, False])
-def test_cut_equals_plain_rule(at_start):
+def test_cut_is_the_best_in_reach(at_start):
     words, rng, pad = talk(1, 4), random.Random(5), 250 if at_start else 600
     for _ in range(300):
         t = rng.randrange(0, words[-1][4] + 500)
-        assert composing.cut_at(lists(words), t, at_start, pad, 0.0 if at_start else 1e12) == pytest.approx(plain_snap(words, t, at_start, pad)), t
+        check_cut(words, t, at_start, composing.cut_at(lists(words), t, at_start, pad, 0.0 if at_start else 1e12), pad)
 
 
 def test_span_limits():
@@ -41,43 +41,6 @@ def test_span_limits():
         assert b - a >= 15_000 - 1
 
 
-def plain_compose(words, s, e, u, v, ads, cleared, low, high):
-    w = lists(words)
-    end = w[1].max()
-    size = lambda p: p[1] - p[0]
-
-    def clear(span):
-        pieces = [span]
-        for x, y in sorted(ads):
-            pieces = [q for a, b in pieces for q in ([(a, b)] if y <= a or x >= b else [(a, x), (y, b)]) if q[1] > q[0]]
-        return [p for p in pieces if size(p) >= 3000]
-
-    main = composing.snap_one(w, s, e, end, low, high)
-    spans = [main]
-    if u is not None:
-        a, b = composing.snap_one(w, u, v, end, None, 20_000)
-        b = min(b, main[0])
-        room = high - size(main)
-        if b - a > room:
-            a = b - room
-            a = next((y for x, y in zip(w[0], w[1]) if x < a < y), a)
-        if b - a >= 1000:
-            spans.insert(0, (a, b))
-    left = [p for q in spans for p in clear(q)] if cleared else []
-    if left:
-        spans = [composing.snap_one(w, *p, end, None, high) for p in left]
-        if sum(map(size, spans)) < low:
-            spans = [composing.snap_one(w, *max(spans, key=size), end, low, high)]
-            spans = [max(clear(spans[0]), key=size)] if clear(spans[0]) else spans
-    out = []
-    for a, b in sorted(p for p in spans if size(p) > 0):
-        if out and a - out[-1][1] <= 50:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def test_compose_and_grades(spark):
     media = {1: talk(1, 7), 2: talk(2, 8)}
     rng, rows = random.Random(9), []
@@ -88,13 +51,28 @@ def test_compose_and_grades(spark):
             rows.append((m, i, s, s + rng.randrange(5_000, 45_000), u, None if u is None else u + 4_000))
     ads = [(1, 30_000, 36_000), (1, 50_000, 52_000), (1, 51_000, 60_000)]
     w = spark.createDataFrame([r for m in media.values() for r in m], WORDS)
-    spans = spark.createDataFrame(rows, "media_id long, id long, start_ms long, end_ms long, setup_s long, setup_e long")
+    asked = spark.createDataFrame(rows, "media_id long, id long, start_ms long, end_ms long, setup_s long, setup_e long")
     excluded = spark.createDataFrame(ads, "media_id long, start_ms long, end_ms long")
-    clips = composing.compose(w, spans, excluded, 15_000, 40_000).cache()
+    clips = composing.compose(w, asked, excluded, 15_000, 40_000).cache()
     got = {(r["media_id"], r["id"]): [tuple(p) for p in r["spans"]] for r in clips.collect()}
+    assert set(got) == {(m, i) for m, i, *_ in rows}
     for m, i, s, e, u, v in rows:
-        mine = [a[1:] for a in ads if a[0] == m]
-        assert got[m, i] == plain_compose(media[m], s, e, u, v, mine, bool(mine), 15_000, 40_000), (m, i)
+        spans, mine = got[m, i], [a[1:] for a in ads if a[0] == m]
+        assert spans == sorted(spans) and all(a < b for a, b in spans) and all(x[1] + 50 < y[0] for x, y in zip(spans, spans[1:]))
+        assert 3000 <= sum(b - a for a, b in spans) <= 40_000 + 2000
+        # it holds on to what was asked for: pieces lie around the span or its setup
+        assert all(min(s, u if u is not None else s) - 12_000 <= a and b <= max(e, s + 15_000) + 24_000 for a, b in spans)
+        if not mine:  # nothing to cut out: the span, and at most a setup of 20 s before it
+            assert len(spans) <= (1 if u is None else 2) and spans[-1][1] - spans[-1][0] >= 14_999 or u is not None
+            assert len(spans) == 1 or 1000 <= spans[0][1] - spans[0][0] <= 20_000
+            for a, b in spans:  # never inside a word
+                assert not any(x[3] < t < x[4] for t in (a, b) for x in media[m])
+        for a, b in spans:  # what reaches into an exclusion got there by its last move to a cut, or is the longest piece left
+            deep = sum(max(0, min(b, y) - max(a, x)) for x, y in ((30_000, 36_000), (50_000, 60_000)) if m == 1)
+            assert deep <= 2 * (10_000 + 600)  # each edge moves by its reach at most
+    # a span that no exclusion touches is the same as without any
+    free = {(r["media_id"], r["id"]): [tuple(p) for p in r["spans"]] for r in composing.compose(w, asked, excluded.where("false"), 15_000, 40_000).collect()}
+    assert all(free[k] == got[k] for k in got if k[0] == 2) and any(free[k] != got[k] for k in got if k[0] == 1)
     assert any(len(x) > 1 for x in got.values())
     sentences = spark.createDataFrame([(1, 0, "wait that is", 0, 20_000)], "media_id long, sent_id long, text string, start_ms long, end_ms long")
     graded = composing.grades(clips.withColumn("hook_s", F.lit(None).cast("double")), w, sentences, excluded, F.contains("text", F.lit("that"))).cache()

@@ -1,5 +1,6 @@
 """Operators whose state depends on the data, against plain Python, and cases written out by hand."""
 
+import math
 import random
 
 import numpy as np
@@ -24,58 +25,36 @@ def word_rows(media, text, step=300, gaps=None):
 WORDS = "media_id long, w_idx int, word string, start_ms long, end_ms long"
 
 
-class Builder:
-    """Windows as an incremental buffer makes them."""
-
-    def __init__(self, target, overlap, longest, shortest):
-        self.t, self.o, self.l, self.s, self.buf, self.out, self.last = target, overlap, longest, shortest, [], [], None
-
-    def emit(self):
-        cap = []
-        for seg in self.buf:
-            if cap and seg[1] - self.buf[0][0] > self.l:
-                break
-            cap.append(seg)
-        a, b = cap[0][0], cap[-1][1]
-        if b - a < self.s and self.out:
-            return
-        if self.last:
-            x, y = self.last
-            if max(0, min(b, y) - max(a, x)) / (max(b, y) - min(a, x)) > 0.9:
-                return
-        self.out.append((cap[0][2], cap[-1][2]))
-        self.last = (a, b)
-
-    def advance(self):
-        cut, k = self.buf[0][0] + self.t * (1 - self.o), 0
-        while k < len(self.buf) - 1 and self.buf[k][1] <= cut:
-            k += 1
-        self.buf = self.buf[max(k, 1) :]
-
-    def run(self, segs):
-        for s in segs:
-            self.buf.append(s)
-            while self.buf and self.buf[-1][1] - self.buf[0][0] >= self.t:
-                self.emit()
-                self.advance()
-        while self.buf:
-            if self.buf[-1][1] - self.buf[0][0] < self.s and self.out:
-                break
-            self.emit()
-            self.advance()
-        return self.out
-
-
-def test_windows_match_an_incremental_builder():
-    rng = random.Random(1)
+def test_windows_follow_the_chain_rule():
+    """A window's first segment determines the next one's: the first that ends behind the step, at most the one that fills the target. Of the
+    chain, windows are kept that are long enough (the first always) and don't repeat the last kept one, and a scrap at the end closes it."""
+    rng, target, longest, shortest = random.Random(1), 45_000, 90_000, 15_000
     for _ in range(500):
         at, segs = 0, []
-        for i in range(rng.randrange(1, 40)):
+        for _ in range(rng.randrange(1, 40)):
             n = rng.choice([500, 4000, 9000, 30_000, 120_000])
-            segs.append((at, at + n, i))
+            segs.append((at, at + n))
             at += n + rng.choice([0, 200, 5000])
-        s, e = np.array([x[0] for x in segs]), np.array([x[1] for x in segs])
-        assert chunks.window_bounds(s, e, 45_000, 0.5, 90_000, 15_000) == Builder(45_000, 0.5, 90_000, 15_000).run(segs)
+        last = len(segs) - 1
+        fills = [min([j for j in range(i, last + 1) if segs[j][1] - s >= target], default=last) for i, (s, _) in enumerate(segs)]
+        onward = [max(i + 1, min([k for k in range(i, fills[i]) if segs[k][1] > s + target / 2], default=fills[i])) for i, (s, _) in enumerate(segs)]
+        chain = [0]
+        while chain[-1] <= last:
+            chain.append(onward[chain[-1]])
+        s, e = (np.array(c) for c in zip(*segs))
+        got = chunks.window_bounds(s, e, target, 0.5, longest, shortest)
+        assert [i for i, _ in got] == sorted({i for i, _ in got}) and {i for i, _ in got} <= set(chain) and got[0][0] == 0
+        for i, k in got:  # as far as the target, less what the longest allows
+            assert k == max([j for j in range(i, fills[i] + 1) if segs[j][1] - segs[i][0] <= longest], default=i)
+            assert segs[k][1] - segs[i][0] >= shortest or i == 0
+        kept = dict(got)
+        for i in set(chain[:-1]) - set(kept):
+            k = max([j for j in range(i, fills[i] + 1) if segs[j][1] - segs[i][0] <= longest], default=i)
+            earlier = max(x for x in kept if x < i)
+            shared = min(segs[kept[earlier]][1], segs[k][1]) - segs[i][0]
+            repeats = shared > 0.9 * (max(segs[kept[earlier]][1], segs[k][1]) - segs[earlier][0])
+            scrap = any(segs[fills[x]][1] - segs[x][0] < shortest for x in chain[:-1] if x <= i)
+            assert repeats or scrap or segs[k][1] - segs[i][0] < shortest
 
 
 def test_caption_phrases_and_slots(spark):
@@ -153,47 +132,43 @@ def test_exclusions_by_hand(spark):
     assert [(r["start_ms"], r["end_ms"]) for r in found] == [(900, 2400)]
 
 
-def plain_snap(words, t, at_start, pad, extend=10_000, truncate=1500, min_pause=180):
-    """The rule for one target, read off the words one by one."""
-    sent, clause = (lambda w: w[2][-1:] in ".!?…"), (lambda w: w[2][-1:] in ",;:—-")
-    spoken = next((w for w in words if w[3] < t < w[4]), None)
-
-    def score(p):
-        s, e, is_s, is_c, cramped = p
-        move = (e if at_start else s) - t
-        dear = move > 0 if at_start else move < 0
-        return (6 if is_s else 1.5 if is_c else 0) + 2 * min((e - s) / 1000, 0.8) - 3 * cramped - (2.2 if dear else 0.5) * abs(move) / 1000
-
-    ends, starts = [w[4] for w in words if w[4] <= t], [w[3] for w in words if w[3] >= t]
-    if spoken:
-        stay = (t, t, False, False, True)
+def check_cut(words, t, at_start, cut, pad, extend=10_000, truncate=1500, least=180):
+    """A cut is in the pause within reach that has most points, a little inside it, or stays with its target where none has as many."""
+    frame = [(a[4], b[3], a[2][-1]) for a, b in zip(words, words[1:])]
+    reach = (t - extend, t + truncate) if at_start else (t - truncate, t + extend)
+    edge = lambda p: p[1] if at_start else p[0]
+    rating = {".": 6.0, "!": 6.0, "?": 6.0, ",": 1.5}
+
+    def points(p):
+        cost = 2.2 if (edge(p) > t) == at_start and edge(p) != t else 0.5
+        return round(rating.get(p[2], 0.0) + min(p[1] - p[0], 800) / 500 - cost * abs(edge(p) - t) / 1000, 9)
+
+    best = max((points(p) for p in frame if reach[0] <= edge(p) <= reach[1] and (p[1] - p[0] >= least or rating.get(p[2]) == 6.0)), default=-math.inf)
+    inside = [w for w in words if w[3] < t < w[4]]
+    ended, begins = max((w[4] for w in words if w[4] <= t), default=None), min((w[3] for w in words if w[3] >= t), default=None)
+    lo, hi = (t, t) if inside else (t if ended is None else ended, t if begins is None else begins)
+    said = next((w[2][-1] for w in words if w[4] == ended), "") if not inside else ""
+    stay = points((lo, max(lo, hi), said)) - (3 if inside or rating.get(said) != 6.0 and hi - lo < least else 0)
+    held = [p for p in frame if p[0] <= cut <= p[1] and points(p) == best and best >= stay]
+    if best >= stay:
+        assert held and any(abs(cut - edge(p)) == pytest.approx(min(pad, 0.6 * (p[1] - p[0]))) or cut == 0 for p in held)
+    elif inside:
+        assert cut == inside[0][3 if at_start else 4]
     else:
-        a, b = max(ends, default=t), min(starts, default=t)
-        last = [w for w in words if ends and w[4] == a]
-        s = any(map(sent, last))
-        stay = (a, max(a, b), s, s or any(map(clause, last)), not s and max(a, b) - a < min_pause)
-    found = [(p[4], n[3], sent(p), sent(p) or clause(p), False) for p, n in zip(words, words[1:]) if n[3] - p[4] >= min_pause or sent(p)]
-    lo, hi = (-extend, truncate) if at_start else (-truncate, extend)
-    near = [p for p in found if lo <= (p[1] if at_start else p[0]) - t <= hi]
-    best = max([*near, stay], key=lambda p: round(score(p), 9))
-    inside = min(pad, 0.6 * (best[1] - best[0]))
-    if best is not stay:
-        return max(best[1] - inside, 0) if at_start else best[0] + inside
-    if spoken:
-        return spoken[3] if at_start else spoken[4]
-    return max(t - pad, max(ends, default=0), 0) if at_start else min(t + pad, min(starts, default=t + pad))
+        assert cut == pytest.approx(max(t - pad, ended or 0, 0) if at_start else min(t + pad, math.inf if begins is None else begins))
 
 
 @pytest.mark.parametrize("at_start", [True, False])
-def test_snap_against_plain_rule(spark, at_start):
-    rng = random.Random(4)
+def test_snap_takes_the_best_cut(spark, at_start):
+    rng, pad = random.Random(4), 250 if at_start else 600
     text = " ".join(rng.choice(["a", "b,", "c", "d.", "e", "f"]) for _ in range(120))
     gaps = {i: rng.choice([0, 0, 0, 100, 200, 700, 1200]) for i in range(120)}
     words = word_rows(1, text, 300, gaps)
     targets = [(1, i, rng.randrange(0, words[-1][4] + 500)) for i in range(60)]
-    got = {r["t_id"]: r["cut_ms"] for r in snapping.snap(spark.createDataFrame(words, WORDS), spark.createDataFrame(targets, "media_id long, t_id long, t_ms long"), at_start, 250 if at_start else 600).collect()}
+    got = {r["t_id"]: r["cut_ms"] for r in snapping.snap(spark.createDataFrame(words, WORDS), spark.createDataFrame(targets, "media_id long, t_id long, t_ms long"), at_start, pad).collect()}
     for _, i, t in targets:
-        assert got[i] == pytest.approx(plain_snap(words, t, at_start, 250 if at_start else 600)), (i, t)
+        check_cut(words, t, at_start, got[i], pad)
+    assert len({got[i] - t for _, i, t in targets}) > 20
 
 
 def test_text_columns(spark):
