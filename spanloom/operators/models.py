@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -45,3 +46,32 @@ def replies(prompt: Column, factory: Callable, tries: int = 2) -> Column:
         return pd.Series(out, dtype=object)
 
     return run(prompt)
+
+
+def json_replies(prompt: Column, factory: Callable, insist: str) -> Column:
+    """Replies that should hold a JSON object: one that holds none is asked for once more, with `insist` behind the prompt. Null for a null prompt or where the model fails."""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        ask, out = _made(factory), []
+        for p in prompts:
+            reply = None
+            for more in ("", insist) if p is not None else ():
+                try:
+                    reply = ask(p + more)
+                except Exception:  # a model may fail for any reason; the row then goes on without it
+                    continue
+                if _object(reply):
+                    break
+            out.append(reply)
+        return pd.Series(out, dtype=object)
+
+    return run(prompt)
+
+
+def _object(text: str | None) -> bool:
+    text = text or ""
+    try:
+        return isinstance(json.loads(text[text.index("{") : text.rindex("}") + 1]), dict)
+    except ValueError:
+        return False
