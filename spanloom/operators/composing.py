@@ -214,4 +214,5 @@ def report(graded: DataFrame, most_excluded: float = 25.0) -> DataFrame:
         F.count(F.lit(1)).alias("clips"), yes(F.col("ends_on_sentence"))("sentence"), yes(~F.col("ends_on_promise"))("no_promise"), yes(~F.col("mid_word_cut"))("clean"),
         yes(F.col("excluded_overlap") < most_excluded)("no_filler"), yes(~F.col("under_minimum"))("long_enough"), F.round(F.avg("seconds_to_hook"), 1).alias("hook_delay"),
         F.min("duration").alias("shortest"), F.max("duration").alias("longest"),
+        F.when(F.grouping("media_id") == 0, F.sort_array(F.collect_list("duration"))).alias("lengths"),  # a medium's clips, not all there are
     )

@@ -1,11 +1,11 @@
-"""Crop windows over column scores, and crop geometry."""
+"""Where a frame is cropped: scores of its columns over sampled frames, the best window, the crop box, and shots."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CENTRE_BIAS = 0.12
+CENTRE_BIAS, SMOOTH_SHARE, LONG_SHOT_MS = 0.12, 0.06, 4000
 
 
 def window_fraction(src_w: Column, src_h: Column, out_w: int, out_h: int) -> Column:
@@ -41,3 +41,86 @@ def shots(cuts: DataFrame, shortest: int = 1500) -> DataFrame:
     rows = rows.withColumn("s", F.when((F.size("s") > 1) & (F.get("s", F.lit(1)) < shortest), F.concat(F.slice("s", 1, 1), F.slice("s", 3, F.size("s")))).otherwise(F.col("s")))
     nxt = F.coalesce(F.get("s", F.col("i") + 1), F.element_at("e", F.lit(-1)))
     return rows.select("media_id", "e", "s", F.posexplode("s").alias("i", "start_ms")).select("media_id", F.col("i").alias("shot"), "start_ms", nxt.alias("end_ms"))
+
+
+def sample_times(spans: Column, count: int) -> Column:
+    """Times of `count` samples, evenly spaced over the joined length of an array of spans (s, e), half a step off its ends."""
+    kept = F.array_sort(F.filter(spans, lambda p: p["e"] > p["s"]))
+    length = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, p: acc + (p["e"] - p["s"]))
+    placed = F.transform(kept, lambda p, i: F.struct(length(F.slice(kept, F.lit(1), i)).alias("before"), p["s"].cast("double").alias("s"), p["e"].cast("double").alias("e")))
+
+    def at(i):
+        position = (i + 0.5) / count * length(kept)
+        p = F.try_element_at(F.filter(placed, lambda q: q["before"] < position), F.lit(-1))
+        return p["s"] + position - p["before"]
+
+    return F.when(F.size(kept) > 0, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at)).otherwise(F.array().cast("array<double>"))
+
+
+def unit(values: Column) -> Column:
+    """Values of an array scaled to 0 .. 1; all 0 where they are equal."""
+    low, high = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(0.0))
+
+
+def smooth(values: Column, window: Column) -> Column:
+    """Mean over a window around each value, as if zeros stood beyond the ends; an even window reaches one further back."""
+    behind, ahead = F.floor(window / 2).cast("int"), F.floor((window - 1) / 2).cast("int")
+
+    def mean(_, i):
+        first = F.greatest(F.lit(0), i - behind)
+        part = F.slice(values, first + 1, F.least(F.size(values), i + ahead + 1) - first)
+        return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) / window
+
+    return F.when(window <= 1, values).otherwise(F.transform(values, mean))
+
+
+def column_scores(pixels: DataFrame) -> DataFrame:
+    """Grey rows (clip, sample, y, row array) of sampled frames to (clip, scores, samples): how much each column changes downwards and from sample to
+    sample, each scaled, halved and joined, then smoothed over a share of the width. An array is as long as a frame is wide."""
+    width = pixels.groupBy("clip").agg(F.min(F.size("row")).alias("width"), F.countDistinct("sample").alias("samples"))
+    down, onward = Window.partitionBy("clip", "sample").orderBy("y"), Window.partitionBy("clip", "y").orderBy("sample")
+    change = lambda w: F.zip_with(F.lag("row").over(w), "row", lambda a, b: F.abs(b.cast("double") - a.cast("double")))
+    rows = pixels.select("clip", change(down).alias("detail"), change(onward).alias("motion"))
+    none = F.array().cast("array<double>")
+    # a value's place in both arrays is its column
+    both = rows.select("clip", F.posexplode(F.arrays_zip(F.coalesce("detail", none).alias("d"), F.coalesce("motion", none).alias("m"))).alias("x", "v"))
+    sums = both.groupBy("clip", "x").agg(F.coalesce(F.sum("v.d"), F.lit(0.0)).alias("detail"), F.coalesce(F.sum("v.m"), F.lit(0.0)).alias("motion"))
+    lists = width.join(sums, "clip", "left").where("x IS NULL OR x < width").groupBy("clip", "width", "samples").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "detail", "motion")))).alias("v"))
+    of = lambda name: F.transform("v", lambda x: x[name])
+    scores = F.zip_with(unit(of("detail")), unit(of("motion")), lambda a, b: 0.5 * a + 0.5 * b)
+    window = F.greatest(F.lit(3), F.floor(F.col("width") * SMOOTH_SHARE).cast("int"))
+    return lists.withColumn("raw", scores).select("clip", smooth(F.col("raw"), window).alias("scores"), "samples")
+
+
+def subject_x(pixels: DataFrame, fraction: float) -> DataFrame:
+    """(clip, centre): one crop centre over all samples of a clip; none for a clip of fewer than two."""
+    scored = column_scores(pixels).where("samples >= 2")
+    rows = scored.select(F.col("clip").alias("frame"), F.posexplode("scores").alias("pos", "score"))
+    return best_window(rows, fraction).withColumnRenamed("frame", "clip")
+
+
+def crop_box(src_w: Column, src_h: Column, out_w: int, out_h: int, centre: Column) -> Column:
+    """struct(width, height, x, y) in whole, even pixels of the crop that fills the output's shape; null where the source isn't wider than that."""
+    wide = F.least(F.greatest(F.bround(src_h * F.lit(out_w) / out_h, 0).cast("int"), F.lit(2)), src_w)
+    wide = wide - wide % 2
+    x = F.bround(F.least(F.greatest(F.coalesce(centre, F.lit(0.5)), F.lit(0.0)), F.lit(1.0)) * src_w - wide / 2, 0).cast("int")
+    x = F.greatest(F.lit(0), F.least(x, src_w - wide))
+    fits = (src_w > 0) & (src_h > 0) & (src_w / src_h > out_w / out_h + 1e-6)
+    return F.when(fits, F.struct(wide.alias("width"), src_h.alias("height"), (x - x % 2).alias("x"), F.lit(0).alias("y")))
+
+
+def refined_shots(track: DataFrame, speakers: DataFrame, long_ms: int = LONG_SHOT_MS) -> DataFrame:
+    """A clip's shots (media_id, shot, start_ms, end_ms, x), the long ones cut by who speaks in them (media_id, shot, start_ms, end_ms, x; times from the
+    shot's start) where that is known."""
+    own = speakers.select("media_id", "shot", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("x").alias("_x"))
+    long_ = track.where(F.col("end_ms") - F.col("start_ms") >= long_ms).join(own, ["media_id", "shot"])
+    cut = long_.select("media_id", "shot", (F.col("start_ms") + F.col("_s")).alias("start_ms"), (F.col("start_ms") + F.col("_e")).alias("end_ms"), F.col("_x").alias("x"))
+    return track.join(cut.select("media_id", "shot").distinct(), ["media_id", "shot"], "left_anti").select(*cut.columns).unionByName(cut)
+
+
+def cut_times(logs: DataFrame) -> DataFrame:
+    """Scene cuts (media_id, cut_ms) from log text (media_id, log, length_ms), inside the clip, each once."""
+    found = F.explode(F.regexp_extract_all("log", F.lit(r"pts_time:\s*([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
+    rows = logs.select("media_id", "length_ms", found.alias("t")).withColumn("cut_ms", F.round(F.col("t").cast("double") * 1000).cast("long"))
+    return rows.where("cut_ms > 0 AND cut_ms < length_ms").select("media_id", "cut_ms").distinct()

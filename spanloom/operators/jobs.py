@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The stages of a job, in order.
 STAGES = ("ingest", "transcribe", "index", "retrieve", "score", "render")
 
 
@@ -38,3 +39,10 @@ def health(checks: DataFrame) -> DataFrame:
 def without(jobs: DataFrame, gone: DataFrame) -> DataFrame:
     """Jobs left after a deletion."""
     return jobs.join(gone.select("job"), "job", "left_anti")
+
+
+def public(jobs: DataFrame, transcript: bool = False) -> DataFrame:
+    """Jobs (id, status, stage, stage_progress, ..., transcript) as shown to others: progress worked out, the transcript only if asked for."""
+    part = F.coalesce(F.col("stage_progress"), F.lit(0.0))
+    rows = jobs.withColumns({"progress": F.round(overall_progress(F.col("status"), F.col("stage"), part), 4), "stage_progress": F.round(part, 4)})
+    return rows if transcript else rows.drop("transcript")

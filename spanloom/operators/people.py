@@ -121,3 +121,31 @@ def step_expression(track: Column, width: Column) -> Column:
     pixel = lambda t: F.floor(t["x"] * width).cast("string")
     whens = F.transform(F.slice(track, 2, F.size(track)), lambda t, i: F.concat(F.lit("if(lt(t,"), F.format_string("%.3f", (t["s"] / 1000).cast("double")), F.lit("),"), pixel(F.get(track, i)), F.lit(",")))
     return F.concat(F.array_join(whens, ""), pixel(F.element_at(track, F.lit(-1))), F.repeat(F.lit(")"), F.size(track) - 1))
+
+
+def boxes(raw: DataFrame) -> DataFrame:
+    """Raw detections (name, values, width, height; values: x, y, w, h, five landmarks as pairs, score) as shares of the frame."""
+    v, w, h = (lambda i: F.get("values", F.lit(i)).cast("double")), F.col("width"), F.col("height")
+    corner = lambda i: F.struct((v(i) / w).alias("x"), (v(i + 1) / h).alias("y"))
+    return raw.where("width > 0 AND height > 0").select("name", (v(0) / w).alias("x"), (v(1) / h).alias("y"), (v(2) / w).alias("w"), (v(3) / h).alias("h"), F.array(corner(10), corner(12)).alias("mouth"), v(14).alias("score"))
+
+
+def slices(shots: DataFrame, step_ms: int = WINDOW_MS) -> DataFrame:
+    """Shots (shot, length_ms) in equal slices (shot, win, start_ms, end_ms), the last one as long as is left."""
+    rows = shots.where("length_ms > 0").select("shot", "length_ms", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length_ms") - 1) / step_ms))).alias("win"))
+    return rows.select("shot", "win", (F.col("win") * step_ms).alias("start_ms"), F.least((F.col("win") + 1) * step_ms, "length_ms").alias("end_ms"))
+
+
+def follow_speakers(shots: DataFrame, frames: DataFrame, moved: DataFrame, places: DataFrame, least_frames: int = 4, step_ms: int = WINDOW_MS, speech: int = SPEECH_FRAMES) -> DataFrame:
+    """Who to follow in shots (shot, length_ms): frames (shot, t_ms, speaking), motion of regions (shot, person, region, t_ms, moved) and people's places (shot,
+    person, x) to a track (shot, turn, start_ms, end_ms, x). Only slices with enough frames and enough of them with speech name a speaker, and only
+    shots with frames enough and two people or more have a track."""
+    wins = slices(shots, step_ms)
+    number = F.floor(F.col("t_ms") / step_ms)
+    both = F.when(F.col("t_ms") % step_ms == 0, F.array(number, number - 1)).otherwise(F.array(number))  # a frame on an edge is in both slices
+    seen = frames.select("shot", "t_ms", "speaking", F.explode(both).alias("win")).join(wins, ["shot", "win"]).select("shot", "win", "t_ms", "speaking")
+    enough = seen.groupBy("shot", "win").agg(F.count(F.lit(1)).alias("n"), F.count_if("speaking").alias("said")).where((F.col("n") >= 3) & (F.col("said") >= speech)).select("shot", "win")
+    able = frames.groupBy("shot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_frames).join(places.groupBy("shot").agg(F.count(F.lit(1)).alias("p")).where("p >= 2"), "shot").select("shot")
+    rated = articulation(moved.join(seen.join(enough, ["shot", "win"]).join(able, "shot"), ["shot", "t_ms"])).join(places, ["shot", "person"])
+    turns = clear_speakers(rated.select("shot", "win", "person", "x", "score")).join(wins, ["shot", "win"]).join(shots, "shot")
+    return speaker_track(turns.select("shot", "length_ms", "start_ms", "end_ms", "x"))

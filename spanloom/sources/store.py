@@ -86,6 +86,16 @@ def load(spark: SparkSession, folder: str, media: Sequence[int] | None = None) -
     return rows.drop("part", "batch")
 
 
+def save_jobs(jobs: DataFrame, folder: str) -> None:
+    """Finished jobs (id, ...) as JSON, a row an object, their status set to done; `views.segments_of_jobs` reads them."""
+    jobs.withColumn("status", F.lit("done")).write.mode("append").json(folder)
+
+
+def save_texts(texts: DataFrame, folder: str, text: str) -> None:
+    """A text file for each row's medium (media_id, text column), in a folder of its own."""
+    texts.select("media_id", F.col(text).alias("value")).write.mode("overwrite").partitionBy("media_id").text(folder)
+
+
 def uploads(files: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """Files (path, length) of a type that is taken and not empty, with their suffix."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

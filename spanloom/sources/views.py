@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_MS = 350
@@ -25,7 +25,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments_of_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Finished jobs from JSON files; files that don't parse are skipped."""
-    schema = "id string, source string, status string, transcript array<struct<id:int,start:double,end:double,text:string>>, clips array<struct<id:string,title:string,start:double,end:double>>, _corrupt_record string"
+    schema = "id string, source string, status string, transcript array<struct<id:int,start:double,end:double,text:string,words:array<struct<word:string,start:double,end:double>>>>, clips array<struct<id:string,title:string,start:double,end:double,hook:string,spans:array<struct<start:double,end:double>>>>, stats struct<duration:double>, _corrupt_record string"
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return raw.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
 
@@ -55,3 +55,41 @@ def media_probe(probes: DataFrame) -> DataFrame:
 def usable(media: DataFrame) -> DataFrame:
     """Media that can be processed: with sound and of positive length."""
     return media.where("has_audio AND duration > 0")
+
+
+def segments(raw: DataFrame) -> DataFrame:
+    """A decoder's segments (media_id, id, start, end, text, words, duration; seconds) as they are kept: times to a thousandth, text trimmed, untimed words
+    and segments without text left out, with the share of the medium that is done."""
+    second = lambda c: F.round(c.cast("double"), 3)
+    timed = F.filter(F.coalesce("words", F.array()), lambda w: w["start"].isNotNull() & w["end"].isNotNull())
+    word = F.transform(timed, lambda w: F.struct(w["word"].alias("word"), second(w["start"]).alias("start"), second(w["end"]).alias("end"), F.round(F.coalesce(w["prob"].cast("double"), F.lit(0.0)), 4).alias("prob")))
+    end = second(F.col("end"))
+    rows = raw.select("media_id", "id", second(F.col("start")).alias("start"), end.alias("end"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), word.alias("words"), F.when(F.col("duration") > 0, F.least(end / F.col("duration"), F.lit(1.0))).alias("progress"))
+    return rows.where("text <> ''")
+
+
+def segment_words(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """Words in time order (media_id, w_idx, word, start_ms, end_ms) of segments (media_id, start, end, text, words). A segment without timed words is one word if
+    `whole`, else it has none."""
+    timed = F.filter(F.coalesce("words", F.array()), lambda w: w["start"].isNotNull() & w["end"].isNotNull())
+    own = F.transform(timed, lambda w: F.struct(w["word"].alias("word"), w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end")))
+    one = F.array(F.struct(F.col("text").alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))
+    none = F.slice(one, 1, 0)
+    said = F.when(F.size(own) > 0, own).when(F.lit(whole) & (F.coalesce("text", F.lit("")) != ""), one).otherwise(none)
+    words = rows.select("media_id", F.posexplode(said).alias("_k", "w"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    order = Window.partitionBy("media_id").orderBy("w.start", "w.end", "_k")
+    return words.select("media_id", (F.row_number().over(order) - 1).alias("w_idx"), F.trim("w.word").alias("word"), ms("w.start").alias("start_ms"), ms("w.end").alias("end_ms"))
+
+
+def metadata(windows: DataFrame) -> DataFrame:
+    """What is kept beside a window's vector: plain numbers."""
+    second = lambda c: F.col(c) / 1000.0
+    return windows.select("media_id", "w_index", second("start_ms").alias("start"), second("end_ms").alias("end"), ((F.col("end_ms") - F.col("start_ms")) / 1000.0).alias("duration"), F.coalesce(F.col("n_words").cast("int"), F.lit(0)).alias("n_words"))
+
+
+def as_spans(start: Column, end: Column, spans: Column) -> Column:
+    """One pair or many as an array of spans (s, e) in order, inverted and incomplete ones left out."""
+    item = lambda a, b: F.struct(a.cast("double").alias("s"), b.cast("double").alias("e"))
+    many = F.transform(spans, lambda p: item(p["s"], p["e"]))
+    return F.array_sort(F.filter(F.coalesce(many, F.array(item(start, end))), lambda p: p["e"] > p["s"]))

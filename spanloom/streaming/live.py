@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanloom.operators.chunks import next_windows
 from spanloom.sources import store
 
 
@@ -61,3 +65,43 @@ def append_batches(stream: DataFrame, folder: str, checkpoint: str, prepare=lamb
         prepare(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+_WINDOW = "media_id long, w_index int, text string, start_ms long, end_ms long, first_seg long, last_seg long"
+_STATE = "seg array<long>, s array<long>, e array<long>, text array<string>, last_s long, last_e long, index int"
+
+
+def window_stream(segments: DataFrame, target_ms: int = 45_000, overlap: float = 0.5, longest_ms: int = 90_000, shortest_ms: int = 15_000) -> DataFrame:
+    """Windows over a stream of segments (media_id, seg_id, text, start_ms, end_ms, final), each given out once it is filled; a medium's final segment
+    (its text may be null) closes it. The state of a medium is the segments of its open window and the span of the last one."""
+    limits = (target_ms, overlap, longest_ms, shortest_ms)
+
+    def run(key, frames, state: GroupState):
+        seg, s, e, text, last_s, last_e, index = state.get if state.exists else ([], [], [], [], None, None, 0)
+        seg, s, e, text = (list(x) for x in (seg, s, e, text))
+        new = pd.concat(list(frames)).sort_values(["start_ms", "seg_id"], kind="stable")
+        closed = bool(new["final"].any())
+        new = new[new["text"].notna()]
+        seg, s, e, text = seg + new["seg_id"].tolist(), s + new["start_ms"].tolist(), e + new["end_ms"].tolist(), text + new["text"].tolist()
+        found, onward, last = next_windows(np.array(s), np.array(e), *limits, None if last_s is None else (last_s, last_e), closed)
+        rows = [(key[0], index + n, " ".join(text[a : b + 1]), s[a], e[b], seg[a], seg[b]) for n, (a, b) in enumerate(found)]
+        if closed:
+            state.remove()
+        else:
+            last_s, last_e = (None, None) if last is None else map(int, last)
+            state.update((seg[onward:], s[onward:], e[onward:], text[onward:], last_s, last_e, index + len(found)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WINDOW.split(", ")])
+
+    return segments.groupBy("media_id").applyInPandasWithState(run, _WINDOW, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def snapshot_then_tail(history: DataFrame, tail: DataFrame, done: tuple = ("done", "error")) -> DataFrame:
+    """What one who joins late sees of jobs' events (job, seq, kind, value): the latest row of each kind, then what came after the snapshot, up to the
+    first event that ends a job. Both are read from the same order of seq; `tail` may overlap the history."""
+    upto = history.groupBy("job").agg(F.max("seq").alias("upto"), F.min(F.when(F.col("kind").isin(*done), F.col("seq"))).alias("ended"))
+    state = history.join(upto, "job").where("ended IS NULL OR seq <= ended").groupBy("job", "kind").agg(F.max(F.struct("seq", "value")).alias("x"))
+    first = state.select("job", F.lit("snapshot").alias("part"), "x.seq", "kind", "x.value")
+    later = tail.join(upto, "job", "left").where("ended IS NULL AND (upto IS NULL OR seq > upto)")
+    ends = later.groupBy("job").agg(F.min(F.when(F.col("kind").isin(*done), F.col("seq"))).alias("stop"))
+    rest = later.join(ends, "job").where("stop IS NULL OR seq <= stop")
+    return first.unionByName(rest.select("job", F.lit("event").alias("part"), "seq", "kind", "value"))
