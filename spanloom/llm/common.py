@@ -71,13 +71,13 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, sal
     few = F.broadcast(hot.select(key, F.col("parts").cast("long").alias("_parts")))
     dealt = left.join(few, key, "left").withColumn("_part", F.pmod(salt, parts)).drop("_parts")
     copied = right.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return dealt.join(copied, [key, "_part"], how).drop("_part")
+    return dealt.join(copied.hint("shuffle_hash"), [key, "_part"], how).drop("_part")  # right has a row a key, so a task's share is small
 
 
 class Memo(dict):
     """Results by piece of text, bounded in bytes: emptied when full, and long pieces are not kept."""
 
-    def __init__(self, limit: int = 160 << 20, longest: int = 256):
+    def __init__(self, limit: int = 256 << 20, longest: int = 256):
         super().__init__()
         self.limit, self.longest, self.held = limit, longest, 0
 

@@ -277,7 +277,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
         before += files[part]["n_tokens"]
     store = spark.read.schema("name binary, n long, body binary, kind string").parquet(f"{folder}/parts").where("kind = 'chunk'").select("name", "n", "body")
     checks = store.mapInArrow(_checksums, "name binary, n long, crc long, fine boolean")
-    one = recipes.select("part", "pos", F.posexplode("sizes").alias("k", "size"), "chunks").select("part", "pos", "k", F.expr(f"substring(chunks, k * {_HASH} + 1, {_HASH})").alias("name"))
+    one = recipes.select("part", "pos", F.explode(F.sequence(F.lit(0), F.size("sizes") - 1)).alias("k"), "chunks").select("part", "pos", "k", F.expr(f"substring(chunks, k * {_HASH} + 1, {_HASH})").alias("name"))
     held = join_salted(one, checks, "name", _frequent(recipes, sum(f["n_chunks"] for f in files.values())), F.xxhash64("part", "pos", "k"), "left")
     held = held.select("part", "pos", F.struct("k", "name", "n", "crc", "fine").alias("p"))
     found = held.groupBy("part", "pos").agg(F.array_sort(F.collect_list("p")).alias("parts"))

@@ -3,8 +3,8 @@
 Words repeat, so each distinct piece goes through the library once per worker and its ids are kept in a table bounded in
 bytes. That holds for files whose normalizer and pre-tokenizer are the ones stated below: white space never takes part in a match
 of their split pattern, nor in NFC composition, so a text's ids are those of its white-space separated chunks in order. Where a
-text holds only printable ASCII without apostrophes and Latin-1 letters, a run of letters, one digit, or a run of other signs is
-exactly one pre-token, and the library's own BPE model encodes it directly. Texts that hold an added token's string, and all texts
+text holds only printable ASCII without apostrophes and Latin-1 letters, a run of letters, one digit, or a run of other signs in a
+chunk is exactly one pre-token, and the library's own BPE model encodes it directly. Texts that hold an added token's string, and all texts
 under files with other rules, go through the library whole.
 
 Edge cases: null and empty texts have no ids; very long texts and pieces are encoded whole; equal texts have equal ids.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -66,8 +67,11 @@ class WordEncoder(Memo):
     def made(self, piece: str) -> bytes:
         if piece[0] == "\0":  # a chunk for the whole library pipeline
             return self.whole(piece[1:])
+        parts = _PIECE.findall(piece)
+        if len(parts) > 1:
+            return b"".join(map(self.__getitem__, parts))
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([token.id for token in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.model.tokenize(spelled))}I", *[token.id for token in ids])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -79,7 +83,7 @@ class WordEncoder(Memo):
             return self.whole(text)
         if _UNUSUAL.search(text):
             return b"".join(map(self.__getitem__, ["\0" + x for x in _CHUNK.findall(text)]))
-        return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
