@@ -34,7 +34,7 @@ def lines_of(spans: DataFrame, sentences: DataFrame, before_ms: int = BEFORE_MS,
 
 def prompt_lines(lines: Column, first: Column, last: Column) -> Column:
     """Lines as a model reads them, one a row, those from first to last marked."""
-    second = lambda ms: F.format_string("%.1fs", (ms / 1000).cast("double"))
+    second = lambda ms: F.format_string("%.1fs", (F.floor((ms + 50) / 100) / 10).cast("double"))
     mark = lambda n: F.when(n.between(first, last), ">").otherwise(" ")
     return F.array_join(F.transform(lines, lambda v: F.concat(mark(v["n"]), F.lit("["), v["n"].cast("string"), F.lit("] ("), second(v["s"]), F.lit("–"), second(v["e"]), F.lit(") "), F.coalesce(v["text"], F.lit("")))), "\n")
 

@@ -404,7 +404,11 @@ def q_speech_mask(spark, sf_dir):
     return e.select("media_id", F.col("t_id").alias("id"), F.coalesce(near, F.lit(False)).alias("speaking"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT vec_id AS frame, list_transform(embedding, lambda x: round(abs(CAST(x AS DOUBLE)), 6)) AS v FROM embeddings), t AS (SELECT frame, i AS p, list_sum(v[i + 1:i + 19]) AS total FROM (SELECT frame, v, unnest(range(46)) AS i FROM f)),
+    r AS (SELECT frame, p, round(total - 0.12 * CASE WHEN s = 0 THEN 1 ELSE s END * abs((p + 9.5) / 64 - 0.5) * 2, 6) AS rated FROM (SELECT *, max(total) OVER (PARTITION BY frame) - min(total) OVER (PARTITION BY frame) AS s FROM t))
+    SELECT frame, (arg_min(p, [-rated, p]) + 9.5) / 64 AS centre FROM r GROUP BY frame"""
+)
 def q_crop_window(spark, sf_dir):
     e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("pos", "x"))
     return framing.best_window(e.select("frame", "pos", F.round(F.abs("x").cast("double"), 6).alias("score")), 0.3)
@@ -508,13 +512,16 @@ def q_relational_baseline(spark, sf_dir):
     return rows.rollup("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark, sf_dir):
     schema = views.table(spark, sf_dir, "events").schema
     return live.drained(live.counts_by_window(live.event_stream(spark, sf_dir, schema)), "complete")
 
 
-@query()
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM i GROUP BY user_id, k"""
+)
 def q_stream_sessions(spark, sf_dir):
     schema = views.table(spark, sf_dir, "events").schema
     return live.all_sessions(live.event_stream(spark, sf_dir, schema))
