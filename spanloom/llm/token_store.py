@@ -229,16 +229,20 @@ def _joiner() -> CrcJoin:
 def _rebuild(batches):
     joiner = _joiner()
     for batch in batches:
-        crcs, tokens, fine = [], [], []
-        for parts, root, want in zip(*(batch.column(c).to_pylist() for c in ("parts", "root", "n_tokens"))):
-            crc = n = 0
-            whole = all(p["fine"] for p in parts)  # null for a chunk that is not there
-            for p in parts if whole else ():
-                crc = joiner.join(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
-                n += p["n"]
+        crcs, tokens, fine, at = [], [], [], 0
+        parts = batch.column("parts")
+        _, names, sizes, sums, good = parts.flatten().flatten()  # k, name, n, crc, fine of all documents, one after another
+        names, sizes, sums, good = names.to_pylist(), sizes.fill_null(0).to_pylist(), sums.fill_null(0).to_pylist(), good.fill_null(False).to_pylist()
+        for count, root, want in zip(parts.value_lengths().to_pylist(), *(batch.column(c).to_pylist() for c in ("root", "n_tokens"))):
+            end = at + count
+            whole, crc, n = all(good[at:end]), 0, 0  # a chunk that is not there isn't good
+            for more, ids in zip(sums[at:end], sizes[at:end]) if whole else ():
+                crc = joiner.join(crc, more, 4 * ids) if n else more
+                n += ids
             crcs.append(crc)
             tokens.append(n)
-            fine.append(whole and n == want and merkle([p["name"] for p in parts]) == root)
+            fine.append(whole and n == want and merkle(names[at:end]) == root)
+            at = end
         cols = [batch.column(c) for c in ("part", "pos", "doc_id")]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(tokens, pa.int64()), pa.array(crcs, pa.int64()), pa.array(fine, pa.bool_())], names=["part", "pos", "doc_id", "n_tokens", "ids_crc32", "verified"])
 
