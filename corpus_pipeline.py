@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of `documents`.
+
+Edge cases, for every stage: null and empty texts are scored, compared and packed like any other; very long texts are read whole; rows with a
+null or repeated identifier are told apart by their text, so unlike texts stay and of equal rows one stays; other columns, whatever
+their names, are carried along; an empty table gives an empty result; without labels both classifiers score all texts alike.
 """
 
 from __future__ import annotations
