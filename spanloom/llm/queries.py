@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, chat, exact_dedup, html_extract, packing, quality, simhash, token_store, topk, toxicity
+from spanloom.llm import byte_bpe, chat, exact_dedup, html_extract, packing, quality, simhash, sort_means, token_store, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,15 +57,45 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(spark, chat.write_examples(rows))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sort_means(spark, sf_dir):
+    return sort_means.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_store, op4_byte_bpe, op5_toxicity, op6_html_extraction, op7_quality, op8_exact_top_k, op9_exact_dedup, op10_chat_formatting, pipeline)}
+_ALL = (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_store, op4_byte_bpe, op5_toxicity, op6_html_extraction, op7_quality, op8_exact_top_k, op9_exact_dedup, op10_chat_formatting)
+QUERIES = {f.__name__: f for f in (*_ALL, op12_whitening, op13_sort_means, pipeline)}
+
+
+def _sort_means_sql(clusters: int = sort_means.CLUSTERS, rounds: int = sort_means.ROUNDS) -> str:
+    """The rounds written out: a<k> assigns to c<k>, c<k+1> are the means of a<k>."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT r, arg_min(k, d * {clusters} + k) AS k, min(d) AS d FROM (
+             SELECT r, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM t, c{k}) GROUP BY r)""")
+        steps.append(f"""m{k} AS (SELECT k, list(x ORDER BY i) AS c FROM (SELECT k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+             FROM (SELECT k, unnest(v) AS x, unnest(range({sort_means.WIDTH})) AS i FROM t JOIN a{k} USING (r)) GROUP BY k, i) GROUP BY k),
+         c{k + 1} AS (SELECT c{k}.k, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (k))""")
+    last = f"a{rounds}"
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE len(embedding) = {sort_means.WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (SELECT k - 1 AS k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('{sort_means.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS k FROM t) WHERE k <= {clusters}),
+        {", ".join(steps[:-1])},
+        s AS (SELECT k, sum(d) AS s FROM {last} GROUP BY k)
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM {last}) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM {last} JOIN t USING (r) JOIN s USING (k) JOIN c{rounds} USING (k)"""
+
 
 ORACLE_SQL = {
+    "op13_sort_means": _sort_means_sql(),
     "op8_exact_top_k": """
         WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
