@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, chat, exact_dedup, html_extract, packing, quality, simhash, sort_means, token_store, topk, toxicity, whitening
+from spanloom.llm import byte_bpe, chat, exact_dedup, html_extract, packing, personal_data, quality, simhash, sort_means, token_store, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(spark, chat.write_examples(rows))
 
 
+def op11_personal_data(spark, sf_dir):
+    return personal_data.digest(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def pipeline(spark, sf_dir):
 
 
 _ALL = (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_store, op4_byte_bpe, op5_toxicity, op6_html_extraction, op7_quality, op8_exact_top_k, op9_exact_dedup, op10_chat_formatting)
-QUERIES = {f.__name__: f for f in (*_ALL, op12_whitening, op13_sort_means, pipeline)}
+QUERIES = {f.__name__: f for f in (*_ALL, op11_personal_data, op12_whitening, op13_sort_means, pipeline)}
 
 
 def _sort_means_sql(clusters: int = sort_means.CLUSTERS, rounds: int = sort_means.ROUNDS) -> str:
