@@ -62,8 +62,7 @@ def examples(turns: DataFrame) -> DataFrame:
     reply = F.expr("substring(piece, loss_start + 1, loss_end - loss_start)")
     begin = F.col("start") + F.col("loss_start")
     example = F.struct("example", F.lit(0).cast("long").alias("context_start"), begin.alias("context_end"), begin.alias("loss_start"), (F.col("start") + F.col("loss_end")).alias("loss_end"), reply.alias("reply"), F.col("end").alias("chars"))
-    targets = F.filter(F.array(example), lambda e: e["example"].isNotNull())
-    return turns.select("conv_id", "pos", F.explode(targets).alias("e")).select("conv_id", "pos", "e.*")
+    return turns.where("example IS NOT NULL").select("conv_id", "pos", example.alias("e")).select("conv_id", "pos", "e.*")
 
 
 def write_examples(df: DataFrame, folder: str | None = None) -> str:

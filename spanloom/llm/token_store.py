@@ -35,6 +35,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 WINDOW, MASK, SHORTEST, LONGEST = 8, 255, 64, 2048
 _HASH = 16
 BATCH = 512  # documents encoded between two outputs of a task
+SENT = 1 << 20  # chunks that a task remembers as sent
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _split(tokenizer: str, end_id: int):
     def run(batches):
-        words, sent = encoder(tokenizer), set()
+        words, sent, part, row = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
         narrow = words.library.get_vocab_size() <= 1 << 16
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
@@ -99,7 +100,10 @@ def _split(tokenizer: str, end_id: int):
                         sent.add(name)
                         rows.append(("chunk", int.from_bytes(name[:8], "little", signed=True), None, stop - at, name, body, None))
                     at = stop
-                rows.append(("doc", crc32(str(doc).encode()), doc, len(ids), b"".join(names), None, sizes))
+                row += 1  # recipes are dealt by where they come from, so equal ones, whatever their number, spread
+                rows.append(("doc", crc32(b"%d %d" % (part, row)), doc, len(ids), b"".join(names), None, sizes))
+            if len(sent) > SENT:
+                sent.clear()  # a chunk may be sent again; `_once` keeps one
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.string(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "deal", "doc_id", "n", "name", "body", "sizes"])
@@ -144,7 +148,9 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     rows.repartition(n, "deal").mapInArrow(_once, row).drop("deal").write.partitionBy("kind").parquet(f"{folder}/parts")
     plain = spark.read.schema(f"doc_id {kind}, n long, name binary, body binary, sizes array<int>, kind string").parquet(f"{folder}/parts")
     recipes = plain.where("kind = 'doc'").select("doc_id", "n", "name", "sizes", F.xxhash64("name").alias("tie"))
-    recipes = recipes.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "name").drop("tie")
+    # rows that are equal in all, of which there may be many, are told apart by their place in the files, so that ranges can cut them
+    recipes = recipes.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "tie", "place")
+    recipes = recipes.sortWithinPartitions("doc_id", "tie", "name").drop("tie", "place")
     recipe = f"part int, pos long, doc_id {kind}, n_tokens long, chunks binary, sizes array<int>, root binary"
     recipes.mapInArrow(_number, recipe).write.parquet(f"{folder}/recipes")
     # roots of a file, by position, are read in Spark a file at a time; the driver sees one root a file

@@ -1,6 +1,6 @@
 """Exact top-k inner-product search by ball trees.
 
-Vectors are dealt into shards by a hash of their identifier. Each shard becomes a ball tree once, stored as a row: every node knows
+Vectors are dealt into shards by a hash of their place in a written table, so equal rows spread. Each shard becomes a ball tree once, stored as a row: every node knows
 its centre and radius, so `q.c + |q| r` bounds the inner product of a query with anything below. Queries travel to the
 shards in blocks, as they are many times fewer than vectors. Nodes are walked by falling bound for a block of queries at
 once, and a query leaves a branch whose bound is under its current k-th score. Shards are searched in rounds of growing width (1, 1,
@@ -11,7 +11,7 @@ Scores are whole-number inner products: in float64 where every partial sum is be
 Edge cases: vectors that are null or hold null or non-finite components, or that have no identifier, take no part; vectors of
 different lengths have no inner product, so those of each length are searched among themselves; rows that repeat an identifier are
 queries and candidates of their own, but never candidates of a query with that identifier; equal vectors make a leaf; fewer candidates
-than k give all; ties go to the smaller identifier; empty vectors score 0; empty tables give an empty result.
+than k give all; identifiers are whole numbers (as text they have to read as such); ties go to the smaller identifier; empty vectors score 0; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -201,7 +201,8 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, id_
     spark = df.sparkSession
     rows = written(quantised(df, scale, id_col, vector_col).withColumn("n", F.size("v")), "vectors")
     shards = max(1, -(-rows.count() // SHARD))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    place = F.xxhash64(F.monotonically_increasing_id())  # of the written row, so that many rows under one identifier spread
+    dealt = rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
     trees = written(dealt.select("n", "shard", "vec_id", "v").groupBy("n", "shard").applyInPandas(_grow, _TREE), "trees")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("asked"), F.col("vec_id").alias("qid"), "n", F.col("v").alias("q"))
     queries, found = written(asked, "queries"), None
