@@ -23,9 +23,11 @@ def _name(digest: Column) -> Column:
 
 
 def _kept(docs: DataFrame, digest: Column, keep: DataFrame) -> DataFrame:
-    """Rows of docs that keep (doc_id, text_sha256) names, with docs' own columns; of rows with one name the smallest stays.
-    Rows are combined before they are dealt out, so many copies under one identifier don't meet in one task."""
-    rows = docs.select(_name(digest).alias("name"), F.struct(*docs.columns).alias("row")).groupBy("name").agg(F.min("row").alias("row"))
+    """Rows of docs that keep (doc_id, text_sha256) names, with docs' own columns; of rows with one name that whose other columns
+    come first as JSON stays, so a column needs no order of its own. Rows are combined before they are dealt out, so many copies under one identifier don't meet in one task."""
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(_name(digest).alias("name"), rank.alias("rank"), F.struct("*").alias("row")).groupBy("name").agg(F.min_by("row", "rank").alias("row"))
     return rows.join(keep.select(_name(F.col("text_sha256")).alias("name")), "name", "left_semi").select("row.*")
 
 
