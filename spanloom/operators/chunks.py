@@ -1,7 +1,7 @@
 """State that depends on the data itself: sliding windows over segments and caption phrases.
 
-Each is a chain in which the next start follows from the last, so it is one linear pass over a medium's rows: an Arrow function on
-arrays returns where windows or phrases begin and end, and everything else stays in built-in expressions.
+Each is a chain in which the next start follows from the last. A medium's rows go by in order (`ordered`), and a chain remembers only
+what its next output needs: the segments of the window that is being filled, or the words of one phrase.
 """
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.operators.intervals import overlapping
+from spanloom.operators.ordered import ordered
 
 
 def window_bounds(start: np.ndarray, end: np.ndarray, target: int, overlap: float, longest: int, shortest: int) -> list:
@@ -46,79 +47,141 @@ def next_windows(start, end, target: int, overlap: float, longest: int, shortest
     return out, i, last
 
 
+class WindowChain:
+    """Windows over segments that come one by one; holds those that the next window can begin with."""
+
+    def __init__(self, target: int, overlap: float, longest: int, shortest: int):
+        self.limits, self.target, self.last, self.count = (target, overlap, longest, shortest), target, None, 0
+        self.start, self.end, self.rest = [], [], []
+
+    def add(self, start, end, text, n_words, seg):
+        self.start.append(start)
+        self.end.append(end)
+        self.rest.append((text, n_words, seg))
+        return self._drain(False) if end - self.start[0] >= self.target else []
+
+    def close(self):
+        return self._drain(True)
+
+    def _drain(self, closed: bool) -> list:
+        found, i, self.last = next_windows(self.start, self.end, *self.limits, self.last, closed)
+        out = []
+        for lo, hi in found:
+            held = self.rest[lo : hi + 1]
+            text = " ".join(t for t, _, _ in held if t is not None)
+            out.append((f"chunk-{self.count:05d}", self.count, text, self.start[lo], self.end[hi], sum(n for _, n, _ in held), held[0][2], held[-1][2]))
+            self.count += 1
+        del self.start[:i], self.end[:i], self.rest[:i]
+        return out
+
+
 def windows(segments: DataFrame, target_ms: int = 45_000, overlap: float = 0.5, longest_ms: int = 90_000, shortest_ms: int = 15_000) -> DataFrame:
     """Windows over segments (media_id, seg_id, text, start_ms, end_ms, n_words)."""
+    schema = "chunk_id string, w_index int, text string, start_ms long, end_ms long, n_words long, first_seg long, last_seg long"
+    return ordered(segments, "media_id", ["start_ms", "seg_id"], ["start_ms", "end_ms", "text", "n_words", "seg_id"], lambda: WindowChain(target_ms, overlap, longest_ms, shortest_ms), schema)
 
-    @F.pandas_udf("array<struct<lo:int,hi:int>>")
-    def bounds(s: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([[{"lo": a, "hi": b} for a, b in window_bounds(x, y, target_ms, overlap, longest_ms, shortest_ms)] for x, y in zip(s, e)])
-
-    order = Window.partitionBy("media_id").orderBy("start_ms", "seg_id")
-    numbered = segments.withColumn("pos", F.row_number().over(order) - 1)
-    lists = numbered.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "text", "n_words", "seg_id"))).alias("x"))
-    part = lambda name: F.transform("x", lambda v: v[name])
-    found = lists.select("media_id", "x", F.posexplode(bounds(part("start_ms"), part("end_ms"))).alias("index", "w"))
-    inside = found.select("media_id", "index", F.slice("x", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + 1).alias("x"))
-    first, last = F.col("x")[0], F.element_at("x", F.lit(-1))
-    return inside.select(
-        "media_id", F.format_string("chunk-%05d", F.col("index")).alias("chunk_id"), F.col("index").alias("w_index"),
-        F.array_join(part("text"), " ").alias("text"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"),
-        F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v["n_words"]).alias("n_words"), first["seg_id"].alias("first_seg"), last["seg_id"].alias("last_seg"),
-    )
-
-
-def phrase_starts(words: list, most_words: int = 4, most_chars: int = 24) -> list:
+
+MOST_WORDS, MOST_CHARS, SHORTEST_MS = 4, 24, 130  # of a caption phrase, and of a slot that can be seen
+
+
+class PhraseChain:
+    """Words as caption phrases: a phrase ends where it is full, or after a sentence of two words or more. Holds one phrase."""
+
+    def __init__(self, most_words: int = MOST_WORDS, most_chars: int = MOST_CHARS):
+        self.most_words, self.most_chars = most_words, most_chars
+        self.phrase, self.chars, self.said, self.held = 0, 0, False, []
+
+    def add(self, start, end, w_idx, word):
+        out = []
+        if not self.held or self.said or len(self.held) >= self.most_words or self.chars + len(word) + 1 > self.most_chars:
+            out = self.close()
+            self.phrase += 1
+            self.chars = 0
+        self.held.append((start, end, w_idx, word))
+        self.chars += len(word) + 1
+        self.said = word.endswith((".", "!", "?")) and len(self.held) >= 2
+        return out
+
+    def close(self) -> list:
+        held, self.held = self.held, []
+        return self.made(held, max(w[1] for w in held)) if held else []
+
+    def made(self, held: list, until: int) -> list:
+        return [(*w, self.phrase, place, until) for place, w in enumerate(held, 1)]
+
+
+def phrase_starts(words: list, most_words: int = MOST_WORDS, most_chars: int = MOST_CHARS) -> list:
     """1 where a word opens a caption phrase."""
-    out, held, chars = [], 0, 0
-    for w in words:
-        opens = held == 0 or held >= most_words or chars + len(w) + 1 > most_chars
-        if opens:
-            held = chars = 0
-        out.append(int(opens))
-        held, chars = held + 1, chars + len(w) + 1
-        if w.endswith((".", "!", "?")) and held >= 2:
-            held = 0
+    chain, out = PhraseChain(most_words, most_chars), []
+    for i, w in enumerate(words):
+        before = chain.phrase
+        chain.add(i, i, i, w)
+        out.append(chain.phrase - before)
     return out
 
 
+class SlotChain(PhraseChain):
+    """The same phrases as highlight slots."""
+
+    def __init__(self, shortest: int = SHORTEST_MS, **limits):
+        super().__init__(**limits)
+        self.shortest = shortest
+
+    def made(self, held: list, until: int) -> list:
+        text = " ".join(w[3] for w in held)
+        return [(self.phrase, text, *slot) for slot in slots_of([w[0] for w in held], until, self.shortest)]
+
+
+def slots_of(starts: list, until: int, shortest: int = SHORTEST_MS) -> list:
+    """(start, end, active word, first, last) that tile a phrase: a word holds until the next begins; slots too short to see join the
+    one before, a short first one the next."""
+    slots: list = []
+    for i, after in enumerate([*starts[1:], until]):
+        begin = slots[-1][1] if slots else starts[0]
+        end = max(after, begin)
+        if slots and end - begin < shortest:
+            slots[-1][1] = end
+        else:
+            slots.append([begin, end, i])
+    if len(slots) > 1 and slots[0][1] - slots[0][0] < shortest:
+        slots[:2] = [[slots[0][0], *slots[1][1:]]]
+    return [(*s, k == 0, k == len(slots) - 1) for k, s in enumerate(slots)]
+
+
+WORD_ORDER, _SLOT = ["start_ms", "end_ms", "w_idx"], "phrase long, text string, start_ms long, end_ms long, active int, is_first boolean, is_last boolean"
+
+
 def caption_phrases(words: DataFrame) -> DataFrame:
-    """Words with the phrase they are shown in: media_id, w_idx, word, start_ms, end_ms, phrase, place, phrase_end_ms."""
+    """Words with the phrase they are shown in: media_id, start_ms, end_ms, w_idx, word, phrase, place, phrase_end_ms."""
+    return ordered(words, "media_id", WORD_ORDER, ["start_ms", "end_ms", "w_idx", "word"], PhraseChain, "start_ms long, end_ms long, w_idx int, word string, phrase long, place int, phrase_end_ms long")
 
-    @F.pandas_udf("array<int>")
-    def starts(w: pd.Series) -> pd.Series:
-        return pd.Series([phrase_starts(list(x)) for x in w])
-
-    lists = words.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "w_idx", "word"))).alias("x"))
-    rows = lists.select("media_id", F.explode(F.arrays_zip(F.col("x"), starts(F.transform("x", lambda v: v["word"])).alias("opens"))).alias("z")).select("media_id", "z.x.*", "z.opens")
-    w = Window.partitionBy("media_id").orderBy("start_ms", "end_ms", "w_idx").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("phrase", F.sum("opens").over(w)).drop("opens")
-    inside = Window.partitionBy("media_id", "phrase").orderBy("start_ms", "end_ms", "w_idx")
-    return numbered.select("*", F.row_number().over(inside).alias("place"), F.max("end_ms").over(Window.partitionBy("media_id", "phrase")).alias("phrase_end_ms"))
-
-
-def caption_slots(phrases: DataFrame, shortest_ms: int = 130) -> DataFrame:
-    """Highlight slots that tile each phrase: a word holds until the next begins; slots too short to see join the one before, a short first one the next."""
-    item = F.struct("place", "start_ms", "end_ms", "word")
-    lists = phrases.groupBy("media_id", "phrase").agg(F.array_sort(F.collect_list(item)).alias("x"), F.max("phrase_end_ms").alias("until"))
-    slot = "array<struct<s:bigint,e:bigint,active:int>>"
-
-    def step(acc, i):
-        cursor = F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["e"]).otherwise(F.col("x")[0]["start_ms"].cast("long"))
-        end = F.greatest(F.coalesce(F.get(F.col("x"), i + 1)["start_ms"], F.col("until")).cast("long"), cursor)
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(cursor.alias("s"), end.alias("e"), i.cast("int").alias("active"))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e"), last["active"].alias("active"))))
-        return F.when((end - cursor < shortest_ms) & (F.size(acc) > 0), longer).otherwise(F.concat(acc, F.array(new)))
-
-    slots = F.aggregate(F.sequence(F.lit(0), F.size("x") - 1), F.array().cast(slot), step)
-    short = (F.size("slots") > 1) & (F.col("slots")[0]["e"] - F.col("slots")[0]["s"] < shortest_ms)
-    second = F.get("slots", F.lit(1))
-    given = F.concat(F.array(F.struct(F.col("slots")[0]["s"].alias("s"), second["e"].alias("e"), second["active"].alias("active"))), F.slice("slots", 3, F.greatest(F.size("slots") - 2, F.lit(0))))
-    rows = lists.withColumn("slots", slots).withColumn("slots", F.when(short, given).otherwise(F.col("slots")))
-    text = F.array_join(F.transform("x", lambda v: v["word"]), " ")
-    return rows.select("media_id", "phrase", text.alias("text"), F.size("slots").alias("n"), F.posexplode("slots").alias("k", "z")).select(
-        "media_id", "phrase", "text", F.col("z.s").alias("start_ms"), F.col("z.e").alias("end_ms"), F.col("z.active").alias("active"), (F.col("k") == 0).alias("is_first"), (F.col("k") == F.col("n") - 1).alias("is_last")
-    )
+
+def caption_events_of(words: DataFrame, shortest_ms: int = SHORTEST_MS) -> DataFrame:
+    """Words to the highlight slots of their phrases in one pass: media_id, phrase, text, start_ms, end_ms, active, is_first, is_last."""
+    return ordered(words, "media_id", WORD_ORDER, ["start_ms", "end_ms", "w_idx", "word"], lambda: SlotChain(shortest_ms), _SLOT)
+
+
+class _Phrases:
+    """Slots of words that have their phrase already."""
+
+    def __init__(self, shortest: int):
+        self.shortest, self.phrase, self.until, self.held = shortest, None, None, []
+
+    def add(self, phrase, start, word, until):
+        out = self.close() if self.held and phrase != self.phrase else []
+        self.phrase, self.until = phrase, until
+        self.held.append((start, word))
+        return out
+
+    def close(self) -> list:
+        held, self.held = self.held, []
+        text = " ".join(w for _, w in held)
+        return [(self.phrase, text, *slot) for slot in slots_of([s for s, _ in held], self.until, self.shortest)] if held else []
+
+
+def caption_slots(phrases: DataFrame, shortest_ms: int = SHORTEST_MS) -> DataFrame:
+    """Highlight slots of phrases (media_id, phrase, place, start_ms, word, phrase_end_ms)."""
+    return ordered(phrases, "media_id", ["phrase", "place"], ["phrase", "start_ms", "word", "phrase_end_ms"], lambda: _Phrases(shortest_ms), _SLOT)
 
 
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")  # fixed values, tried in this order

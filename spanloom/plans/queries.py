@@ -80,7 +80,27 @@ def q_pauses(spark, sf_dir):
     return transcript.pauses(views.words(spark, sf_dir))
 
 
-@query()
+WINDOWS_SQL = """seg AS (SELECT media_id, sent_id, CAST(row_number() OVER w - 1 AS INTEGER) AS i, CAST(count(*) OVER (PARTITION BY media_id) AS INTEGER) AS n, start_ms AS s, end_ms AS e, text, n_words
+   FROM tx_sentences WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, sent_id)),
+ ends AS (SELECT media_id, e, min(i) AS i FROM seg GROUP BY ALL),
+ fill AS (SELECT seg.*, coalesce(x.i, n - 1) AS j FROM seg ASOF LEFT JOIN ends x ON seg.media_id = x.media_id AND seg.s + 45000 <= x.e),
+ turn AS (SELECT f.*, greatest(f.i + 1, least(f.j, coalesce(x.i, f.j))) AS nx FROM (SELECT *, s + 22500 + 1 AS t FROM fill) f ASOF LEFT JOIN (SELECT media_id, e AS xe, i AS i FROM ends) x ON f.media_id = x.media_id AND f.t <= x.xe),
+ span AS (SELECT media_id, i, n, s, j, nx, greatest(i, least(j, coalesce(x_k, i))) AS k FROM (SELECT t.*, x.k AS x_k FROM turn t ASOF LEFT JOIN (SELECT media_id, e AS xe, max(i) AS k FROM seg GROUP BY ALL) x ON t.media_id = x.media_id AND t.s + 90000 >= x.xe)),
+ rows_ AS (SELECT media_id, any_value(n) AS n, list(s ORDER BY i) AS s, list(j ORDER BY i) AS j, list(nx ORDER BY i) AS nx, list(k ORDER BY i) AS k FROM span GROUP BY media_id),
+ e_ AS (SELECT media_id, list(e ORDER BY i) AS e FROM seg GROUP BY media_id),
+ walk AS (
+   SELECT media_id, 0 AS pos, -1 AS lo, -1 AS hi, CAST(NULL AS BIGINT) AS ls, CAST(NULL AS BIGINT) AS le, -1 AS number, false AS given FROM rows_
+   UNION ALL
+   SELECT media_id, CASE WHEN scrap THEN n ELSE nx END, CASE WHEN ok THEN pos ELSE -1 END, CASE WHEN ok THEN k ELSE -1 END, CASE WHEN ok THEN s ELSE ls END, CASE WHEN ok THEN e ELSE le END, CASE WHEN ok THEN number + 1 ELSE number END, ok
+   FROM (SELECT *, NOT scrap AND NOT (ls IS NOT NULL AND greatest(0, least(le, e) - greatest(ls, s)) > 0.9 * (greatest(le, e) - least(ls, s))) AND NOT (e - s < 15000 AND number >= 0) AS ok
+     FROM (SELECT w.media_id, w.pos, w.ls, w.le, w.number, r.n, r.s[pos + 1] AS s, r.nx[pos + 1] AS nx, r.k[pos + 1] AS k, x.e[r.k[pos + 1] + 1] AS e, x.e[r.j[pos + 1] + 1] - r.s[pos + 1] < 15000 AND w.number >= 0 AS scrap
+           FROM walk w JOIN rows_ r USING (media_id) JOIN e_ x USING (media_id) WHERE w.pos < r.n)))"""
+
+
+@query(
+    f"""WITH RECURSIVE {SENT}, {WINDOWS_SQL} SELECT w.media_id, printf('chunk-%05d', number) AS chunk_id, number AS w_index, string_agg(text, ' ' ORDER BY seg.i) AS text, min_by(seg.s, seg.i) AS start_ms, max_by(seg.e, seg.i) AS end_ms,
+    CAST(sum(n_words) AS BIGINT) AS n_words, min_by(sent_id, seg.i) AS first_seg, max_by(sent_id, seg.i) AS last_seg FROM (SELECT * FROM walk WHERE given) w JOIN seg ON seg.media_id = w.media_id AND seg.i BETWEEN w.lo AND w.hi GROUP BY w.media_id, number"""
+)
 def q_windows_chain(spark, sf_dir):
     return chunks.windows(_sentences(spark, sf_dir).withColumnRenamed("sent_id", "seg_id"))
 
@@ -359,14 +379,30 @@ def q_lines_grid(spark, sf_dir):
     return both.select("l.media_id", "l.id", n.alias("n"), "r.start_ms", "r.end_ms", "r.text")
 
 
-@query()
+PHRASES_SQL = r"""cap AS (SELECT media_id, w_idx, word, start_ms, end_ms, regexp_matches(word, '[.!?]$') AS stop, length(word) + 1 AS c FROM tx_words),
+ far AS (SELECT *, 1 + CASE WHEN c2 IS NULL OR c + c2 > 24 THEN 0 WHEN s2 THEN 1 WHEN c3 IS NULL OR c + c2 + c3 > 24 THEN 1 WHEN s3 THEN 2 WHEN c4 IS NULL OR c + c2 + c3 + c4 > 24 THEN 2 ELSE 3 END AS n
+   FROM (SELECT *, lead(c) OVER w AS c2, lead(stop) OVER w AS s2, lead(c, 2) OVER w AS c3, lead(stop, 2) OVER w AS s3, lead(c, 3) OVER w AS c4 FROM cap WINDOW w AS (PARTITION BY media_id ORDER BY w_idx))),
+ steps AS (SELECT media_id, list(CAST(n AS INTEGER) ORDER BY w_idx) AS n FROM far GROUP BY media_id),
+ hops AS (SELECT media_id, 0 AS lo, n[1] AS hi, 1 AS phrase FROM steps UNION ALL SELECT media_id, hi, hi + n[hi + 1], phrase + 1 FROM hops JOIN steps USING (media_id) WHERE hi < len(n)),
+ phrases AS (SELECT c.media_id, c.w_idx, word, start_ms, end_ms, CAST(phrase AS BIGINT) AS phrase, CAST(c.w_idx - lo + 1 AS INTEGER) AS place, max(end_ms) OVER (PARTITION BY c.media_id, phrase) AS phrase_end_ms
+   FROM cap c JOIN (SELECT media_id, phrase, lo, unnest(range(lo, hi)) AS w_idx FROM hops) h ON h.media_id = c.media_id AND h.w_idx = c.w_idx)"""
+SLOTS_SQL = """held AS (SELECT *, greatest(first_value(start_ms) OVER w, max(nx) OVER w) AS e FROM (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY media_id, phrase ORDER BY place), phrase_end_ms) AS nx FROM phrases)
+   WINDOW w AS (PARTITION BY media_id, phrase ORDER BY place ROWS UNBOUNDED PRECEDING)),
+ cut AS (SELECT *, coalesce(lag(e) OVER w, start_ms) AS b, place = 1 OR e - lag(e) OVER w >= 130 AS opens FROM held WINDOW w AS (PARTITION BY media_id, phrase ORDER BY place)),
+ slot AS (SELECT media_id, phrase, k, min(b) AS b, max(e) AS e, min(place) - 1 AS active FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY media_id, phrase ORDER BY place ROWS UNBOUNDED PRECEDING) AS k FROM cut) GROUP BY ALL),
+ whole AS (SELECT media_id, phrase, CASE WHEN k = 1 AND e - b < 130 AND n > 1 THEN 2 ELSE k END AS k, min(b) AS b, max(e) AS e, max_by(active, k) AS active FROM (SELECT *, count(*) OVER (PARTITION BY media_id, phrase) AS n FROM slot) GROUP BY 1, 2, 3),
+ slots AS (SELECT media_id, phrase, text, CAST(b AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms, CAST(active AS INTEGER) AS active, k = min(k) OVER p AS is_first, k = max(k) OVER p AS is_last
+   FROM whole JOIN (SELECT media_id, phrase, string_agg(word, ' ' ORDER BY place) AS text FROM phrases GROUP BY ALL) USING (media_id, phrase) WINDOW p AS (PARTITION BY media_id, phrase))"""
+
+
+@query(f"WITH RECURSIVE {TX}, {PHRASES_SQL} SELECT * FROM phrases")
 def q_captions(spark, sf_dir):
     return chunks.caption_phrases(views.words(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {TX}, {PHRASES_SQL}, {SLOTS_SQL} SELECT * FROM slots")
 def q_caption_slots(spark, sf_dir):
-    return chunks.caption_slots(chunks.caption_phrases(views.words(spark, sf_dir)))
+    return chunks.caption_events_of(views.words(spark, sf_dir))
 
 
 def _sql_time(ms: str, pattern: str) -> str:

@@ -198,13 +198,13 @@ def q_caption_document(spark, sf_dir):
     """Captions of each medium's first two minutes as a subtitle document."""
     w = views.words(spark, sf_dir)
     clips = w.groupBy("media_id").agg(F.least(F.max("end_ms"), F.lit(120_000)).alias("length_ms"))
-    events = chunks.caption_events(chunks.caption_slots(chunks.caption_phrases(w)), clips)
+    events = chunks.caption_events(chunks.caption_events_of(w), clips)
     return chunks.ass_document(events, clips).select("media_id", F.length("document").alias("n_chars"), F.sha2("document", 256).alias("digest"))
 
 
 @query()
 def q_caption_collapse(spark, sf_dir):
-    return chunks.collapsed(chunks.caption_slots(chunks.caption_phrases(views.words(spark, sf_dir))))
+    return chunks.collapsed(chunks.caption_events_of(views.words(spark, sf_dir)))
 
 
 @query()
