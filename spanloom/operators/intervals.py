@@ -86,3 +86,21 @@ def rebased(rows: DataFrame, spans: DataFrame) -> DataFrame:
     both = overlapping(rows, offsets(spans))
     at = lambda c: F.col("r.offset_ms") + c - F.col("r.start_ms")
     return both.select("l.*", at(F.greatest("l.start_ms", "r.start_ms")).alias("clip_start_ms"), at(F.least("l.end_ms", "r.end_ms")).alias("clip_end_ms"))
+
+
+def clip_times(times: DataFrame, spans: DataFrame) -> DataFrame:
+    """Source times (media_id, t_id, t_ms) on the time of their clip, whose spans (media_id, start_ms, end_ms) don't overlap: clip_ms, null outside the spans, and
+    clamped_ms, which is moved to the nearest edge (the earlier of two, 0 without spans). One sorted pass carries the last span begun and, from the other side, the next one."""
+    none = F.lit(None)
+    span = F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("offset_ms").alias("o"))
+    marks = offsets(spans).select("media_id", F.col("start_ms").alias("t_ms"), span.alias("span"), none.cast(times.schema["t_id"].dataType).alias("t_id"), F.lit(False).alias("asked"))
+    asked = times.select("media_id", "t_ms", none.cast(marks.schema["span"].dataType).alias("span"), "t_id", F.lit(True).alias("asked"))
+    rows = marks.unionByName(asked)
+    upto = Window.partitionBy("media_id").orderBy("t_ms").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("media_id").orderBy(F.desc("t_ms")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("media_id", "t_id", "t_ms", "asked", F.max("span").over(upto).alias("a"), F.min("span").over(after).alias("b")).where("asked")
+    t = F.col("t_ms")
+    inside = F.when(t <= F.col("a.e"), F.col("a.o") + t - F.col("a.s"))
+    behind, ahead = F.col("a.o") + F.col("a.e") - F.col("a.s"), F.col("b.o")
+    nearest = F.when(t - F.col("a.e") <= F.col("b.s") - t, behind).otherwise(F.coalesce(ahead, behind))
+    return rows.select("media_id", "t_id", "t_ms", inside.alias("clip_ms"), F.coalesce(inside, nearest, F.lit(0).cast("long")).alias("clamped_ms"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-
+from spanloom.operators.intervals import keep_unless_empty, overlapping
+from spanloom.sources import store
 
 PROBES = 1_000  # probes that meet the corpus at a time
 
@@ -35,15 +36,43 @@ def search(corpus: DataFrame, probes: DataFrame, k: int = 8, most: int = 50) ->
 
 
 def merge_probes(hits: DataFrame, n_probes: int) -> DataFrame:
-    """Hits of one chunk over all probes: best relevance, number of probes, retrieval score with a bonus for breadth."""
-    merged = hits.groupBy("id").agg(F.max("relevance").alias("relevance"), F.count(F.lit(1)).alias("match_count"), F.sort_array(F.collect_list("probe")).alias("matched"))
+    """Hits of one chunk over all probes: best relevance and the distance there, number of probes, retrieval score with a bonus for breadth. Hits may bring their
+    distance; without it, it follows from the relevance."""
+    distance = F.col("distance") if "distance" in hits.columns else F.round(1 - F.col("relevance"), 4)
+    first = F.struct(-F.col("relevance"), "probe")  # the first probe among equals
+    merged = hits.withColumn("distance", distance).groupBy("id").agg(
+        F.max("relevance").alias("relevance"), F.min_by("distance", first).alias("distance"), F.count(F.lit(1)).alias("match_count"), F.sort_array(F.collect_list("probe")).alias("matched")
+    )
     breadth = F.least(F.col("match_count") / max(n_probes / 2, 1), F.lit(1.0))
     return merged.withColumn("retrieval_score", F.round(0.75 * F.col("relevance") + 0.25 * breadth, 4))
 
 
-def suppress(rows: DataFrame, score: str, max_overlap: float = 0.5, by: str = "media_id") -> DataFrame:
-    """Greedy suppression in falling score: a span stays unless it overlaps a kept one by more than the share of the shorter.
-    Candidates of a medium are folded in one expression; they number what retrieval returned, not its words."""
+def retrieve(corpus: DataFrame, probes: DataFrame, limit: int = 14, per_probe: int = 6, max_overlap: float = 0.6) -> DataFrame:
+    """The `limit` best chunks of each medium of the corpus (media_id, id, embedding, start_ms, end_ms) for the probes (probe, embedding), those that nearly
+    repeat a better one left out: media_id, id, rank, start_ms, end_ms and what `merge_probes` says."""
+    merged = merge_probes(nearest(corpus, probes, per_probe), probes.count())
+    found = merged.join(corpus.drop("embedding"), "id")
+    kept = suppress(found, "retrieval_score", max_overlap).where(F.col("rank") <= limit)
+    return found.join(kept, ["media_id", "id"])
+
+
+FOLD = 500  # candidates of a medium up to which they are folded in one row; more are suppressed in rounds
+
+
+def suppress(rows: DataFrame, score: str, max_overlap: float = 0.5, by: str = "media_id", fold: int = FOLD) -> DataFrame:
+    """Greedy suppression in falling score: a span stays unless it overlaps a kept one by more than the share of the shorter. Returns (by, id, rank).
+    A medium's candidates are folded in one row while they are few; those of large media meet by time buckets and are settled in rounds."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold).select(by)
+    if sizes.isEmpty():
+        return _folded(rows, score, max_overlap, by)
+    large = store.written(sizes, "large-media")
+    few = _folded(rows.join(large, by, "left_anti"), score, max_overlap, by)
+    kept = settled(rows.join(large, by, "left_semi"), score, max_overlap, by)
+    order = Window.partitionBy(by).orderBy(F.desc("_score"), "id")
+    return few.unionByName(kept.select(by, F.row_number().over(order).alias("rank"), "id"))
+
+
+def _folded(rows: DataFrame, score: str, max_overlap: float, by: str) -> DataFrame:
     item = F.struct((-F.col(score)).alias("o"), F.col("id"), F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e"))
     lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = lists.schema["items"].dataType.simpleString()
@@ -52,6 +81,41 @@ def suppress(rows: DataFrame, score: str, max_overlap: float = 0.5, by: str = "m
     return lists.select(by, F.posexplode(kept).alias("pos", "x")).select(by, (F.col("pos") + 1).alias("rank"), "x.id")
 
 
+def settled(rows: DataFrame, score: str, max_overlap: float, by: str = "media_id") -> DataFrame:
+    """Kept rows (by, id, _score) in rounds: whatever clashes with nothing better that is undecided stays, and what clashes with it goes. Each round
+    works on the clashes that are left, written down so that no round runs again; scores that fall along a chain of clashes take a round a link."""
+    spans = rows.select(F.col(by).alias("media_id"), "id", F.col(score).alias("_score"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+    spans = store.written(spans, "candidates")
+    both = overlapping(spans, spans).where("l.id != r.id")
+    better = (F.col("l._score") > F.col("r._score")) | (F.col("l._score") == F.col("r._score")) & (F.col("l.id") < F.col("r.id"))
+    clash = C.overlap_ratio(F.col("l.start_ms"), F.col("l.end_ms"), F.col("r.start_ms"), F.col("r.end_ms")) > max_overlap
+    pairs = store.written(both.where(better & clash).select("l.media_id", F.col("l.id").alias("best"), F.col("r.id").alias("worse")), "clashes")
+    key, gone = ["media_id", "id"], None
+    while True:
+        worse = pairs.select("media_id", F.col("worse").alias("id")).distinct()
+        safe = pairs.select("media_id", F.col("best").alias("id")).distinct().join(worse, key, "left_anti")  # stays: nothing better is left
+        out = store.written(pairs.join(safe.withColumnRenamed("id", "best"), ["media_id", "best"], "left_semi").select("media_id", F.col("worse").alias("id")).distinct(), "suppressed")
+        if out.isEmpty():
+            break
+        gone = out if gone is None else gone.unionByName(out)
+        left = pairs.join(out.withColumnRenamed("id", "best"), ["media_id", "best"], "left_anti").join(out.withColumnRenamed("id", "worse"), ["media_id", "worse"], "left_anti")
+        pairs = store.written(left.select("media_id", "best", "worse"), "clashes")
+    kept = spans if gone is None else spans.join(gone, key, "left_anti")
+    return kept.select(F.col("media_id").alias(by), "id", "_score")
+
+
+def select_clips(clips: DataFrame, count: int = 5, low: float = 15.0, high: float = 180.0, max_overlap: float = 0.35, spread: bool = True) -> DataFrame:
+    """The final clips of each medium (media_id, id, start_ms, end_ms, score, duration in seconds): those under the least length go unless that leaves none, near
+    repeats of better ones go, and what is left is spread over the lengths or taken by score. Returns media_id, rank, id."""
+    long_enough = keep_unless_empty(clips.withColumn("_long", F.col("duration") >= low - 0.5), "_long").drop("_long")
+    apart = suppress(long_enough, "score", max_overlap)
+    left = long_enough.join(apart.select("media_id", "id"), ["media_id", "id"], "left_semi")
+    if spread:
+        return spread_by_duration(left, duration_buckets(clips.sparkSession, count, low, high), count)
+    order = Window.partitionBy("media_id").orderBy(F.desc("score"), "id")
+    return left.select("media_id", F.row_number().over(order).alias("rank"), "id").where(F.col("rank") <= count)
+
+
 def duration_buckets(spark, count: int, lo: float = 15.0, hi: float = 180.0) -> DataFrame:
     """Geometric length ranges, shortest first."""
     if hi <= lo or count <= 1:

@@ -97,10 +97,7 @@ def fallback(rows: DataFrame, words: DataFrame, why: Column) -> DataFrame:
     )
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    folder = store.scratch(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+_written = store.written
 
 
 def score_candidates(candidates: DataFrame, words: DataFrame, sentences: DataFrame, excluded: DataFrame, topic_ends: DataFrame, ask: Callable, reveal: Column, lists: dict, low_ms: int = composing.MIN_MS, high_ms: int = composing.MAX_MS) -> DataFrame:

@@ -126,7 +126,7 @@ def q_knn(spark, sf_dir):
 )
 def q_multi_probe(spark, sf_dir):
     merged = retrieval.merge_probes(retrieval.nearest(*_vectors(spark, sf_dir), k=6), 8)
-    return merged.withColumn("matched", F.concat_ws(",", F.col("matched").cast("array<string>")))
+    return merged.withColumn("matched", F.concat_ws(",", F.col("matched").cast("array<string>"))).drop("distance")
 
 
 @query()

@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows in a scratch table, so that what follows doesn't run them again."""
+    folder = scratch(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _part():
     return F.pmod(F.xxhash64(F.col("media_id").cast("long")), F.lit(64)).cast("int")
 
