@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-from spanloom.operators.intervals import overlapping
+from spanloom.operators.intervals import overlapping, united
 from spanloom.operators.ordered import ordered
 
 
@@ -326,5 +326,5 @@ def split_windows(found: DataFrame, words: DataFrame, size: int = 2400, overlap:
     pieces = split_long(inside, size, overlap)
     chars = inside.groupBy("media_id").agg((F.sum(F.length("word") + 1) - 1).alias("n"), F.min("w_idx").alias("first_word"), F.max("w_idx").alias("last_word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     whole = chars.where(F.col("n") <= size).select("media_id", F.lit(0).cast("int").alias("piece"), "first_word", "last_word", "start_ms", "end_ms")
-    every = whole.unionByName(pieces.withColumn("piece", F.col("piece").cast("int")))
+    every = united(whole, pieces.withColumn("piece", F.col("piece").cast("int")))
     return every.select("media_id.*", "piece", "first_word", "last_word", "start_ms", "end_ms")

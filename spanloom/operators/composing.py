@@ -1,21 +1,19 @@
 """Clips from spans: edges snapped within length limits, a setup put in front, exclusions cut out.
 
-A span gets the words around it as one array, by a join on time buckets; a small Arrow helper
-places the two edges of a span on it, since each cut depends on the one before; all else are column expressions. The array is as long as a clip and its reach allow, whatever the
-medium's length. Times stay fractional until the end.
+A span gets the words and exclusions around it as arrays, by one join on time buckets, as long as a clip and its reach allow, whatever
+the medium's length. One Arrow call a span then makes its clip, since each cut depends on the one before. Times stay fractional until the end.
 """
 
-from __future__ import annotations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-from spanloom.operators.intervals import overlapping
+from spanloom.operators.intervals import overlapping, united
 from spanloom.operators.snapping import CLAUSE, CRAMPED, EXTEND, INSIDE, SENTENCE, SILENCE, SILENCE_MS, TRUNCATE
 from spanloom.operators.transcript import MIN_PAUSE_MS
+from spanloom.sources import store
 
 LEAD_MS, TAIL_MS, EXTEND_MS, TRUNCATE_MS, COLLAPSED_MS, RESNAP_MS = 250, 600, 10_000, 1500, 500, 3000
 SETUP_MS, SETUP_LEAST_MS, PIECE_MS, SLACK_MS = 20_000, 1000, 3000, 50
@@ -24,16 +22,31 @@ REACH_MS = 2 * (EXTEND_MS + TRUNCATE_MS)
 SPANS = "array<struct<s:double,e:double>>"
 
 
-def nearby(words: DataFrame, spans: DataFrame, grow_ms: int = MIN_MS, reach_ms: int = REACH_MS) -> DataFrame:
-    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e]) with `words` around them and the medium's length, null for media without words."""
+def nearby(words: DataFrame, spans: DataFrame, grow_ms: int | Column = MIN_MS, reach_ms: int = REACH_MS, excluded: DataFrame | None = None) -> DataFrame:
+    """Spans (media_id, id, start_ms, end_ms[, setup_s, setup_e, ...]) with `words` and, if given, `ads` around them, the medium's length, null for media without
+    words, and `cleared`, whether it has exclusions. Spans that share an identifier are told apart by their times."""
     first = F.least("start_ms", "setup_s") if "setup_s" in spans.columns else F.col("start_ms")
-    around = spans.select("media_id", "id", F.greatest(first.cast("long") - reach_ms, F.lit(0)).alias("start_ms"), (F.greatest(F.col("end_ms"), F.col("start_ms") + grow_ms) + reach_ms).cast("long").alias("end_ms"))
-    said = words.select("media_id", "w_idx", "start_ms", "end_ms", C.ends_sentence(F.col("word")).alias("sent"), (C.ends_sentence(F.col("word")) | C.ends_clause(F.col("word"))).alias("clause"))
-    word = F.struct(F.col("r.start_ms").cast("double").alias("s"), F.col("r.w_idx").alias("i"), F.col("r.end_ms").cast("double").alias("e"), "r.sent", "r.clause")
-    lists = overlapping(around, said).groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    length = words.groupBy("media_id").agg(F.max("end_ms").cast("double").alias("length_ms"))
-    rows = spans.join(lists, ["media_id", "id"], "left").join(length, "media_id", "left")
-    return rows.withColumn("words", F.coalesce("words", F.array().cast(lists.schema["words"].dataType)))
+    lo = F.greatest(first.cast("long") - reach_ms, F.lit(0)).cast("long")
+    hi = (F.greatest(F.col("end_ms"), F.col("start_ms") + grow_ms) + reach_ms).cast("long")
+    spans = spans.withColumns({"_lo": lo, "_hi": hi})
+    around = spans.select("media_id", "id", F.col("_lo").alias("start_ms"), F.col("_hi").alias("end_ms")).distinct()
+    sent = C.ends_sentence(F.col("word"))
+    said = words.select("media_id", "start_ms", "end_ms", "w_idx", sent.alias("sent"), (sent | C.ends_clause(F.col("word"))).alias("clause"))
+    none = lambda kind: F.lit(None).cast(kind)
+    if excluded is not None:
+        said = united(said, excluded.select("media_id", "start_ms", "end_ms", none("int").alias("w_idx"), none("boolean").alias("sent"), none("boolean").alias("clause")))
+    ends = lambda c: F.col(f"r.{c}").cast("double")
+    word = F.struct(ends("start_ms").alias("s"), F.col("r.w_idx").alias("i"), ends("end_ms").alias("e"), "r.sent", "r.clause")
+    ad = F.struct(ends("start_ms").alias("s"), ends("end_ms").alias("e"))
+    spoken = F.col("r.w_idx").isNotNull()
+    lists = overlapping(around, said).groupBy("l.media_id", "l.id", F.col("l.start_ms").alias("_lo"), F.col("l.end_ms").alias("_hi")).agg(
+        F.array_sort(F.collect_list(F.when(spoken, word))).alias("words"), F.array_sort(F.collect_list(F.when(~spoken, ad))).alias("ads")
+    )
+    rows = spans.join(lists, ["media_id", "id", "_lo", "_hi"], "left").drop("_lo", "_hi")
+    rows = rows.join(words.groupBy("media_id").agg(F.max("end_ms").cast("double").alias("length_ms")), "media_id", "left")
+    rows = rows.withColumn("cleared", F.lit(None).cast("boolean")) if excluded is None else rows.join(excluded.select("media_id", F.lit(True).alias("cleared")).distinct(), "media_id", "left")
+    empty = {c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in ("words", "ads")}
+    return rows.withColumns({**empty, "cleared": F.coalesce("cleared", F.lit(False))})
 
 
 def points(a, b, sentence, clause, cramped, t: float, at_start: bool):
@@ -109,78 +122,90 @@ def snap_within(rows: DataFrame, s: str, e: str, min_ms: float | None = None, ma
     return rows.withColumns({s: F.when(there, F.col("_m.s")), e: F.when(there, F.col("_m.e"))}).drop("_m")
 
 
-def without(spans: Column, ads: Column, least_ms: float = PIECE_MS) -> Column:
-    """What exclusions leave of an array of spans, in order; short pieces go."""
+def without(spans: list, ads: list, least_ms: float = PIECE_MS) -> list:
+    """What exclusions leave of spans, in order; short pieces go."""
+    for a, b in ads:
+        pieces = []
+        for s, e in spans:
+            pieces += [(s, e)] if b <= s or a >= e else [p for p in ((s, a), (b, e)) if p[1] > p[0]]
+        spans = pieces
+    return [p for p in spans if p[1] - p[0] >= least_ms]
+
+
+def longest(spans: list) -> tuple:
+    """The longest span, the first among equals."""
+    return max(spans, key=lambda p: p[1] - p[0])
+
+
+def fused(spans: list, slack_ms: float = SLACK_MS) -> list:
+    """Spans that touch, or nearly, as one; sorted, inverted ones left out."""
+    out: list = []
+    for s, e in sorted(p for p in spans if p[1] > p[0]):
+        if out and s - out[-1][1] <= slack_ms:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def clip_of(words: tuple, length: float | None, ads: list, cleared: bool, span: tuple, setup: tuple | None, min_ms: float, max_ms: float) -> list:
+    """The spans of a clip: the span and its setup snapped and put together, exclusions cut out; a clip that this leaves too short grows again from its longest
+    piece, and a span that exclusions swallow whole stays as it was. Without a length (no words) nothing is moved."""
+    snap = lambda s, e, least, most: (s, e) if length is None else snap_one(words, s, e, length, least, most)
+    s, e = snap(*span, min_ms, max_ms)
+    whole = [(s, e)]
+    if setup is not None:
+        u, v = snap(*setup, None, SETUP_MS)
+        v = min(v, s)
+        budget = max_ms - (e - s)
+        if v - u > budget:
+            u = v - budget
+            u = next((we for ws, we in zip(*words[:2]) if ws < u < we), u)  # off a word
+        if v - u >= SETUP_LEAST_MS:
+            whole = [(u, v), (s, e)]
+    if not cleared:
+        return fused(whole)
+    cut = [snap(*p, None, max_ms) for p in without(whole, ads)]
+    if not cut:
+        return fused(whole)
+    if sum(b - a for a, b in cut) < min_ms:
+        grown = [snap(*longest(cut), min_ms, max_ms)]
+        left = without(grown, ads)
+        cut = [longest(left)] if left else grown
+    return fused(cut)
 
-    def cut(pieces, ad):
-        def parts(p):
-            apart = (ad["e"] <= p["s"]) | (ad["s"] >= p["e"])
-            sides = F.array(F.struct(p["s"].alias("s"), ad["s"].alias("e")), F.struct(ad["e"].alias("s"), p["e"].alias("e")))
-            return F.when(apart, F.array(p)).otherwise(F.filter(sides, lambda x: x["e"] > x["s"])).cast(SPANS)
 
-        return F.flatten(F.transform(pieces, parts))
+def compose(words: DataFrame, spans: DataFrame, excluded: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS) -> DataFrame:
+    """Clips (media_id, id, spans array of s and e) from spans (media_id, id, start_ms, end_ms, setup_s, setup_e; a setup may be null), a clip a row; spans that bring
+    `low_ms` and `high_ms` have limits of their own. Edges of media without words stay where they are."""
+    limits = {"low_ms": F.lit(float(min_ms)), "high_ms": F.lit(float(max_ms))}
+    rows = nearby(words, spans.withColumns({k: v for k, v in limits.items() if k not in spans.columns}), F.col("low_ms"), REACH_MS, excluded)
+    part = lambda array, name: F.transform(array, lambda w: w[name])
+    number = lambda c: F.col(c).cast("double")
+
+    @F.pandas_udf(SPANS)
+    def made(ws: pd.Series, we: pd.Series, sent: pd.Series, clause: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series, cleared: pd.Series, s: pd.Series, e: pd.Series, u: pd.Series, v: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        out = []
+        for *w, n, a, b, c, s, e, u, v, lo, hi in zip(ws, we, sent, clause, n, a, b, cleared, s, e, u, v, low, high):
+            lists = tuple(np.asarray(x, dtype=k) for x, k in zip(w, (float, float, bool, bool)))
+            setup = None if pd.isna(u) or pd.isna(v) else (u, v)
+            clip = clip_of(lists, None if pd.isna(n) else n, list(zip(a.tolist(), b.tolist())), c, (s, e), setup, lo, hi)
+            out.append([{"s": float(x), "e": float(y)} for x, y in clip])
+        return pd.Series(out)
 
-    return F.filter(F.aggregate(ads, spans, cut), lambda p: p["e"] - p["s"] >= least_ms)
+    spans_of = made(*(part("words", c) for c in ("s", "e", "sent", "clause")), F.col("length_ms"), part("ads", "s"), part("ads", "e"), F.col("cleared"), *map(number, ("start_ms", "end_ms", "setup_s", "setup_e", "low_ms", "high_ms")))
+    return rows.select("media_id", "id", spans_of.alias("spans"))
 
 
 def total(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0.0), lambda acc, p: acc + p["e"] - p["s"])
 
 
-def longest(spans: Column) -> Column:
-    """The longest span of an array, the first among equals."""
-    return F.array_max(F.transform(spans, lambda p, i: F.struct((p["e"] - p["s"]).alias("n"), (-i).alias("o"), p.alias("p"))))["p"]
-
-
-def fused(spans: Column, slack_ms: float = SLACK_MS) -> Column:
-    """Spans of an array that touch, or nearly, as one; sorted, inverted ones left out."""
-    kept = F.array_sort(F.filter(spans, lambda p: p["e"] > p["s"]))
-
-    def step(acc, p):
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], p["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (p["s"] - last["e"] <= slack_ms), joined).otherwise(F.concat(acc, F.array(p))).cast(SPANS)
-
-    return F.aggregate(kept, F.array().cast(SPANS), step)
-
-
-def compose(words: DataFrame, spans: DataFrame, excluded: DataFrame, min_ms: int = MIN_MS, max_ms: int = MAX_MS) -> DataFrame:
-    """Clips (media_id, id, spans array of s and e) from spans (media_id, id, start_ms, end_ms, setup_s, setup_e; a setup may be null).
-    Edges of media without words stay where they are; a span that exclusions swallow whole stays as it was."""
-    rows = nearby(words, spans, min_ms)
-    ads = overlapping(spans.select("media_id", "id", (F.least("start_ms", "setup_s") - REACH_MS).cast("long").alias("start_ms"), (F.greatest(F.col("end_ms"), F.col("start_ms") + min_ms) + REACH_MS).cast("long").alias("end_ms")), excluded)
-    ads = ads.groupBy("l.media_id", "l.id").agg(F.array_sort(F.collect_list(F.struct(F.col("r.start_ms").cast("double").alias("s"), F.col("r.end_ms").cast("double").alias("e")))).alias("ads"))
-    rows = rows.join(ads, ["media_id", "id"], "left").join(excluded.select("media_id", F.lit(True).alias("cleared")).distinct(), "media_id", "left")
-    rows = rows.withColumns({"ads": F.coalesce("ads", F.array().cast(SPANS)), "s": F.col("start_ms").cast("double"), "e": F.col("end_ms").cast("double"), "u": F.col("setup_s").cast("double"), "v": F.col("setup_e").cast("double")})
-    rows = snap_within(rows, "s", "e", min_ms, max_ms)
-    rows = snap_within(rows, "u", "v", None, SETUP_MS).withColumn("v", F.least("v", "s"))
-    budget = max_ms - (F.col("e") - F.col("s"))
-    rows = rows.withColumn("_cut", F.when(F.col("v") - F.col("u") > budget, F.col("v") - budget))
-    off_word = F.get(F.filter("words", lambda w: (w["s"] < F.col("_cut")) & (w["e"] > F.col("_cut"))), F.lit(0))["e"]
-    rows = rows.withColumn("u", F.coalesce(off_word, "_cut", "u"))
-    main, setup = (F.array(F.struct(F.col(a).alias("s"), F.col(b).alias("e"))).cast(SPANS) for a, b in (("s", "e"), ("u", "v")))
-    rows = rows.withColumn("whole", F.when(F.col("v") - F.col("u") >= SETUP_LEAST_MS, F.concat(setup, main)).otherwise(main))
-    rows = rows.withColumn("left", F.when(F.coalesce("cleared", F.lit(False)), without(F.col("whole"), F.col("ads"))).otherwise(F.array().cast(SPANS)))
-    keep = ["media_id", "id", "words", "length_ms", "ads", "whole"]
-    pieces = snap_within(rows.select(*keep, F.posexplode_outer("left").alias("k", "p")).select(*keep, "k", F.col("p.s").alias("s"), F.col("p.e").alias("e")), "s", "e", None, max_ms)
-    listed = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("k", "s", "e"))))
-    same = [F.first(c).alias(c) for c in keep[2:]]  # equal in all pieces of a span
-    rows = pieces.groupBy("media_id", "id").agg(*same, listed.alias("cut"))
-    rows = rows.withColumn("cut", F.transform("cut", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"))).cast(SPANS)).withColumn("short", (F.size("cut") > 0) & (total(F.col("cut")) < min_ms))
-    rows = rows.withColumn("most", longest(F.col("cut"))).withColumns({"s": F.col("most.s"), "e": F.col("most.e")})
-    rows = snap_within(rows, "s", "e", min_ms, max_ms)
-    grown = F.array(F.struct("s", "e")).cast(SPANS)
-    again = F.coalesce(F.array(longest(without(grown, F.col("ads")))), grown)
-    again = F.when(F.size(without(grown, F.col("ads"))) > 0, again).otherwise(grown)
-    out = F.when(F.size("cut") == 0, F.col("whole")).when(F.col("short"), again).otherwise(F.col("cut"))
-    return rows.select("media_id", "id", fused(out).alias("spans"))
-
-
 def last_before(targets: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """Targets (media_id, id, t_ms) with `value` of the last row (media_id, end_ms, value) that ends at or before them; one pass over both."""
     none = F.lit(None)
     marks = rows.select("media_id", F.col("end_ms").cast("double").alias("at"), none.cast("long").alias("id"), F.struct(F.col("end_ms").cast("double").alias("at"), F.col(value).alias("v")).alias("x"))
-    marks = marks.unionByName(targets.select("media_id", F.col("t_ms").cast("double").alias("at"), F.col("id").cast("long").alias("id"), none.cast(marks.schema["x"].dataType).alias("x")))
+    marks = united(marks, targets.select("media_id", F.col("t_ms").cast("double").alias("at"), F.col("id").cast("long").alias("id"), none.cast(marks.schema["x"].dataType).alias("x")))
     w = Window.partitionBy("media_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     return marks.withColumn("x", F.max("x").over(w)).where("id IS NOT NULL").select("media_id", "id", F.col("x.v").alias(value))
 
@@ -189,6 +214,7 @@ def grades(clips: DataFrame, words: DataFrame, sentences: DataFrame, excluded: D
     """Quality of clips (media_id, id, spans, hook_s): how they end, whether an edge splits a word, how much of them is excluded, how late the hook comes."""
     first, last = F.col("spans")[0]["s"], F.element_at("spans", F.lit(-1))["e"]
     rows = clips.where(F.size("spans") > 0).select("media_id", "id", "spans", "hook_s", first.alias("s"), last.alias("e"), total(F.col("spans")).alias("n"))
+    rows = store.written(rows, "graded-clips")  # every measure below meets them, and making them is the dear part
     at = lambda extra: rows.select("media_id", "id", (F.col("e") + extra).alias("t_ms"))
     ended = last_before(at(0), words.select("media_id", "end_ms", C.ends_sentence(F.col("word")).alias("ends_on_sentence")), "ends_on_sentence")
     tail = last_before(at(500), sentences.select("media_id", "end_ms", promise.alias("ends_on_promise")), "ends_on_promise")

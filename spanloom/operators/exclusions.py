@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.functions import lexicons as L
-from spanloom.operators.intervals import merge_touching
+from spanloom.operators.intervals import merge_touching, united
 from spanloom.operators.transcript import sentences
 
 
@@ -80,4 +80,4 @@ def excluded_spans(words: DataFrame, sponsor: dict | None = None, housekeeping:
     """Everything that must not become a clip, tagged by kind."""
     ads = sponsor_spans(sentences(words), **(sponsor or {})).select("media_id", "start_ms", "end_ms", F.lit("sponsor").alias("kind"), "brand")
     asks = housekeeping_spans(words, **(housekeeping or {})).select("media_id", "start_ms", "end_ms", F.lit("housekeeping").alias("kind"), F.lit(None).cast("string").alias("brand"))
-    return ads.unionByName(asks)
+    return united(ads, asks)

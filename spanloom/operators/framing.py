@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.intervals import united
+
 CENTRE_BIAS, SMOOTH_SHARE, LONG_SHOT_MS = 0.12, 0.06, 4000
 
 
@@ -116,7 +118,7 @@ def refined_shots(track: DataFrame, speakers: DataFrame, long_ms: int = LONG_SHO
     own = speakers.select("media_id", "shot", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("x").alias("_x"))
     long_ = track.where(F.col("end_ms") - F.col("start_ms") >= long_ms).join(own, ["media_id", "shot"])
     cut = long_.select("media_id", "shot", (F.col("start_ms") + F.col("_s")).alias("start_ms"), (F.col("start_ms") + F.col("_e")).alias("end_ms"), F.col("_x").alias("x"))
-    return track.join(cut.select("media_id", "shot").distinct(), ["media_id", "shot"], "left_anti").select(*cut.columns).unionByName(cut)
+    return united(track.join(cut.select("media_id", "shot").distinct(), ["media_id", "shot"], "left_anti").select(*cut.columns), cut)
 
 
 def cut_times(logs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import columns as C
+from spanloom.operators.intervals import united
 from spanloom.operators.transcript import dangling
 
 MATCH, STRONG, COMPARED = 0.6, 0.85, 80  # similarity of a hook, of a sure one, and the characters compared
@@ -55,19 +56,28 @@ def anchored(start: Column, end: Column, hook_start: Column, hook_end: Column, s
     return F.struct(F.when(moved, s).otherwise(start).alias("s"), F.when(moved, e).otherwise(end).alias("e"))
 
 
+_ASKED = "struct<id:bigint,s:bigint,most:double>"
+
+
+def _asked(spans: DataFrame) -> Column:
+    """What of a span goes through a pass over marks: its identifier, start and, where it brings one, the longest it may be."""
+    most = F.col("most_ms") if "most_ms" in spans.columns else F.lit(None)
+    return F.struct(F.col("id").cast("long").alias("id"), F.col("start_ms").cast("long").alias("s"), most.cast("double").alias("most"))
+
+
 def _next_end(spans: DataFrame, ends: DataFrame) -> DataFrame:
     """Spans with the first of `ends` (media_id, end_ms) at or after their end."""
-    none = F.lit(None)
-    marks = ends.select("media_id", F.col("end_ms").alias("at"), F.col("end_ms").alias("hit"), none.cast("struct<id:bigint,s:bigint>").alias("x"))
-    marks = marks.unionByName(spans.select("media_id", F.col("end_ms").alias("at"), none.cast("long").alias("hit"), F.struct(F.col("id").cast("long").alias("id"), F.col("start_ms").cast("long").alias("s")).alias("x")))
+    none, own = F.lit(None), _asked(spans)
+    marks = ends.select("media_id", F.col("end_ms").alias("at"), F.col("end_ms").alias("hit"), none.cast(_ASKED).alias("x"))
+    marks = united(marks, spans.select("media_id", F.col("end_ms").alias("at"), none.cast("long").alias("hit"), own.alias("x")))
     w = Window.partitionBy("media_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     rows = marks.withColumn("hit", F.min("hit").over(w)).where("x IS NOT NULL")
-    return rows.select("media_id", "x.id", F.col("x.s").alias("start_ms"), F.col("at").alias("end_ms"), "hit")
+    return rows.select("media_id", "x.id", F.col("x.s").alias("start_ms"), F.col("at").alias("end_ms"), "hit", F.col("x.most").alias("most_ms"))
 
 
 def complete_topics(spans: DataFrame, ends: DataFrame, extend_ms: int = TOPIC_MS, max_ms: int = MAX_MS) -> DataFrame:
-    """Spans run on to the end of their topic, where that is near enough and not too long."""
-    near = (F.col("hit") - F.col("end_ms") <= extend_ms) & (F.col("hit") - F.col("start_ms") <= max_ms)
+    """Spans run on to the end of their topic, where that is near enough and not too long: `max_ms`, or the span's own `most_ms`."""
+    near = (F.col("hit") - F.col("end_ms") <= extend_ms) & (F.col("hit") - F.col("start_ms") <= F.coalesce("most_ms", F.lit(float(max_ms))))
     return _next_end(spans, ends).select("media_id", "id", "start_ms", F.when(near, F.col("hit")).otherwise(F.col("end_ms")).alias("end_ms"))
 
 
@@ -75,13 +85,13 @@ def complete_reveals(spans: DataFrame, sentences: DataFrame, reveal: Column, win
     """Spans run on through a reveal that starts soon after their end, and the sentence behind it if that still fits."""
     w = Window.partitionBy("media_id").orderBy("sent_id")
     shown = sentences.select("media_id", reveal.alias("reveal"), "start_ms", "end_ms", F.lead("end_ms").over(w).alias("more")).where("reveal")
-    marks = shown.select("media_id", F.col("start_ms").alias("at"), F.struct("start_ms", F.col("end_ms").alias("e"), "more").alias("hit"), F.lit(None).cast("struct<id:bigint,s:bigint>").alias("x"))
-    marks = marks.unionByName(spans.select("media_id", F.col("end_ms").alias("at"), F.lit(None).cast(marks.schema["hit"].dataType).alias("hit"), F.struct(F.col("id").cast("long").alias("id"), F.col("start_ms").cast("long").alias("s")).alias("x")))
+    marks = shown.select("media_id", F.col("start_ms").alias("at"), F.struct("start_ms", F.col("end_ms").alias("e"), "more").alias("hit"), F.lit(None).cast(_ASKED).alias("x"))
+    marks = united(marks, spans.select("media_id", F.col("end_ms").alias("at"), F.lit(None).cast(marks.schema["hit"].dataType).alias("hit"), _asked(spans).alias("x")))
     onward = Window.partitionBy("media_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     rows = marks.withColumn("hit", F.min("hit").over(onward)).where("x IS NOT NULL")
-    s, e, h = F.col("x.s"), F.col("at"), F.col("hit")
-    fits = (h["start_ms"] - e <= window_ms) & (h["e"] - s <= max_ms) & (h["e"] > e)
-    return rows.select("media_id", "x.id", s.alias("start_ms"), F.when(fits & (h["more"] - s <= max_ms), h["more"]).when(fits, h["e"]).otherwise(e).alias("end_ms"))
+    s, e, h, most = F.col("x.s"), F.col("at"), F.col("hit"), F.coalesce("x.most", F.lit(float(max_ms)))
+    fits = (h["start_ms"] - e <= window_ms) & (h["e"] - s <= most) & (h["e"] > e)
+    return rows.select("media_id", "x.id", s.alias("start_ms"), F.when(fits & (h["more"] - s <= most), h["more"]).when(fits, h["e"]).otherwise(e).alias("end_ms"))
 
 
 def setups(sentences: DataFrame, targets: DataFrame, lists: dict, lookback_ms: int = CONTEXT_MS, max_ms: int = SETUP_MS, min_ms: int = SETUP_LEAST_MS) -> DataFrame:
@@ -91,7 +101,7 @@ def setups(sentences: DataFrame, targets: DataFrame, lists: dict, lookback_ms: i
     refer = sentences.select("media_id", "end_ms", dangling(opening, lists).alias("ref"))
     # the first sentence that ends after the target opens the clip
     marks = refer.select("media_id", F.col("end_ms").alias("at"), F.struct("end_ms", "ref").alias("x"), F.lit(None).cast("long").alias("id"))
-    marks = marks.unionByName(targets.select("media_id", F.col("t_ms").alias("at"), F.lit(None).cast(marks.schema["x"].dataType).alias("x"), F.col("id").cast("long")))
+    marks = united(marks, targets.select("media_id", F.col("t_ms").alias("at"), F.lit(None).cast(marks.schema["x"].dataType).alias("x"), F.col("id").cast("long")))
     after = Window.partitionBy("media_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     asked = marks.withColumn("x", F.min("x").over(after)).where("id IS NOT NULL AND x.ref IS NOT NULL").select("media_id", "id", F.col("at").alias("t_ms"), F.col("x.ref.term").alias("term"))
     bucket = lambda c: F.floor(c / lookback_ms)
@@ -119,7 +129,7 @@ def ceiling(high_ms: Column, max_ms: int = MAX_MS) -> Column:
     return F.least(high_ms * (1 + TOLERANCE), F.lit(float(max_ms)))
 
 
-def refine(rows: DataFrame, low_ms: int = MIN_MS, high_ms: int = MAX_MS, slack: int = PAYOFF_LINES) -> DataFrame:
+def refine(rows: DataFrame, low_ms: int | Column = MIN_MS, high_ms: int | Column = MAX_MS, slack: int = PAYOFF_LINES) -> DataFrame:
     """Rows with `lines` (array of s and e, by time), d0 and d1 (the lines found by retrieval), start_line and end_line (what a model asks for):
     s_idx and e_idx kept near what was found, grown to the least length and cut back to the longest."""
     lines = F.col("lines")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import columns as C
+from spanloom.functions import lexicons as L
 from spanloom.operators import composing, exclusions, intervals, narrative, scoring, transcript
 from spanloom.sources import store, views
 
 
-def replayed(jobs: DataFrame, promise: Column, reveal: Column, openers=(), closers=(), sponsor: dict | None = None, housekeeping: dict | None = None, most_excluded: float = scoring.MOST_EXCLUDED) -> DataFrame:
+def replayed(jobs: DataFrame, promise: Column | None = None, reveal: Column | None = None, openers=L.TOPIC_MARKERS, closers=L.CLOSING_MARKERS, sponsor: dict | None = None, housekeeping: dict | None = None, most_excluded: float = scoring.MOST_EXCLUDED) -> DataFrame:
     """Jobs (id, transcript, clips, ...; times in seconds) to the grades of their clips: those mostly inside exclusions go, hooks are looked up and anchored, topics
     and reveals completed, clips composed. A row a clip: media_id is the job, id the clip's place in it."""
     key = ["media_id", "id"]
+    promise = C.contains_any(F.col("text"), L.PROMISE_MARKERS) if promise is None else promise
+    reveal = C.contains_any(F.col("text"), L.REVEAL_MARKERS) if reveal is None else reveal
     folder = store.scratch(jobs.sparkSession, "jobs")
     jobs.where(F.size("clips") > 0).write.parquet(folder)  # a job's words are read several times
     jobs = jobs.sparkSession.read.schema(jobs.schema).parquet(folder)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-from spanloom.operators.intervals import keep_unless_empty, overlapping
+from spanloom.operators.intervals import keep_unless_empty, overlapping, united
 from spanloom.sources import store
 
 PROBES = 1_000  # probes that meet the corpus at a time
@@ -24,7 +24,7 @@ def nearest(corpus: DataFrame, probes: DataFrame, k: int = 8) -> DataFrame:
         pairs = corpus.select("id", F.col("embedding").alias("v")).crossJoin(F.broadcast(block))  # about PROBES rows
         scored = pairs.select("probe", "id", F.round(F.greatest(F.lit(0.0), C.cosine(F.col("v"), F.col("q"))), 4).alias("relevance"))
         top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        found = top if found is None else found.unionByName(top)
+        found = top if found is None else united(found, top)
     return found
 
 
@@ -69,7 +69,7 @@ def suppress(rows: DataFrame, score: str, max_overlap: float = 0.5, by: str = "m
     few = _folded(rows.join(large, by, "left_anti"), score, max_overlap, by)
     kept = settled(rows.join(large, by, "left_semi"), score, max_overlap, by)
     order = Window.partitionBy(by).orderBy(F.desc("_score"), "id")
-    return few.unionByName(kept.select(by, F.row_number().over(order).alias("rank"), "id"))
+    return united(few, kept.select(by, F.row_number().over(order).alias("rank"), "id"))
 
 
 def _folded(rows: DataFrame, score: str, max_overlap: float, by: str) -> DataFrame:
@@ -97,7 +97,7 @@ def settled(rows: DataFrame, score: str, max_overlap: float, by: str = "media_id
         out = store.written(pairs.join(safe.withColumnRenamed("id", "best"), ["media_id", "best"], "left_semi").select("media_id", F.col("worse").alias("id")).distinct(), "suppressed")
         if out.isEmpty():
             break
-        gone = out if gone is None else gone.unionByName(out)
+        gone = out if gone is None else united(gone, out)
         left = pairs.join(out.withColumnRenamed("id", "best"), ["media_id", "best"], "left_anti").join(out.withColumnRenamed("id", "worse"), ["media_id", "worse"], "left_anti")
         pairs = store.written(left.select("media_id", "best", "worse"), "clashes")
     kept = spans if gone is None else spans.join(gone, key, "left_anti")
@@ -125,6 +125,15 @@ def duration_buckets(spark, count: int, lo: float = 15.0, hi: float = 180.0) ->
     return rows
 
 
+def length_classes(candidates: DataFrame, count: int = 5, low: float = 15.0, high: float = 180.0) -> DataFrame:
+    """Candidates (media_id, id, retrieval_score, ...), best first, dealt in turn over the length ranges of their medium's clips: low_ms and high_ms."""
+    turn = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("retrieval_score"), "id"))
+    classes = duration_buckets(candidates.sparkSession, count, low, high)
+    ranges = classes.select("bucket", *(F.round(F.col(c) * 1000).cast("long").alias(n) for c, n in (("lo", "low_ms"), ("hi", "high_ms"))))
+    numbered = candidates.withColumn("bucket", (F.pmod(turn - 1, F.lit(max(1, count if high > low else 1))) + 1).cast("int"))
+    return numbered.join(F.broadcast(ranges), "bucket").drop("bucket")  # a row a class
+
+
 def spread_by_duration(clips: DataFrame, buckets: DataFrame, count: int) -> DataFrame:
     """At most `count` clips (media_id, id, score, duration) of each medium: every bucket takes the best unused clip of its length, score order fills the rest."""
     # of a bucket at most as many as there are buckets can be chosen, of the rest at most `count`: the others can go before any list is built
@@ -133,7 +142,7 @@ def spread_by_duration(clips: DataFrame, buckets: DataFrame, count: int) -> Data
     first = Window.partitionBy("media_id", "bucket").orderBy(F.desc("score"), "id")
     of_bucket = clips.join(F.broadcast(buckets), inside).withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)  # a row a bucket
     best = clips.withColumn("r", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= n)
-    clips = of_bucket.select("media_id", "id", "score", "duration").unionByName(best.select("media_id", "id", "score", "duration")).distinct()
+    clips = united(of_bucket.select("media_id", "id", "score", "duration"), best.select("media_id", "id", "score", "duration")).distinct()
     item = F.struct((-F.col("score")).alias("o"), "id", F.col("duration").cast("double").alias("d"))
     edges = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "lo", "hi"))).alias("b"))
     lists = clips.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("items")).crossJoin(F.broadcast(edges))  # one row

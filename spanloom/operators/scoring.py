@@ -23,7 +23,7 @@ LINE = "array<struct<s:bigint,e:bigint,n:int,text:string>>"
 GRADES = ("hook_strength", "emotional_impact", "standalone_clarity", "shareability")
 
 
-def lines_of(spans: DataFrame, sentences: DataFrame, before_ms: int = BEFORE_MS, after_ms: int = AFTER_MS) -> DataFrame:
+def lines_of(spans: DataFrame, sentences: DataFrame, before_ms: int = BEFORE_MS, after_ms: int | Column = AFTER_MS) -> DataFrame:
     """Spans with `lines`: the numbered sentences around them, an array as long as a span and its surroundings."""
     around = spans.select("media_id", "id", (F.col("start_ms") - before_ms).cast("long").alias("start_ms"), (F.col("end_ms") + after_ms).cast("long").alias("end_ms"))
     item = F.struct(F.col("r.start_ms").cast("long").alias("s"), F.col("r.end_ms").cast("long").alias("e"), F.col("r.text").alias("text"))
@@ -102,37 +102,45 @@ _written = store.written
 
 def score_candidates(candidates: DataFrame, words: DataFrame, sentences: DataFrame, excluded: DataFrame, topic_ends: DataFrame, ask: Callable, reveal: Column, lists: dict, low_ms: int = composing.MIN_MS, high_ms: int = composing.MAX_MS) -> DataFrame:
     """Candidates (media_id, id, start_ms, end_ms, text, retrieval_score) as scored clips: lines for a model, its range refined, the hook anchored, the
-    topic and a reveal completed, a setup found, the clip composed, the rest of its answer brought into limits."""
+    topic and a reveal completed, a setup found, the clip composed, the rest of its answer brought into limits. Candidates that bring low_ms and high_ms
+    (`retrieval.length_classes`) are cut to these lengths and see lines as far ahead as their longest clip may reach."""
     key = ["media_id", "id"]
-    most = int(min(high_ms * (1 + narrative.TOLERANCE), composing.MAX_MS))
-    rows = lines_of(candidates.select(*key, "start_ms", "end_ms", "text", "retrieval_score"), sentences)
+    classed = "high_ms" in candidates.columns
+    limits = ["low_ms", "high_ms", "most_ms"]
+    asked = candidates if classed else candidates.withColumns({"low_ms": F.lit(low_ms), "high_ms": F.lit(high_ms)})
+    most = F.least(F.col("high_ms") * (1 + narrative.TOLERANCE), F.lit(float(composing.MAX_MS)))
+    asked = asked.withColumn("most_ms", F.floor(most).cast("long")).select(*key, "start_ms", "end_ms", "text", "retrieval_score", *limits)
+    rows = lines_of(asked, sentences, after_ms=F.greatest(F.lit(10_000), F.col("high_ms")) if classed else AFTER_MS)
     touched = F.filter("lines", lambda v: (v["e"] > F.col("start_ms")) & (v["s"] < F.col("end_ms")))
     touched = F.when(F.size(touched) > 0, touched).otherwise(F.col("lines"))
     rows = rows.withColumns({"d0": F.get(touched, F.lit(0))["n"], "d1": F.try_element_at(touched, F.lit(-1))["n"]})
-    prompt = F.concat(F.lit(ASK.format(low=low_ms // 1000, high=high_ms // 1000)), prompt_lines(F.col("lines"), F.col("d0"), F.col("d1")))
+    seconds = lambda c: F.floor(F.col(c) / 1000).cast("string")
+    request = F.replace(F.replace(F.lit(ASK), F.lit("{low}"), seconds("low_ms")), F.lit("{high}"), seconds("high_ms"))
+    prompt = F.concat(request, prompt_lines(F.col("lines"), F.col("d0"), F.col("d1")))
     rows = _written(rows.withColumn("reply", models.json_replies(F.when(F.size("lines") > 0, prompt), ask, INSIST)), "replies")
     said = rows.withColumn("j", C.json_object(F.col("reply")))
     value = lambda name: F.try_variant_get("j", f"$.{name}", "string")
     fields = ("start_line", "end_line", "setup_start_line", "setup_end_line", "hook", "hook_line", "title", "summary", "reason", "tags", "virality_score", *GRADES)
     good = said.where("j IS NOT NULL").withColumns({f"r_{n}": value(n) for n in fields}).drop("j")
-    spans = narrative.refine(good.withColumns({"start_line": F.col("r_start_line"), "end_line": F.col("r_end_line")}), low_ms, high_ms)
+    spans = narrative.refine(good.withColumns({"start_line": F.col("r_start_line"), "end_line": F.col("r_end_line")}), F.col("low_ms"), F.col("high_ms"))
     whole = F.col("e") > F.col("s")
-    spans = spans.select(*key, F.when(whole, F.col("s")).otherwise(F.col("start_ms")).cast("long").alias("start_ms"), F.when(whole, F.col("e")).otherwise(F.col("end_ms")).cast("long").alias("end_ms"))
+    spans = spans.select(*key, "most_ms", F.when(whole, F.col("s")).otherwise(F.col("start_ms")).cast("long").alias("start_ms"), F.when(whole, F.col("e")).otherwise(F.col("end_ms")).cast("long").alias("end_ms"))
     # a hook is looked up among the candidate's own lines
     own = F.struct(*key).alias("media_id")
     lines = good.select(own, F.explode("lines").alias("v")).select("media_id", "v.n", "v.text", F.col("v.s").alias("start_ms"), F.col("v.e").alias("end_ms"))
     hooks = narrative.locate_hooks(good.select(own, "id", F.col("r_hook").alias("hook"), F.col("r_hook_line").alias("stated")), lines)
     hooks = _written(hooks.select("media_id.media_id", "id", F.col("start_ms").alias("hook_s"), F.col("end_ms").alias("hook_e"), F.col("score").alias("sure")), "hooks")
-    at = narrative.anchored(F.col("start_ms"), F.col("end_ms"), F.col("hook_s"), F.col("hook_e"), F.col("sure"), most)
-    spans = spans.join(hooks, key, "left").select(*key, at.alias("x")).select(*key, F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
-    spans = finish_thought(spans, topic_ends, excluded, most)
-    spans = _written(clear_of(narrative.complete_reveals(spans, sentences, reveal, max_ms=most), excluded), "spans")
+    at = narrative.anchored(F.col("start_ms"), F.col("end_ms"), F.col("hook_s"), F.col("hook_e"), F.col("sure"), F.col("most_ms"))
+    spans = spans.join(hooks, key, "left").select(*key, "most_ms", at.alias("x")).select(*key, "most_ms", F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
+    longest = good.select(*key, "most_ms")
+    spans = finish_thought(spans, topic_ends, excluded).join(longest, key)
+    spans = _written(clear_of(narrative.complete_reveals(spans, sentences, reveal), excluded), "spans")
     found = narrative.setups(sentences, spans.select(*key, F.col("start_ms").alias("t_ms")), lists).select(*key, F.col("s").alias("auto_s"), F.col("e").alias("auto_e"))
     rows = good.drop("start_ms", "end_ms").join(spans, key).join(found, key, "left").join(hooks.select(*key, F.col("hook_s").alias("hook_ms")), key, "left")
     rows = rows.withColumn("m", narrative.model_setup(F.col("lines"), F.col("r_setup_start_line"), F.col("r_setup_end_line"), F.col("start_ms")))
     rows = rows.withColumns({"setup_s": F.coalesce("m.s", "auto_s"), "setup_e": F.coalesce("m.e", "auto_e"), "setup_source": F.when(F.col("m").isNotNull(), "model").when(F.col("auto_s").isNotNull(), "auto")})
     rows = _written(rows.drop("m", "auto_s", "auto_e"), "graded")
-    clips = composing.compose(words, rows.select(*key, "start_ms", "end_ms", "setup_s", "setup_e"), excluded, low_ms, most)
+    clips = composing.compose(words, rows.select(*key, "start_ms", "end_ms", "setup_s", "setup_e", F.col("low_ms").cast("double").alias("low_ms"), F.col("most_ms").cast("double").alias("high_ms")), excluded, low_ms)
     rows = rows.join(clips, key)
     text, title, virality = covered_text(F.col("lines"), F.col("spans")), C.clean_title(F.col("r_title")), C.clamp(F.col("r_virality_score"), 0, 100, 50)
     scored = rows.select(
@@ -142,7 +150,30 @@ def score_candidates(candidates: DataFrame, words: DataFrame, sentences: DataFra
     )
     why = F.when(F.size("lines") == 0, "no transcript lines in range").otherwise("model did not return parseable JSON")
     left = said.where("j IS NULL").select(*key, "start_ms", "end_ms", "text", "retrieval_score", why.alias("why"))
-    return scored.unionByName(fallback(left, words, F.col("why")))
+    return intervals.united(scored, fallback(left, words, F.col("why")))
+
+
+REVIEW = "Review this clip of lines {first} to {last}; its hook is said to be: {hook}. A clip has {low} to {high} seconds. Reply with a JSON object with opens_on_hook, contains_payoff, has_housekeeping (true or false), suggested_start_line, suggested_end_line and verdict, one short sentence.\n\n"
+
+
+def review(clips: DataFrame, sentences: DataFrame, ask: Callable, low_ms: int = composing.MIN_MS, high_ms: int = composing.MAX_MS) -> DataFrame:
+    """Reviews (media_id, id, reply) that a model gives of clips (media_id, id, spans, hook): the lines around a clip, its own marked. Null where the model fails, or a clip has no
+    lines or spans."""
+    key = ["media_id", "id"]
+    rows = lines_of(_outer(clips).select(*key, "start_ms", "end_ms", "hook"), sentences)
+    inside = F.filter("lines", lambda v: (v["e"] > F.col("start_ms")) & (v["s"] < F.col("end_ms")))
+    rows = rows.withColumns({"d0": F.get(inside, F.lit(0))["n"], "d1": F.try_element_at(inside, F.lit(-1))["n"]})
+    hook = F.when(as_text(F.col("hook")) == "", F.lit("(none given)")).otherwise(F.substring(as_text(F.col("hook")), 1, 200))
+    request = F.lit(REVIEW.replace("{low}", str(low_ms // 1000)).replace("{high}", str(high_ms // 1000)))
+    for name, value in (("first", F.col("d0").cast("string")), ("last", F.col("d1").cast("string")), ("hook", hook)):
+        request = F.replace(request, F.lit("{" + name + "}"), value)
+    prompt = F.concat(request, prompt_lines(F.col("lines"), F.col("d0"), F.col("d1")))
+    return _written(rows.select(*key, models.replies(F.when(F.col("d0").isNotNull(), prompt), ask, 1).alias("reply")), "asked-reviews")
+
+
+def _outer(clips: DataFrame) -> DataFrame:
+    """Clips with the first start and last end of their spans, null without spans."""
+    return clips.withColumns({"start_ms": F.get("spans", F.lit(0))["s"].cast("long"), "end_ms": F.try_element_at("spans", F.lit(-1))["e"].cast("long")})
 
 
 def profile(clips: DataFrame, hooks: DataFrame, sentences: DataFrame, excluded: DataFrame, promise: Column, reveal: Column, window_ms: int = narrative.REVEAL_MS) -> DataFrame:
@@ -166,25 +197,25 @@ def apply_critique(clips: DataFrame, reviews: DataFrame, words: DataFrame, sente
     """Clips (media_id, id, spans, hook) after their reviews (media_id, id, reply): media_id, id, spans, upheld, applied. A review's range is taken where a
     complaint holds against the clip's own measures and the recut is a legal clip that measures better."""
     key = ["media_id", "id"]
-    bounds = clips.select(*key, F.col("spans")[0]["s"].cast("long").alias("start_ms"), F.element_at("spans", F.lit(-1))["e"].cast("long").alias("end_ms"), "spans", "hook")
+    bounds = _outer(clips).select(*key, "start_ms", "end_ms", "spans", "hook")
     rows = lines_of(bounds, sentences).join(reviews.select(*key, C.json_object(F.col("reply")).alias("j")), key, "left")
     flag = lambda name, default: F.coalesce(F.try_variant_get("j", f"$.{name}", "boolean"), F.lit(default)).alias(name)
     index = lambda name: F.try_variant_get("j", f"$.{name}", "string")
-    rows = rows.withColumns({"verdict": F.struct(flag("opens_on_hook", True), flag("contains_payoff", True), flag("has_housekeeping", False)), "a": index("suggested_start_line"), "b": index("suggested_end_line"), "reviewed": F.col("j").isNotNull() & (F.size("lines") > 0)}).drop("j")
+    rows = rows.withColumns({"verdict": F.struct(flag("opens_on_hook", True), flag("contains_payoff", True), flag("has_housekeeping", False)), "a": index("suggested_start_line"), "b": index("suggested_end_line"), "reviewed": F.col("j").isNotNull() & (F.size("lines") > 0) & (F.size("spans") > 0)}).drop("j")
     rows = _written(rows, "reviews")
     own = F.struct(*key).alias("media_id")
     lines = rows.select(own, F.explode("lines").alias("v")).select("media_id", "v.n", "v.text", F.col("v.s").alias("start_ms"), F.col("v.e").alias("end_ms"))
     hooks = narrative.locate_hooks(rows.select(own, "id", "hook", F.lit(None).cast("string").alias("stated")), lines).select("media_id.media_id", "id", F.col("start_ms").alias("hook_s"), F.col("end_ms").alias("hook_e"))
     hooks = _written(hooks, "hooks")
     measured = lambda of, name: profile(of, hooks, sentences, excluded, promise, reveal).select(*key, F.struct("delay", "promise", "reveal_near", "filler", "length").alias(name))
-    rows = _written(rows.join(measured(rows, "before"), key), "measured")
+    rows = _written(rows.join(measured(rows, "before"), key, "left"), "measured")  # a clip without spans has no measures and stays as it is
     rows = rows.withColumn("upheld", F.when(F.col("reviewed"), narrative.upheld(F.col("verdict"), F.col("before"))).otherwise(F.array().cast("array<string>")))
     top, none = F.size("lines") - 1, F.lit(0)
     i, j = narrative.clamp_index(F.col("a"), none, top, none), narrative.clamp_index(F.col("b"), none, top, top)
     asked = rows.where(F.size("upheld") > 0).select(*key, F.get("lines", F.least(i, j))["s"].alias("start_ms"), F.get("lines", F.greatest(i, j))["e"].alias("end_ms"))
     wide = asked.where(F.col("end_ms") - F.col("start_ms") >= low_ms / 2).withColumns({"setup_s": F.lit(None).cast("long"), "setup_e": F.lit(None).cast("long")})
     recut = _written(composing.compose(words, wide, excluded, low_ms, high_ms), "recut")
-    outer = recut.select(*key, F.col("spans")[0]["s"].alias("start_ms"), F.element_at("spans", F.lit(-1))["e"].alias("end_ms"))
+    outer = _outer(recut).select(*key, "start_ms", "end_ms")
     free = intervals.overlap_fraction(outer, excluded.select("media_id", "start_ms", "end_ms")).select(*key, "fraction")
     trial = asked.select(*key, (F.col("end_ms") - F.col("start_ms")).alias("proposed")).join(recut.withColumnRenamed("spans", "again"), key).join(free, key).join(measured(recut, "after"), key)
     rows = rows.join(trial, key, "left")

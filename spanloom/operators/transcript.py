@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
+from spanloom.functions import lexicons as L
+from spanloom.operators.intervals import united
 
 BY_TIME = ("start_ms", "w_idx")
 MIN_PAUSE_MS = 180
@@ -36,9 +38,9 @@ def edges_at(words: DataFrame, targets: DataFrame) -> DataFrame:
     """As-of lookups for targets (media_id, t_id, t_ms): next word start, previous word end, the word being spoken, and where the
     target lands when moved forward or back off that word. One pass over words and targets together, no range join."""
     marks = words.select("media_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), "start_ms", "end_ms", F.lit(None).cast("long").alias("t_id"))
-    marks = marks.unionByName(words.select("media_id", F.col("end_ms").alias("at"), F.lit(1).alias("kind"), "start_ms", "end_ms", F.lit(None).cast("long").alias("t_id")))
+    marks = united(marks, words.select("media_id", F.col("end_ms").alias("at"), F.lit(1).alias("kind"), "start_ms", "end_ms", F.lit(None).cast("long").alias("t_id")))
     none = F.lit(None).cast("long")
-    marks = marks.unionByName(targets.select("media_id", F.col("t_ms").alias("at"), F.lit(2).alias("kind"), none.alias("start_ms"), none.alias("end_ms"), "t_id"))
+    marks = united(marks, targets.select("media_id", F.col("t_ms").alias("at"), F.lit(2).alias("kind"), none.alias("start_ms"), none.alias("end_ms"), "t_id"))
     w = Window.partitionBy("media_id").orderBy("at")
     up_to, strictly = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -1)
     # growing frames cost one step a row; a frame that shrinks towards the end would be computed anew for each
@@ -55,7 +57,7 @@ def edges_at(words: DataFrame, targets: DataFrame) -> DataFrame:
                        F.when(inside, F.col("spoken.e")).otherwise(F.col("t_ms")).alias("forward_ms"), F.when(inside, F.col("spoken.s")).otherwise(F.col("t_ms")).alias("back_ms"))
 
 
-def topic_gaps(sentences: DataFrame, openers=(), closers=(), min_pause_ms: int = 450) -> DataFrame:
+def topic_gaps(sentences: DataFrame, openers=L.TOPIC_MARKERS, closers=L.CLOSING_MARKERS, min_pause_ms: int = 450) -> DataFrame:
     """For each sentence: is a new topic likely after it, by the next opening or its own closing phrase, or by a pause."""
     w = _w("sent_id")
     rows = sentences.select("*", F.lead("text").over(w).alias("next_text"), F.lead("start_ms").over(w).alias("next_ms"))
@@ -64,10 +66,12 @@ def topic_gaps(sentences: DataFrame, openers=(), closers=(), min_pause_ms: int =
     return rows.select("media_id", "sent_id", "end_ms", by_marker.alias("by_marker"), by_pause.alias("by_pause"))
 
 
-def topic_ends(gaps: DataFrame) -> DataFrame:
-    """Times at which topics end: flagged gaps, and always the transcript's end."""
+def topic_ends(gaps: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Times at which topics end: flagged gaps, those that `semantic_gaps` (media_id, sent_id) adds, and always the transcript's end."""
     flagged = gaps.where("by_marker OR by_pause").select("media_id", "end_ms")
-    return flagged.unionByName(gaps.groupBy("media_id").agg(F.max("end_ms").alias("end_ms"))).distinct()
+    if semantic is not None:
+        flagged = united(flagged, gaps.join(semantic.select("media_id", "sent_id"), ["media_id", "sent_id"], "left_semi").select("media_id", "end_ms"))
+    return united(flagged, gaps.groupBy("media_id").agg(F.max("end_ms").alias("end_ms"))).distinct()
 
 
 def semantic_gaps(rows: DataFrame, threshold: float, block: int = 3) -> DataFrame:

@@ -143,17 +143,23 @@ def q_critic(spark, sf_dir):
     return rows.select(F.col("event_id").alias("id"), F.concat_ws(",", "c").alias("upheld"), taken.alias("applied"))
 
 
+def staged(spark, sf_dir):
+    """Words, sentences and channel asks, each written down once: the steps of a clip meet them again and again."""
+    words = store.written(views.words(spark, sf_dir), "words")
+    return words, store.written(transcript.sentences(words), "sentences"), store.written(exclusions.housekeeping_spans(words, ASKS), "asks")
+
+
 def composed(spark, sf_dir):
-    words = views.words(spark, sf_dir)
+    words, sentences, asks = staged(spark, sf_dir)
     early = lambda d: F.when((F.col("id") % 2 == 1) & (F.col("id") > 0), F.col("start_ms") - d)
     spans = _grid(words).withColumns({"setup_s": early(14_000), "setup_e": early(4_000)})
-    return words, composing.compose(words, spans, exclusions.housekeeping_spans(words, ASKS), 15_000, 60_000)
+    return words, sentences, asks, store.written(composing.compose(words, spans, asks, 15_000, 60_000), "clips")
 
 
 @query()
 def q_compose(spark, sf_dir):
     """Clips from a grid of spans, every other one with a setup, clear of channel asks."""
-    rows = composed(spark, sf_dir)[1].select("media_id", "id", F.posexplode("spans").alias("k", "p"))
+    rows = composed(spark, sf_dir)[3].select("media_id", "id", F.posexplode("spans").alias("k", "p"))
     return rows.select("media_id", "id", "k", F.col("p.s").cast("long").alias("start_ms"), F.col("p.e").cast("long").alias("end_ms"))
 
 
@@ -170,18 +176,18 @@ _GRADE = f"""{SENT}, {ASK_SQL}, {GRID}, g AS (SELECT *, CASE WHEN id % 3 = 0 THE
     LEFT JOIN o ON o.media_id = g.media_id AND o.id = g.id LEFT JOIN m ON m.media_id = g.media_id AND m.id = g.id"""
 )
 def q_grade(spark, sf_dir):
-    words = views.words(spark, sf_dir)
+    words, sentences, asks = staged(spark, sf_dir)
     spans = F.array(F.struct(F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e")))
     clips = _grid(words).select("media_id", "id", spans.alias("spans"), F.when(F.col("id") % 3 == 0, F.col("start_ms") + 4000).alias("hook_s"))
-    return composing.grades(clips, words, transcript.sentences(words), exclusions.housekeeping_spans(words, ASKS), _says("that "))
+    return composing.grades(clips, words, sentences, asks, _says("that "))
 
 
 @query()
 def q_quality(spark, sf_dir):
     """The report over composed clips, a row a medium and one for all."""
-    words, clips = composed(spark, sf_dir)
+    words, sentences, asks, clips = composed(spark, sf_dir)
     clips = clips.withColumn("hook_s", F.when(F.col("id") % 3 == 0, F.col("spans")[0]["s"] + 4000))
-    return composing.report(composing.grades(clips, words, transcript.sentences(words), exclusions.housekeeping_spans(words, ASKS), _says("that ")))
+    return composing.report(composing.grades(clips, words, sentences, asks, _says("that ")))
 
 
 @query()

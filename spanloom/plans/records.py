@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import chunks, exclusions, framing, intervals, jobs, people, replay, retrieval, scoring, transcript
-from spanloom.plans.clips import _says, composed
+from spanloom.operators import chunks, composing, exclusions, framing, intervals, jobs, people, replay, retrieval, scoring, transcript
+from spanloom.plans.clips import _says, composed, staged
 from spanloom.plans.queries import _events, _grid, _sentences, _vectors, ASK_SQL, ASKS, BRANDS, GRID, KNN, LISTS, OPENERS, CLOSERS, Q, SENT, SQL, STRONG, TX, WEAK, query
 from spanloom.sources import views
 from spanloom.streaming import live
@@ -30,8 +30,7 @@ def _judge():
 @query()
 def q_candidate(spark, sf_dir):
     """Every candidate of the grid scored by a stub that at times gives no JSON."""
-    words, sentences = views.words(spark, sf_dir), _sentences(spark, sf_dir)
-    asks = exclusions.housekeeping_spans(words, ASKS)
+    words, sentences, asks = staged(spark, sf_dir)
     ends = transcript.topic_ends(transcript.topic_gaps(sentences, OPENERS, CLOSERS))
     out = scoring.score_candidates(_candidates(words, sentences), words, sentences, asks, ends, _judge, _says("in "), LISTS)
     return out.select("media_id", "id", F.size("spans").alias("n_spans"), F.col("spans")[0]["s"].cast("long").alias("start_ms"), F.element_at("spans", F.lit(-1))["e"].cast("long").alias("end_ms"), "title", "virality", "final_score", "scored_by", "setup_source")
@@ -44,21 +43,32 @@ def _reviewer(words):
     return g.withColumn("reply", F.concat(F.lit("{" + ", ".join(fields) + ', "verdict": "'), F.col("id").cast("string"), lines))
 
 
+@query()
+def q_candidate_classes(spark, sf_dir):
+    """Candidates of each medium dealt over five length classes, scored within them, and the clips of it that are shown."""
+    words, sentences, asks = staged(spark, sf_dir)
+    classed = retrieval.length_classes(_candidates(words, sentences))
+    ends = transcript.topic_ends(transcript.topic_gaps(sentences, OPENERS, CLOSERS))
+    out = scoring._written(scoring.score_candidates(classed, words, sentences, asks, ends, _judge, _says("in "), LISTS), "scored")
+    span = F.col("spans")
+    clips = out.select("media_id", "id", span[0]["s"].cast("long").alias("start_ms"), F.element_at(span, F.lit(-1))["e"].cast("long").alias("end_ms"), F.col("final_score").alias("score"), (composing.total(span) / 1000).alias("duration"))
+    shown = retrieval.select_clips(clips).withColumnRenamed("rank", "shown")
+    return clips.join(shown, ["media_id", "id"], "left")
+
+
 @query()
 def q_review(spark, sf_dir):
     """Composed clips under a review that complains of everything: what the clip's own measures bear out, and what is recut."""
-    words, clips = composed(spark, sf_dir)
-    sentences = _sentences(spark, sf_dir)
+    words, sentences, asks, clips = composed(spark, sf_dir)
     clips = clips.withColumn("hook", F.lit("of the"))
-    out = scoring.apply_critique(clips, _reviewer(words), words, sentences, exclusions.housekeeping_spans(words, ASKS), _says("that "), _says("in "))
+    out = scoring.apply_critique(clips, _reviewer(words), words, sentences, asks, _says("that "), _says("in "))
     return out.select("media_id", "id", F.concat_ws(",", "upheld").alias("upheld"), "applied", F.size("spans").alias("n_spans"), F.col("before.filler").cast("long").alias("filler_ms"))
 
 
 @query()
 def q_finish_thought(spark, sf_dir):
-    words, sentences = views.words(spark, sf_dir), _sentences(spark, sf_dir)
-    ends = transcript.topic_ends(transcript.topic_gaps(sentences, OPENERS, CLOSERS))
-    return scoring.finish_thought(_grid(words), ends, exclusions.housekeeping_spans(words, ASKS))
+    words, sentences, asks = staged(spark, sf_dir)
+    return scoring.finish_thought(_grid(words), transcript.topic_ends(transcript.topic_gaps(sentences, OPENERS, CLOSERS)), asks)
 
 
 @query(f"WITH {SENT} SELECT media_id, string_agg(text, ' ' ORDER BY sent_id) AS text FROM tx_sentences GROUP BY media_id")

@@ -106,3 +106,61 @@ def test_texts(spark):
     lines = F.array(*[F.struct(F.lit(1000 * k).cast("long").alias("s"), F.lit(1000 * k + 900).cast("long").alias("e"), F.lit(k).alias("n"), F.lit(f"t{k}").alias("text")) for k in range(3)])
     assert one(scoring.prompt_lines(lines, F.lit(1), F.lit(1))) == " [0] (0.0s–0.9s) t0\n>[1] (1.0s–1.9s) t1\n [2] (2.0s–2.9s) t2"
     assert one(scoring.covered_text(lines, F.array(F.struct(F.lit(1500.0).alias("s"), F.lit(2100.0).alias("e"))))) == "t1 t2"
+
+
+def test_clips_without_spans_and_repeated_identifiers_stay(spark, talk):
+    from spanloom.operators import composing
+
+    words, sentences, lines = talk
+    schema = "media_id long, id long, start_ms long, end_ms long, setup_s long, setup_e long"
+    s, e, a, b = lines[4]["start_ms"], lines[12]["end_ms"], lines[30]["start_ms"], lines[40]["end_ms"]
+    none = spark.createDataFrame([], "media_id long, start_ms long, end_ms long")
+    twice = composing.compose(words, spark.createDataFrame([(1, 5, s, e, None, None), (1, 5, a, b, None, None), (1, 5, a, b, None, None)], schema), none, 15_000, 60_000).collect()
+    apart = {i: composing.compose(words, spark.createDataFrame([(1, 5, *x, None, None)], schema), none, 15_000, 60_000).collect()[0]["spans"] for i, x in enumerate([(s, e), (a, b)])}
+    assert sorted(r["spans"] for r in twice) == sorted([apart[0], apart[1], apart[1]])
+    clips = spark.createDataFrame([(1, 0, [], "of"), (1, 1, [(float(s), float(e))], "of")], "media_id long, id long, spans array<struct<s:double,e:double>>, hook string")
+    reply = '{"opens_on_hook": false, "contains_payoff": false, "has_housekeeping": true}'
+    reviews = spark.createDataFrame([(1, 0, reply), (1, 1, reply)], "media_id long, id long, reply string")
+    flag = C.contains_any(F.col("text"), ["no such phrase"])
+    got = {r["id"]: r for r in scoring.apply_critique(clips, reviews, words, sentences, none, flag, flag).collect()}
+    assert set(got) == {0, 1} and got[0]["spans"] == [] and got[0]["upheld"] == [] and not got[0]["applied"]
+
+
+def test_a_model_reviews_clips(spark, talk):
+    words, sentences, lines = talk
+    clips = spark.createDataFrame([(1, 0, [(float(lines[4]["start_ms"]), float(lines[9]["end_ms"]))], HOOK), (1, 1, [], "x"), (9, 2, [(0.0, 5.0)], None)], "media_id long, id long, spans array<struct<s:double,e:double>>, hook string")
+    seen = lambda prompt: json.dumps({"n": prompt.count(">["), "hook": HOOK in prompt, "limits": "15 to 180" in prompt})
+    got = {r["id"]: r["reply"] for r in scoring.review(clips, sentences, stub(seen)).collect()}
+    assert json.loads(got[0]) == {"n": 6, "hook": True, "limits": True} and got[1] is None and got[2] is None
+
+    def fails(prompt):
+        raise RuntimeError("busy")
+
+    assert {r["reply"] for r in scoring.review(clips, sentences, stub(fails)).collect()} == {None}
+
+
+def test_candidates_are_cut_to_their_own_length_class(spark, talk):
+    from spanloom.operators import retrieval
+
+    words, sentences, lines = talk
+    s, e = lines[10]["start_ms"], lines[14]["end_ms"]
+    rows = spark.createDataFrame([(1, i, s, e, "text", 1.0 - i / 10) for i in range(6)], SCHEMA)
+    classed = retrieval.length_classes(rows)
+    dealt = {r["id"]: (r["low_ms"], r["high_ms"]) for r in classed.collect()}
+    assert dealt[0] == dealt[5] == (15_000, 24_660) and dealt[4][1] == 180_000 and all(dealt[i][1] == dealt[i + 1][0] for i in range(4))
+    answers = lambda prompt: '{"start_line": 0, "end_line": 99, "hook": ""}'  # noqa: E731  as long as it may be
+    none = spark.createDataFrame([], "media_id long, start_ms long, end_ms long")
+    ends = sentences.groupBy("media_id").agg(F.max("end_ms").alias("end_ms"))
+    no = C.contains_any(F.col("text"), ["no such reveal"])
+    got = {r["id"]: sum(b - a for a, b in r["spans"]) for r in scoring.score_candidates(classed, words, sentences, none, ends, stub(answers), no, LISTS).collect()}
+    for i, n in got.items():
+        assert dealt[i][0] <= n <= min(dealt[i][1] * 1.15, 180_000) + 1, (i, n)
+    assert got[0] == got[5] < got[1] < got[2] < got[3]
+
+
+def test_semantic_gaps_join_the_boundaries(spark, talk):
+    gaps = transcript.topic_gaps(talk[1], [], [], 10**9)
+    one = spark.createDataFrame([(1, 7, 0.1), (1, 999, 0.1)], "media_id long, sent_id long, score double")
+    assert {r["end_ms"] for r in transcript.topic_ends(gaps, one).collect()} == {talk[2][7]["end_ms"], talk[2][-1]["end_ms"]}
+    spoken = spark.createDataFrame([(1, 0, "One thing.", 0, 900, 2), (1, 1, "Moving on, next.", 1000, 1900, 3), (1, 2, "It ends.", 2000, 2900, 2)], "media_id long, sent_id long, text string, start_ms long, end_ms long, n_words long")
+    assert [r["by_marker"] for r in transcript.topic_gaps(spoken).orderBy("sent_id").collect()] == [True, False, False]  # the reference lists are the defaults
