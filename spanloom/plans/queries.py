@@ -151,9 +151,16 @@ def q_iou_pairs(spark, sf_dir):
     return p.select("media_id", "sent_id", F.col("n.sent_id").alias("other_id"), C.overlap(*args).cast("long").alias("overlap_ms"), F.round(C.envelope_iou(*args), 6).alias("iou"), F.round(C.overlap_ratio(*args), 6).alias("ratio"))
 
 
-@query("SELECT CAST(i + 1 AS INTEGER) AS bucket, round(15 * pow(12, i / 5), 2) AS lo, round(15 * pow(12, (i + 1) / 5), 2) AS hi FROM range(5) t(i)")
+@query(
+    """WITH b AS (SELECT CAST(i + 1 AS INTEGER) AS bucket, round(15 * pow(12, i / 5), 2) AS lo, CASE WHEN i = 4 THEN 180.0 ELSE round(15 * pow(12, (i + 1) / 5), 2) END AS hi FROM range(5) t(i))
+    SELECT bucket, min(lo) AS lo, min(hi) AS hi, count(doc_id) AS n FROM b LEFT JOIN documents ON n_chars / 20.0 >= lo AND n_chars / 20.0 < hi GROUP BY bucket"""
+)
 def q_duration_buckets(spark, sf_dir):
-    return retrieval.duration_buckets(spark, 5)
+    """The five length ranges of a clip, with the documents whose length falls in each."""
+    length = views.table(spark, sf_dir, "documents").select((F.col("n_chars") / 20).alias("d"))
+    classes = F.broadcast(retrieval.duration_buckets(spark, 5))  # five rows
+    n = length.join(classes, (F.col("d") >= F.col("lo")) & (F.col("d") < F.col("hi"))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return classes.join(n, "bucket", "left").select("bucket", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query()
@@ -493,20 +500,31 @@ def q_health(spark, sf_dir):
     return jobs.health(_events(spark, sf_dir).select((F.col("value") >= 0).alias("ok")))
 
 
-PROBES = [
-    (1, '{"streams":[{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"r_frame_rate":"30000/1001"},{"codec_type":"audio","codec_name":"aac"}],"format":{"duration":"252.5","size":"1000"}}'),
-    (2, '{"streams":[{"codec_type":"audio","duration":"12.25"}],"format":{"duration":"N/A"}}'),
-    (3, '{"streams":[{"codec_type":"video","r_frame_rate":"25/0"}]}'),
-    (4, "not json"),
-]
+_FPS = "CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN round(30000 / 1001, 3) WHEN event_id % 4 = 2 THEN NULL ELSE 25.0 END"
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 252.5::DOUBLE, true, true, 1920, 1080, 29.97::DOUBLE, 'h264', 1000::BIGINT), (2, 12.25, false, true, 0, 0, NULL, NULL, 0), (3, 0, true, false, 0, 0, NULL, NULL, 0), (4, 0, false, false, 0, 0, NULL, NULL, 0))
-    t(id, duration, has_video, has_audio, width, height, fps, video_codec, size_bytes)"""
+    f"""WITH e AS (SELECT event_id AS id, event_id % 5 AS kind, 100 + event_id % 900 AS w, 50 + event_id % 700 AS h, round(value, 2) AS d, {_FPS} AS f FROM events)
+    SELECT id, CASE WHEN kind = 4 THEN 0 WHEN kind = 2 THEN 12.25 ELSE round(d, 3) END::DOUBLE AS duration, kind IN (0, 1, 3) AS has_video, kind IN (0, 2) AS has_audio, CAST(CASE WHEN kind IN (0, 1) THEN w ELSE 0 END AS INTEGER) AS width, CAST(CASE WHEN kind IN (0, 1) THEN h ELSE 0 END AS INTEGER) AS height,
+      CASE WHEN kind IN (0, 1, 3) THEN f END::DOUBLE AS fps, CASE WHEN kind IN (0, 1) THEN 'h264' END AS video_codec, CASE WHEN kind IN (0, 3) THEN id * 10 ELSE 0 END AS size_bytes FROM e"""
 )
 def q_probe_media(spark, sf_dir):
-    return views.media_probe(spark.createDataFrame(PROBES, "id int, body string"))
+    """Events as probe documents: video with and without sound, sound alone, a stream without sizes, and text that is no JSON."""
+    e = views.table(spark, sf_dir, "events")
+    n, d = F.col("event_id"), F.format_string("%.2f", F.round("value", 2))
+    rate = F.get(F.array(F.lit("x/1"), F.lit("30000/1001"), F.lit("25/0"), F.lit("25")), (n % 4).cast("int"))
+    part = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    video = part('{"codec_type":"video","codec_name":"h264","width":', 100 + n % 900, ',"height":', 50 + n % 700, ',"r_frame_rate":"', rate, '","duration":"', d, '"}')
+    bare = part('{"codec_type":"video","r_frame_rate":"', rate, '"}')
+    sound = '{"codec_type":"audio","duration":"12.25"}'
+    bodies = [
+        part('{"streams":[', video, ",", sound, '],"format":{"duration":"', d, '","size":"', n * 10, '"}}'),
+        part('{"streams":[', video, '],"format":{"duration":"N/A"}}'),
+        part('{"streams":[', sound, "]}"),
+        part('{"streams":[', bare, '],"format":{"duration":"', d, '","size":"', n * 10, '"}}'),
+        F.lit("not json"),
+    ]
+    return views.media_probe(e.select(n.alias("id"), F.get(F.array(*bodies), (n % 5).cast("int")).alias("body")))
 
 
 @query("SELECT page_id, coalesce(regexp_matches(trim(url), '(?i)^https?://'), false) AS is_url FROM pages")
@@ -529,13 +547,18 @@ def q_segment_ingest(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("segment_count"), F.sum(n).cast("long").alias("word_count"))
 
 
-REPLIES = [(1, '{"a": 1}'), (2, 'Sure! {"a": {"b": 2}} done'), (3, "[1, 2]"), (4, "no json"), (5, "{broken"), (6, None)]
-
-
-@query("SELECT * FROM (VALUES (1, true, '1'), (2, true, NULL), (3, false, NULL), (4, false, NULL), (5, false, NULL), (6, false, NULL)) t(id, parsed, a)")
+@query(
+    """SELECT event_id, event_id % 6 IN (0, 1, 5) AS parsed, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 5 THEN CAST(user_id AS VARCHAR) END AS a FROM events"""
+)
 def q_json_parse(spark, sf_dir):
-    rows = spark.createDataFrame(REPLIES, "id int, reply string").select("id", C.json_object(F.col("reply")).alias("j"))
-    return rows.select("id", F.col("j").isNotNull().alias("parsed"), F.expr("try_cast(try_variant_get(j, '$.a', 'int') AS string)").alias("a"))
+    """Replies of a model, made from events: an object, one inside prose, an array, prose, a broken object, and one over two lines."""
+    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    made = [
+        F.concat(F.lit('{"a": '), n, F.lit("}")), F.concat(F.lit('Sure! {"a": {"b": '), n, F.lit("}} done")), F.concat(F.lit("["), n, F.lit("]")), F.concat(F.lit("no json "), n),
+        F.concat(F.lit("{broken "), n), F.concat(F.lit('Here:\n{\n "a": '), u, F.lit("\n}")),
+    ]
+    rows = views.table(spark, sf_dir, "events").select("event_id", C.json_object(F.get(F.array(*made), (F.col("event_id") % 6).cast("int"))).alias("j"))
+    return rows.select("event_id", F.col("j").isNotNull().alias("parsed"), F.expr("try_cast(try_variant_get(j, '$.a', 'int') AS string)").alias("a"))
 
 
 @query(
