@@ -18,12 +18,17 @@ def _made(factory: Callable):
     return _MADE[factory]
 
 
-def embedded(text: Column, factory: Callable) -> Column:
-    """Vectors of a text column; factory() gives a function from a list of texts to their vectors."""
+def embedded(text: Column, factory: Callable, tolerant: bool = False) -> Column:
+    """Vectors of a text column; factory() gives a function from a list of texts to their vectors. A `tolerant` one gives nulls where the model fails."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(_made(factory)([t or "" for t in texts]))
+        try:
+            return pd.Series([*_made(factory)([t or "" for t in texts])], dtype=object)
+        except Exception:  # a model may fail for any reason; what follows does without vectors
+            if not tolerant:
+                raise
+            return pd.Series([None] * len(texts), dtype=object)
 
     return run(text)
 

@@ -83,7 +83,7 @@ def q_crop_track(spark, sf_dir):
     cuts = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.lit(60_000).alias("length_ms"), (F.col("l_partkey") % 60_000).alias("cut_ms"))
     x = F.when((F.col("media_id") + F.col("shot")) % 5 != 0, (F.col("media_id") * 7 + F.col("shot") * 13) % 20 / 20.0)
     track = people.crop_track(framing.shots(cuts).withColumn("x", x))
-    return track.select("media_id", F.size("track").alias("n"), F.round(people.average_x(F.col("track")), 6).alias("average_x"), people.step_expression(F.col("track"), F.lit(1000)).alias("steps"))
+    return track.select("media_id", F.size("track").alias("n"), F.round(people.average_x(F.col("track")) + 1e-9, 6).alias("average_x"), people.step_expression(F.col("track"), F.lit(1000)).alias("steps"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS suffix FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'com', 'example', 'test', 'org', 'htm', 'php') AND length(html) > 0".replace("\\\\", "\\"))

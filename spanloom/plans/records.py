@@ -198,9 +198,13 @@ def q_search(spark, sf_dir):
     SELECT * FROM s UNION ALL SELECT job, 'event', seq, kind, value FROM l WHERE stop IS NULL OR seq <= stop"""
 )
 def q_snapshot_tail(spark, sf_dir):
-    """One who has seen seven events of ten of each job, then its tail up to a purchase."""
-    e = _events(spark, sf_dir).drop("ts")
-    return live.snapshot_then_tail(e.where("seq % 10 < 7"), e, ("purchase",))
+    """One who has seen seven events of ten of each job, then its tail, as it comes, up to a purchase."""
+    history = _events(spark, sf_dir).drop("ts").where("seq % 10 < 7")
+    stream = live.event_stream(spark, sf_dir, views.table(spark, sf_dir, "events").schema)
+    events = stream.select(F.col("user_id").alias("job"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), "value")
+    tail = live.drained(live.tail_stream(history, events, ("purchase",)), stateful=True)
+    part = lambda rows, name: rows.select("job", F.lit(name).alias("part"), "seq", "kind", "value")
+    return intervals.united(part(live.snapshot(history, ("purchase",)), "snapshot"), part(tail, "event"))
 
 
 @query()
@@ -234,7 +238,7 @@ def q_window_stream(spark, sf_dir):
 
     folder = store.scratch(spark, "segments")
     rows.write.parquet(folder)
-    return live.drained(live.window_stream(spark.readStream.schema(rows.schema).parquet(folder)))
+    return live.drained(live.window_stream(spark.readStream.schema(rows.schema).parquet(folder)), stateful=True)
 
 
 @query()

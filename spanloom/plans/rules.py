@@ -37,7 +37,7 @@ SQL["q_crop_track"] = f"""WITH RECURSIVE {SHOTS_SQL}, seen AS (SELECT *, CASE WH
    UNION ALL SELECT media_id, n, CASE WHEN len(t) > 0 AND abs(x - t[-1].x) < 0.02 THEN list_append(t[1:len(t) - 1], {{'s': t[-1].s, 'e': end_ms, 'x': t[-1].x}}) ELSE list_append(t, {{'s': start_ms, 'e': end_ms, 'x': x}}) END
    FROM (SELECT w.media_id, w.n + 1 AS n, w.t, v.start_ms, v.end_ms, coalesce(v.x, w.t[-1].x, 0.5) AS x FROM walk w JOIN seen v ON v.media_id = w.media_id AND v.shot = w.n)),
  track AS (SELECT media_id, arg_max(t, n) AS t FROM walk GROUP BY media_id)
- SELECT media_id, CAST(len(t) AS INTEGER) AS n, round(list_sum(list_transform(t, lambda p: (p.e - p.s) * p.x)) / list_sum(list_transform(t, lambda p: p.e - p.s)), 6) AS average_x,
+ SELECT media_id, CAST(len(t) AS INTEGER) AS n, round(list_sum(list_transform(t, lambda p: (p.e - p.s) * p.x)) / list_sum(list_transform(t, lambda p: p.e - p.s)) + 1e-9, 6) AS average_x,
    array_to_string(list_transform(range(2, len(t) + 1), lambda i: 'if(lt(t,' || printf('%.3f', t[i].s / 1000) || '),' || CAST(floor(t[i - 1].x * 1000) AS BIGINT) || ','), '') || CAST(floor(t[-1].x * 1000) AS BIGINT) || repeat(')', len(t) - 1) AS steps FROM track"""
 
 #: Each span cut by the exclusions that touch it, in order.

@@ -192,7 +192,7 @@ def test_window_stream_equals_the_batch_form(spark, tmp_path):
     for k in range(0, len(rows), 9):  # files come one after another, as a medium is decoded
         spark.createDataFrame(rows[k : k + 9], schema).coalesce(1).write.mode("append").parquet(folder)
         stream = live.window_stream(spark.readStream.schema(schema).parquet(folder))
-        live.drained(stream, folder=out)
+        live.drained(stream, folder=out, stateful=True)
     got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/rows").collect())
     batch = chunks.windows(spark.createDataFrame([r[:5] + (1,) for r in rows if not r[5]], "media_id long, seg_id long, text string, start_ms long, end_ms long, n_words int"))
     want = sorted((r["media_id"], r["w_index"], r["text"], r["start_ms"], r["end_ms"], r["first_seg"], r["last_seg"]) for r in batch.collect())
