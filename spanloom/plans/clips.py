@@ -203,6 +203,17 @@ def q_store_roundtrip(spark, sf_dir):
     return store.load(spark, folder)
 
 
+@query(f"WITH {SENT} SELECT media_id, sent_id, CASE WHEN media_id % 3 = 0 THEN 'again' ELSE text END AS text, start_ms, end_ms, n_words FROM tx_sentences WHERE media_id % 5 <> 0 AND (media_id % 3 <> 0 OR sent_id < 4)")
+def q_store_changes(spark, sf_dir):
+    """All sentences saved, a third of the media saved again with less, a fifth removed, runs merged, and read back."""
+    folder, s = store.scratch(spark, "sentences"), store.written(_sentences(spark, sf_dir), "sentences")
+    store.save(s, folder, "sent_id")
+    store.save(s.where("media_id % 3 = 0 AND sent_id < 4").withColumn("text", F.lit("again")), folder, "sent_id")
+    store.remove_everywhere(spark, [folder], s.select("media_id").where("media_id % 5 = 0"))
+    store.compact(spark, folder)
+    return store.load(spark, folder)
+
+
 def _letters():
     return lambda texts: [[float(t.count(c)) for c in "aei"] + [float(len(t))] for t in texts]
 

@@ -1,4 +1,8 @@
-"""Segment and window tables kept between jobs, uploads, and typed settings."""
+"""Segment and window tables kept between jobs, uploads, and typed settings.
+
+A store is a log of runs: each save or removal adds a run of rows and of marks for the media it replaces, and a manifest that names the runs in order, made
+only if it isn't there. A medium's rows are those of the last run that marks it. Runs are merged when they become many.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,47 +37,112 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def _part():
-    return F.pmod(F.xxhash64(F.col("media_id").cast("long")), F.lit(64)).cast("int")
+MOST_RUNS = 16  # runs that a reader meets before they are merged into one
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    fs, path = _fs(spark, f"{folder}/manifest")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()) if fs.exists(path) else []
 
 
-def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+def _live(spark: SparkSession, folder: str) -> tuple[int, list[str]]:
+    """The newest whole manifest: its number and its runs, oldest first. One that is still being written, or was cut off, has no last line yet and is passed over."""
+    for version in reversed(_versions(spark, folder)):
+        lines = [r["value"] for r in spark.read.text(f"{folder}/manifest/{version:012d}").collect()]  # a line a run
+        if lines and lines[-1] == "end":
+            return version, lines[:-1]
+    return 0, []
+
+
+def _publish(spark: SparkSession, folder: str, version: int, runs: list[str]) -> bool:
+    """Make `runs` the newest manifest; false if another writer was first. The file is created only if there is none, so of two writers one wins."""
+    fs, path = _fs(spark, f"{folder}/manifest/{version:012d}")
     try:
-        return spark.read.parquet(folder)
-    except AnalysisException:  # nothing was saved yet
-        return None
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    out.write(bytearray(("\n".join([*runs, "end"]) + "\n").encode()))
+    out.close()
+    return True
 
 
-def _replace(spark: SparkSession, folder: str, media: DataFrame, rows: DataFrame | None) -> None:
-    """The parts that hold `media` without their old rows and with the new ones. A part holds the media of one hash, so other media of a
-    touched part are written again; parts that aren't touched stay as they are."""
-    old = _stored(spark, folder)
-    if old is not None:
-        parts = [r["part"] for r in media.select(_part().alias("part")).distinct().collect()]  # 64 at most
-        kept = old.where(F.col("part").isin(parts)).join(media, "media_id", "left_anti")
-        rows = kept if rows is None else kept.unionByName(rows, allowMissingColumns=True)
-    if rows is None:
-        return
-    moved = scratch(spark, "store")  # files that are read can't be overwritten
-    rows.write.parquet(moved)
-    spark.read.parquet(moved).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+def _commit(spark: SparkSession, folder: str, run: str) -> None:
+    """Add a run behind all others. Whoever comes second reads the manifest of the first and tries the next number."""
+    while True:
+        version, runs = _live(spark, folder)
+        if _publish(spark, folder, max([version, *_versions(spark, folder)]) + 1, [*runs, run]):
+            return
+
+
+def _marked(media: DataFrame, folder: str, run: str) -> None:
+    media.select("media_id").distinct().write.parquet(f"{folder}/marks/run={run}")
 
 
 def save(rows: DataFrame, folder: str, index: str, batch: int = BATCH) -> None:
-    """Rows of media in batches by their index; media that are saved again replace what was there, other media stay."""
-    numbered = rows.withColumn("batch", F.floor(F.col(index) / batch)).withColumn("part", _part())
-    _replace(rows.sparkSession, folder, rows.select("media_id").distinct(), numbered)
+    """Rows of media in batches by their index, as a new run: media that are saved again replace what was there, other media stay, and only the rows that are
+    saved are written. A reader sees a store without the run or with all of it."""
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    numbered = rows.withColumn("batch", F.floor(F.col(index) / batch)).sortWithinPartitions("media_id", index)
+    numbered.write.parquet(f"{folder}/rows/run={run}")
+    _marked(spark.read.parquet(f"{folder}/rows/run={run}"), folder, run)
+    _commit(spark, folder, run)
+    if len(_live(spark, folder)[1]) > MOST_RUNS:
+        compact(spark, folder)
 
 
 def remove(spark: SparkSession, folder: str, media: DataFrame) -> None:
-    """Take media out of a store. A part keeps a mark, so that one which loses its last medium is written at all."""
-    old = _stored(spark, folder)
-    if old is None:
+    """Take media (media_id) out of a store: a run of marks without rows."""
+    if not _live(spark, folder)[1]:
         return
-    gone = media.select("media_id").distinct()
-    marks = old.join(gone, "media_id", "left_semi").select("media_id").distinct().withColumn("part", _part()).withColumn("removed", F.lit(True))
-    marks = marks.groupBy("part").agg(F.min("media_id").alias("media_id"), F.first("removed").alias("removed"))  # a part is never empty
-    _replace(spark, folder, gone, marks)
+    run = uuid.uuid4().hex
+    _marked(media, folder, run)
+    _commit(spark, folder, run)
+
+
+def remove_everywhere(spark: SparkSession, folders: Sequence[str], media: DataFrame) -> None:
+    """Take media out of every store that holds something made of them. Stores without them are left as they are; what is already gone stays gone, so a call
+    that was cut off is made again."""
+    gone = written(media.select("media_id").distinct(), "gone")
+    for folder in folders:
+        remove(spark, folder, gone)
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Merge all runs into one. If another writer commits meanwhile, its run stays behind the merged one. Files of merged runs stay for readers that began before."""
+    _, before = _live(spark, folder)
+    run = uuid.uuid4().hex
+    visible = _visible(spark, folder, before)
+    if visible is None:
+        return
+    visible.drop("run").write.parquet(f"{folder}/rows/run={run}")
+    _marked(spark.read.parquet(f"{folder}/rows/run={run}"), folder, run)
+    while True:
+        version, runs = _live(spark, folder)
+        if runs[: len(before)] != before:
+            return  # another writer merged them
+        if _publish(spark, folder, max([version, *_versions(spark, folder)]) + 1, [run, *runs[len(before) :]]):
+            return
+
+
+def _visible(spark: SparkSession, folder: str, runs: list[str], media: Sequence | None = None) -> DataFrame | None:
+    """Rows whose run is the last that marks their medium."""
+    fs, _ = _fs(spark, folder)
+    held = [r for r in runs if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows/run={r}"))]
+    if not held:
+        return None
+    read = lambda kind, names: spark.read.option("basePath", f"{folder}/{kind}").option("mergeSchema", "true").parquet(*(f"{folder}/{kind}/run={r}" for r in names))
+    place = F.array_position(F.array(*map(F.lit, runs)), F.col("run").cast("string"))  # runs are few: they are merged
+    wanted = (lambda df: df.where(F.col("media_id").isin(*media))) if media is not None else (lambda df: df)
+    last = wanted(read("marks", runs)).groupBy("media_id").agg(F.max_by("run", place).cast("string").alias("_last"))
+    rows = wanted(read("rows", held)).withColumn("run", F.col("run").cast("string"))
+    return rows.join(last, "media_id").where("run = _last").drop("_last")
 
 
 def drop(spark: SparkSession, folder: str) -> bool:
@@ -84,13 +153,10 @@ def drop(spark: SparkSession, folder: str) -> bool:
 
 def load(spark: SparkSession, folder: str, media: Sequence[int] | None = None) -> DataFrame:
     """The saved rows, of some media if named."""
-    rows = spark.read.option("mergeSchema", "true").parquet(folder)
-    if "removed" in rows.columns:
-        rows = rows.where("removed IS NULL").drop("removed")
-    if media is not None:
-        named = F.array(*[F.lit(m).cast("long") for m in media])
-        rows = rows.where(F.col("media_id").isin(*media) & F.exists(named, lambda m: F.pmod(F.xxhash64(m), F.lit(64)).cast("int") == F.col("part")))
-    return rows.drop("part", "batch")
+    rows = _visible(spark, folder, _live(spark, folder)[1], media)
+    if rows is None:
+        raise FileNotFoundError(f"nothing was saved in {folder}")
+    return rows.drop("run", "batch")
 
 
 def save_jobs(jobs: DataFrame, folder: str) -> None:
