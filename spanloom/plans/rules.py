@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.plans.queries import _any, _sql_time, ASK_SQL, BRAND_SQL, GRID, KNN, PHRASES_SQL, SENT, SLOTS_SQL, SQL, STRONG, TX, WEAK  # noqa: F401
+from spanloom.operators.chunks import ACTIVE, ASS_HEADER, IDLE
+from spanloom.plans.queries import _any, ASK_SQL, BRAND_SQL, GRID, KNN, PHRASES_SQL, SENT, SLOTS_SQL, SQL, STRONG, TX, WEAK, WINDOWS_SQL
 
 #: Greedy suppression: candidates in falling score, one a step; `kept` holds what stays.
 WALK_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, id) AS n FROM cand),
@@ -101,3 +102,25 @@ SQL["q_caption_wrap"] = r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(stri
  steps AS (SELECT doc_id, list(CAST(nx AS INTEGER) ORDER BY i) AS nx FROM x GROUP BY doc_id),
  hops AS (SELECT doc_id, 0 AS line, 0 AS lo, nx[1] AS hi FROM steps UNION ALL SELECT doc_id, line + 1, hi, nx[hi + 1] FROM hops JOIN steps USING (doc_id) WHERE hi < len(nx))
  SELECT doc_id, line, lo AS first, hi - lo AS n FROM hops"""
+
+#: Turns of conversations as segments of twelve seconds, each medium closed at its end.
+SQL["q_window_stream"] = f"""WITH RECURSIVE tx_sentences AS (SELECT conv_id AS media_id, turn AS sent_id, coalesce(text, '') AS text, turn * 12000 AS start_ms, turn * 12000 + 11000 AS end_ms, 1 AS n_words FROM conversations WHERE conv_id IS NOT NULL), {WINDOWS_SQL}
+ SELECT w.media_id, number AS w_index, string_agg(text, ' ' ORDER BY seg.i) AS text, min_by(seg.s, seg.i) AS start_ms, max_by(seg.e, seg.i) AS end_ms, min_by(sent_id, seg.i) AS first_seg, max_by(sent_id, seg.i) AS last_seg
+ FROM (SELECT * FROM walk WHERE given) w JOIN seg ON seg.media_id = w.media_id AND seg.i BETWEEN w.lo AND w.hi GROUP BY w.media_id, number"""
+
+
+def _ass(c: str) -> str:
+    return f"printf('%d:%02d:%02d.%02d', {c} // 360000, {c} // 6000 % 60, {c} // 100 % 60, {c} % 100)"
+
+
+_DOCUMENT = r"""WITH RECURSIVE @words, @phrases, @slots, n AS (SELECT media_id, greatest(100, least(max(end_ms), 120000)) AS n FROM tx_words GROUP BY media_id),
+ shown AS (SELECT *, CAST(round_even(b / 10, 0) AS BIGINT) AS p, CAST(round_even(e / 10, 0) AS BIGINT) AS q FROM (SELECT media_id, phrase, text, active, is_first, is_last, b, greatest(b + 40, least(end_ms, n)) AS e
+   FROM (SELECT s.*, n, greatest(0, least(start_ms, n)) AS b FROM slots s JOIN n USING (media_id)) WHERE b < n)),
+ lines AS (SELECT media_id, b, phrase, e, 'Dialogue: 0,' || @from || ',' || @to || ',Pop,,0,0,0,,' || CASE WHEN is_first OR is_last THEN printf('{\fad(%d,%d)}', CASE WHEN is_first THEN 90 ELSE 0 END, CASE WHEN is_last THEN 90 ELSE 0 END) ELSE '' END ||
+   array_to_string(list_transform(list_transform(string_split(text, ' '), lambda w: replace(replace(replace(w, '\', '\\'), '{', '\{'), '}', '\}')), lambda w, i: CASE WHEN i - 1 = active THEN '{\c@active}' || w || '{\c@idle}' ELSE w END), ' ') AS line FROM shown),
+ docs AS (SELECT n.media_id, '@header' || coalesce(string_agg(line || chr(10), '' ORDER BY b, phrase, e, line), '') AS d FROM n LEFT JOIN lines ON lines.media_id = n.media_id GROUP BY n.media_id)
+ SELECT media_id, CAST(length(d) AS INTEGER) AS n_chars, sha256(d) AS digest FROM docs"""
+_HEADER = ASS_HEADER.format(width=1080, height=1920, font="Arial Black", size=92, outline=8, margin_h=97, margin_v=307)
+for _name, _text in (("words", TX), ("phrases", PHRASES_SQL), ("slots", SLOTS_SQL), ("from", _ass("p")), ("to", _ass("q")), ("active", ACTIVE), ("idle", IDLE), ("header", _HEADER)):
+    _DOCUMENT = _DOCUMENT.replace(f"@{_name}", _text)
+SQL["q_caption_document"] = _DOCUMENT

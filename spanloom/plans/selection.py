@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import intervals, retrieval
+from spanloom.functions import columns as C
+from spanloom.operators import framing, intervals, narrative, retrieval, scoring
 from spanloom.plans.queries import _grid, _sentences, GRID, KNN, SENT, TX, query
 from spanloom.plans.rules import SPREAD_SQL, WALK_SQL
 from spanloom.sources import views
@@ -60,3 +61,66 @@ def q_clip_times(spark, sf_dir):
     start = F.col("t_id") * 20_000 + F.col("p") % 5000
     spans = t.select("media_id", start.alias("start_ms"), (start + 4000 + F.col("q") % 9000).alias("end_ms"))
     return intervals.clip_times(t.select("media_id", "t_id", (F.col("p") * 37 % 170_000).alias("t_ms")), spans)
+
+
+@query(
+    r"""SELECT doc_id, substring(regexp_replace(trim(trim(text, ' '), '"'' '), '\s+', ' ', 'g'), 1, 80) AS title, CASE WHEN n_chars // 3600 > 0 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS length,
+    array_to_string(list_filter(list_transform(string_split_regex(text, '[,;]'), lambda t: lower(regexp_replace(trim(t, ' '), '^#+', ''))), lambda t: t <> '')[1:5], '|') AS tags FROM (SELECT doc_id, n_chars, coalesce(text, '') AS text FROM documents)"""
+)
+def q_titles(spark, sf_dir):
+    """A document's text as a model might give a title and tags, and its length as a time."""
+    d = views.table(spark, sf_dir, "documents")
+    return d.select("doc_id", C.clean_title(F.col("text")).alias("title"), C.short_time(F.col("n_chars")).alias("length"), F.array_join(C.tags(F.col("text")), "|").alias("tags"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type || '-' || user_id WHEN 2 THEN event_type || user_id WHEN 3 THEN '{"a": ' || user_id || '}' ELSE '' END AS message,
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS text FROM events"""
+)
+def q_messages(spark, sf_dir):
+    """Contents of a model's message, made from events: a JSON string, two kinds of blocks, an object, and none."""
+    e, kind, user = views.table(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id").cast("string")
+    block = lambda t: F.concat(F.lit('{"type": "text", "text": "'), t, F.lit('"}'))
+    made = [
+        F.concat(F.lit('"'), kind, F.lit('"')), F.concat(F.lit("["), block(F.concat(kind, F.lit("-"))), F.lit(", "), block(user), F.lit("]")),
+        F.concat(F.lit('["'), kind, F.lit('", "'), user, F.lit('"]')), F.concat(F.lit('{"a": '), user, F.lit("}")), F.lit(None).cast("string"),
+    ]
+    content = F.get(F.array(*made), (F.col("event_id") % 5).cast("int"))
+    return e.select("event_id", scoring.message_text(content).alias("message"), scoring.as_text(F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("  "), kind, F.lit(" ")))).alias("text"))
+
+
+@query(
+    """SELECT event_id AS id, CASE WHEN asked AND least(e, t) - s >= 1000 THEN greatest(s, least(e, t) - 20000) END AS s, CASE WHEN asked AND least(e, t) - s >= 1000 THEN least(e, t) END AS e
+    FROM (SELECT event_id, event_id % 4 <> 0 AS asked, least(a, b) * 3000 AS s, greatest(a, b) * 3000 + 2500 AS e, event_id % 31 * 1000 AS t
+      FROM (SELECT event_id, greatest(0, least(9, event_id % 13 - 2)) AS a, greatest(0, least(9, event_id % 7)) AS b FROM events))"""
+)
+def q_model_setup(spark, sf_dir):
+    """Ten lines, of which an event names two as the setup of what begins at its own time; a quarter names none."""
+    e = views.table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    lines = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 3000).cast("long").alias("s"), (i * 3000 + 2500).cast("long").alias("e")))
+    asked = lambda c: F.when(n % 4 != 0, c.cast("string"))
+    setup = narrative.model_setup(lines, asked(n % 13 - 2), asked(n % 7), (n % 31 * 1000).cast("long"))
+    return e.select(n.alias("id"), setup.alias("m")).select("id", "m.s", "m.e")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS media_id, l_linenumber AS shot, min(l_partkey) % 8000 + 500 AS n, min(l_suppkey) AS k FROM lineitem GROUP BY ALL)
+    SELECT media_id, shot, shot * 10000 AS start_ms, shot * 10000 + n AS end_ms, 0.5::DOUBLE AS x FROM t WHERE n < 4000 OR k % 3 = 0
+    UNION ALL SELECT media_id, shot, shot * 10000, shot * 10000 + n // 2, 0.25 FROM t WHERE n >= 4000 AND k % 3 <> 0 UNION ALL SELECT media_id, shot, shot * 10000 + n // 2, shot * 10000 + n, 0.75 FROM t WHERE n >= 4000 AND k % 3 <> 0"""
+)
+def q_refined_shots(spark, sf_dir):
+    """Line items as shots; in two of three two people speak, one in each half."""
+    t = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("shot")).agg((F.min("l_partkey") % 8000 + 500).alias("n"), F.min("l_suppkey").alias("k"))
+    start, half = F.col("shot") * 10_000, F.floor(F.col("n") / 2)
+    turn = lambda s, e, x: F.struct(s.cast("long").alias("start_ms"), e.cast("long").alias("end_ms"), F.lit(x).alias("x"))
+    speakers = t.where("k % 3 != 0").select("media_id", "shot", F.inline(F.array(turn(F.lit(0), half, 0.25), turn(half, F.col("n"), 0.75))))
+    shots = t.select("media_id", "shot", start.cast("long").alias("start_ms"), (start + F.col("n")).cast("long").alias("end_ms"), F.lit(0.5).alias("x"))
+    return framing.refined_shots(shots, speakers)
+
+
+@query("SELECT p_partkey AS id, round(greatest(0.05, least(1.0, CAST(p_size * 20 + 50 AS DOUBLE) * 1080 / 1920 / (p_partkey % 1900 + 20))), 9) AS fraction FROM part")
+def q_window_fraction(spark, sf_dir):
+    """Parts as frames of many shapes: the share of the width that an upright crop takes."""
+    p = views.table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.round(framing.window_fraction(F.col("p_partkey") % 1900 + 20, (F.col("p_size") * 20 + 50).cast("double"), 1080, 1920), 9).alias("fraction"))
