@@ -124,3 +124,36 @@ _HEADER = ASS_HEADER.format(width=1080, height=1920, font="Arial Black", size=92
 for _name, _text in (("words", TX), ("phrases", PHRASES_SQL), ("slots", SLOTS_SQL), ("from", _ass("p")), ("to", _ass("q")), ("active", ACTIVE), ("idle", IDLE), ("header", _HEADER)):
     _DOCUMENT = _DOCUMENT.replace(f"@{_name}", _text)
 SQL["q_caption_document"] = _DOCUMENT
+
+#: Faces in order of time and place; each joins the first person near it and moves that person's place.
+SQL["q_people"] = """WITH RECURSIVE e AS (SELECT vec_id AS shot, unnest(range(len(embedding))) AS f, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS c FROM embeddings),
+ b AS (SELECT shot, f * 200 AS t, 0.15::DOUBLE + 0.3::DOUBLE * k + round(c % 1 * 0.05::DOUBLE, 4) AS x, round(abs(sin(f * 200 * (k + 1))) + 0.2::DOUBLE, 6) AS score FROM e, range(3) r(k)),
+ faces AS (SELECT shot, t, x + 0.1::DOUBLE / 2 AS c, row_number() OVER (PARTITION BY shot ORDER BY t, x) AS i FROM b WHERE score >= 0.5),
+ lists AS (SELECT shot, list({'t': t, 'c': c} ORDER BY i) AS l FROM faces GROUP BY shot),
+ walk AS (SELECT shot, 0 AS i, CAST([] AS STRUCT(x DOUBLE, n BIGINT, t BIGINT)[]) AS p FROM lists
+   UNION ALL SELECT shot, i + 1, CASE WHEN hit = 0 THEN list_append(p, {'x': c, 'n': CAST(1 AS BIGINT), 't': CAST(t AS BIGINT)})
+     ELSE list_concat(p[1:hit - 1], [{'x': (p[hit].x * (n - 1) + c) / n, 'n': n, 't': CAST(t AS BIGINT)}], p[hit + 1:]) END
+   FROM (SELECT *, CASE WHEN hit > 0 THEN p[hit].n + CASE WHEN p[hit].t = t THEN 0 ELSE 1 END END AS n FROM (SELECT shot, i, p, f.t AS t, f.c AS c, coalesce(list_position(list_transform(p, lambda q: abs(q.x - f.c) <= 0.08), true), 0) AS hit
+     FROM (SELECT w.shot, w.i, w.p, l[w.i + 1] AS f FROM walk w JOIN lists USING (shot) WHERE w.i < len(l))))),
+ final AS (SELECT shot, arg_max(p, i) AS p FROM walk GROUP BY shot),
+ seen AS (SELECT shot, unnest(p) AS p FROM final)
+ SELECT shot, CAST(row_number() OVER (PARTITION BY shot ORDER BY p.x, p.n) - 1 AS INTEGER) AS person, round(p.x, 6) AS x, round(p.n / 64, 6) AS share FROM seen WHERE p.n / 64 >= 0.3"""
+
+#: The clear speaker of each window; windows in a row with one speaker are a turn, and turns cover the shot.
+SQL["q_speaker_track"] = """WITH e AS (SELECT vec_id AS shot, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS score FROM embeddings),
+ r AS (SELECT shot, i // 2 AS win, i % 2 AS person, score, row_number() OVER w AS rank, lead(score) OVER w AS nx FROM e WINDOW w AS (PARTITION BY shot, i // 2 ORDER BY score DESC, i % 2)),
+ clear AS (SELECT shot, win, CASE WHEN person = 0 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS x FROM r WHERE rank = 1 AND nx IS NOT NULL AND score > 0 AND score - greatest(nx, 0) >= 0.25::DOUBLE * greatest(abs(nx), 1e-6)),
+ o AS (SELECT *, coalesce(CAST(x <> lag(x) OVER (PARTITION BY shot ORDER BY win) AS INTEGER), 1) AS fresh FROM clear),
+ t AS (SELECT shot, k, min(win) * 2000 AS s, any_value(x) AS x FROM (SELECT *, sum(fresh) OVER (PARTITION BY shot ORDER BY win ROWS UNBOUNDED PRECEDING) AS k FROM o) GROUP BY shot, k)
+ SELECT shot, CAST(row_number() OVER w - 1 AS INTEGER) AS turn, CAST(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE s END AS BIGINT) AS start_ms, CAST(coalesce(lead(s) OVER w, 64000) AS BIGINT) AS end_ms, x FROM t WINDOW w AS (PARTITION BY shot ORDER BY k)"""
+
+#: Columns rated by how much they change downwards and from frame to frame, smoothed over three places; then the best window as in q_crop_window.
+SQL["q_subject"] = """WITH p AS (SELECT vec_id // 16 AS clip, vec_id // 4 % 4 AS sample, vec_id % 4 AS y, unnest(range(64)) AS x, unnest(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))) AS v FROM embeddings),
+ d AS (SELECT clip, x, abs(v - lag(v) OVER (PARTITION BY clip, sample, x ORDER BY y)) AS d, abs(v - lag(v) OVER (PARTITION BY clip, y, x ORDER BY sample)) AS m FROM p),
+ s AS (SELECT clip, x, sum(d) AS d, coalesce(sum(m), 0) AS m FROM d WHERE clip IN (SELECT clip FROM p GROUP BY clip HAVING count(DISTINCT sample) >= 2) GROUP BY clip, x),
+ u AS (SELECT clip, x, 0.5 * (d - min(d) OVER c) / (max(d) OVER c - min(d) OVER c) + 0.5 * (m - min(m) OVER c) / (max(m) OVER c - min(m) OVER c) AS v FROM s WINDOW c AS (PARTITION BY clip)),
+ f AS (SELECT clip AS frame, x, coalesce(lag(v) OVER o, 0) / 3 + v / 3 + coalesce(lead(v) OVER o, 0) / 3 AS v FROM u WINDOW o AS (PARTITION BY clip ORDER BY x)),
+ l AS (SELECT frame, list(v ORDER BY x) AS v FROM f GROUP BY frame),
+ t AS (SELECT frame, i AS p, list_sum(v[i + 1:i + 19]) AS total FROM (SELECT frame, v, unnest(range(46)) AS i FROM l)),
+ r AS (SELECT frame, p, round(total - 0.12 * CASE WHEN s = 0 THEN 1 ELSE s END * abs((p + 9.5) / 64 - 0.5) * 2, 6) AS rated FROM (SELECT *, max(total) OVER (PARTITION BY frame) - min(total) OVER (PARTITION BY frame) AS s FROM t))
+ SELECT frame AS clip, round((arg_min(p, [-rated, p]) + 9.5) / 64, 6) AS centre FROM r GROUP BY frame"""
