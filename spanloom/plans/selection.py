@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
-from spanloom.operators import framing, intervals, narrative, retrieval, scoring
+from spanloom.operators import framing, intervals, narrative, retrieval, scoring, vector_index
 from spanloom.plans.queries import _grid, _sentences, GRID, KNN, SENT, TX, query
 from spanloom.plans.rules import SPREAD_SQL, WALK_SQL
-from spanloom.sources import views
+from spanloom.sources import store, views
 
 _SCORE = "(id * 7919 + media_id * 104729) % 1000"
 
@@ -124,3 +124,21 @@ def q_window_fraction(spark, sf_dir):
     """Parts as frames of many shapes: the share of the width that an upright crop takes."""
     p = views.table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("id"), F.round(framing.window_fraction(F.col("p_partkey") % 1900 + 20, (F.col("p_size") * 20 + 50).cast("double"), 1080, 1920), 9).alias("fraction"))
+
+
+@query()
+def q_index_search(spark, sf_dir):
+    """Eight nearest vectors by an index of which a probe reads the nearest lists; `q_knn` is the exact way."""
+    e = views.table(spark, sf_dir, "embeddings")
+    folder = store.scratch(spark, "index")
+    vector_index.build(e.where("vec_id >= 8").select(F.col("vec_id").alias("id"), "embedding"), folder)
+    return vector_index.search(spark, folder, e.where("vec_id < 8").select(F.col("vec_id").alias("probe"), "embedding"))
+
+
+@query("SELECT CAST(least(8, (SELECT count(*) FROM embeddings WHERE vec_id >= 8)) * (SELECT count(*) FROM embeddings WHERE vec_id < 8) AS BIGINT) AS wanted, true AS enough")
+def q_index_recall(spark, sf_dir):
+    """Of the exact hits, the index finds nine in ten at least."""
+    from spanloom.plans.queries import Q
+
+    found = vector_index.recall(q_index_search(spark, sf_dir), Q["q_knn"](spark, sf_dir))
+    return found.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
