@@ -17,18 +17,16 @@ def replayed(jobs: DataFrame, promise: Column | None = None, reveal: Column | No
     key = ["media_id", "id"]
     promise = C.contains_any(F.col("text"), L.PROMISE_MARKERS) if promise is None else promise
     reveal = C.contains_any(F.col("text"), L.REVEAL_MARKERS) if reveal is None else reveal
-    folder = store.scratch(jobs.sparkSession, "jobs")
-    jobs.where(F.size("clips") > 0).write.parquet(folder)  # a job's words are read several times
-    jobs = jobs.sparkSession.read.schema(jobs.schema).parquet(folder)
+    jobs = store.dealt(jobs.where(F.size("clips") > 0), "jobs", "id")  # a job's words are read several times
     said = jobs.select(F.col("id").alias("media_id"), F.explode("transcript").alias("t")).select("media_id", "t.start", "t.end", "t.text", "t.words")
     words = views.segment_words(said, whole=False)
-    sentences = transcript.sentences(words)
-    excluded = exclusions.excluded_spans(words, sponsor, housekeeping).select("media_id", "start_ms", "end_ms")
+    sentences = store.dealt(transcript.sentences(words), "sentences")
+    excluded = store.dealt(exclusions.excluded_spans(words, sponsor, housekeeping).select("media_id", "start_ms", "end_ms"), "excluded")
     ms = lambda c: F.round(c * 1000).cast("long")
     clips = jobs.select(F.col("id").alias("media_id"), F.posexplode("clips").alias("id", "c"))
     first, last = F.coalesce(F.get("c.spans", F.lit(0))["start"], "c.start"), F.coalesce(F.try_element_at("c.spans", F.lit(-1))["end"], "c.end")
     clips = clips.select("media_id", F.col("id").cast("long").alias("id"), ms(first).alias("start_ms"), ms(last).alias("end_ms"), F.col("c.hook").alias("hook"))
-    clips = intervals.mostly_outside(clips.join(words.select("media_id").distinct(), "media_id", "left_semi"), excluded, most_excluded)
+    clips = store.dealt(intervals.mostly_outside(clips.join(words.select("media_id").distinct(), "media_id", "left_semi"), excluded, most_excluded), "clips")
     segs = said.select("media_id", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), F.trim("text").alias("text")).where("text <> ''")
     around = scoring.lines_of(clips, segs)
     own = F.struct(*key).alias("media_id")
