@@ -8,7 +8,7 @@ from spanloom.plans import queries as plans
 from spanloom.sources import views
 
 BY_WORDS = ["q_subtract", "q_clamp_outside", "q_overlap_fraction", "q_mostly_outside", "q_excluded_seconds", "q_housekeeping", "q_brands", "q_prompt_lines", "q_captions", "q_asof_words", "q_snap", "q_setup"]
-BY_CLIPS = ["q_compose", "q_grade", "q_finish_thought"]
+BY_CLIPS = ["q_compose", "q_grade", "q_finish_thought", "q_windows_split"]
 
 
 def _shuffled(spark) -> int:
