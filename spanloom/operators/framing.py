@@ -88,11 +88,16 @@ def column_scores(pixels: DataFrame) -> DataFrame:
     # a value's place in both arrays is its column
     both = rows.select("clip", F.posexplode(F.arrays_zip(F.coalesce("detail", none).alias("d"), F.coalesce("motion", none).alias("m"))).alias("x", "v"))
     sums = both.groupBy("clip", "x").agg(F.coalesce(F.sum("v.d"), F.lit(0.0)).alias("detail"), F.coalesce(F.sum("v.m"), F.lit(0.0)).alias("motion"))
-    lists = width.join(sums, "clip", "left").where("x IS NULL OR x < width").groupBy("clip", "width", "samples").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "detail", "motion")))).alias("v"))
-    of = lambda name: F.transform("v", lambda x: x[name])
-    scores = F.zip_with(unit(of("detail")), unit(of("motion")), lambda a, b: 0.5 * a + 0.5 * b)
+    kept = width.join(sums, "clip", "left").where("x IS NULL OR x < width")
+    # each row is scaled before they are gathered: arrays scaled inside arrays are worked out anew for every place once a filter on them is pushed down
+    per = Window.partitionBy("clip")
+    low, high = lambda c: F.min(c).over(per), lambda c: F.max(c).over(per)
+    scaled = lambda c: F.when(high(c) > low(c), (F.col(c) - low(c)) / (high(c) - low(c))).otherwise(0.0)
+    kept = kept.select("clip", "width", "samples", "x", (0.5 * scaled("detail") + 0.5 * scaled("motion")).alias("score"))
+    scores = F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "score")))), lambda v: v["score"])
+    lists = kept.groupBy("clip", "width", "samples").agg(scores.alias("raw"))
     window = F.greatest(F.lit(3), F.floor(F.col("width") * SMOOTH_SHARE).cast("int"))
-    return lists.withColumn("raw", scores).select("clip", smooth(F.col("raw"), window).alias("scores"), "samples")
+    return lists.select("clip", smooth(F.col("raw"), window).alias("scores"), "samples")
 
 
 def subject_x(pixels: DataFrame, fraction: float) -> DataFrame:

@@ -63,3 +63,14 @@ def test_asks_need_no_other_words(spark):
     words = spark.createDataFrame([(1, i, w, i * 1000, i * 1000 + 900) for i, w in enumerate(text)], "media_id long, w_idx int, word string, start_ms long, end_ms long")
     got = [tuple(r) for r in exclusions.housekeeping_spans(words, ["hit the bell"], longest_ms=5000).orderBy("start_ms").collect()]
     assert got == [(1, 0, 5000), (1, 10_000, 15_000)]  # both later asks look back to the same word
+
+
+def test_subject_filter_stays_small(spark):
+    """The filter that posexplode brings along doesn't hold the scaling of whole arrays once a place."""
+    from spanloom.operators import framing
+
+    pixels = spark.range(64).select(F.floor(F.col("id") / 16).alias("clip"), (F.floor(F.col("id") / 4) % 4).alias("sample"), (F.col("id") % 4).alias("y"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.abs(F.sin(i * F.col("id")))).alias("row"))
+    rows = framing.subject_x(pixels, 0.3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("lambdafunction") for line in plan.splitlines() if "Filter (size" in line) < 30
+    assert rows.count() == 4
