@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import composing, transcript
+from spanloom.operators import composing, exclusions, transcript
 from spanloom.plans import queries as plans
 from spanloom.sources import views
 
@@ -74,3 +74,20 @@ def test_subject_filter_stays_small(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert max(line.count("lambdafunction") for line in plan.splitlines() if "Filter (size" in line) < 30
     assert rows.count() == 4
+
+
+def test_exclusions_deal_texts_once(spark, sf):
+    docs = views.table(spark, sf, "documents").count()
+    before = _shuffled(spark)
+    plans.Q["q_excluded"](spark, sf).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before <= docs  # sponsors and asks read the words of one shuffle
+
+
+def test_a_name_is_kept_by_its_mentions_and_tells_a_passage(spark):
+    texts = ["this is sponsored by acme today", "nothing", "acme again", "more on use code bolt", "at the end bolt"]
+    rows = [(1, i, t, i * 4000, i * 4000 + 3000, 3) for i, t in enumerate(texts)] + [(1, 99, "acme", 900_000, 901_000, 1), (2, 0, "acme and bolt", 0, 9000, 3)]
+    s = spark.createDataFrame(rows, "media_id long, sent_id long, text string, start_ms long, end_ms long, n_words int")
+    how = dict(templates=[r"by (\w+)", r"code (\w+)"], domain=r"(\w+)\.com")
+    assert {tuple(r) for r in exclusions.find_brands(s, ["sponsored"], **how).collect()} == {(1, "bolt")}  # mentions of acme lie too far apart
+    got = exclusions.sponsor_spans(s, ["sponsored"], ["again"], **how).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 19_000, 5, "bolt")]
