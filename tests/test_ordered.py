@@ -1,9 +1,11 @@
 """Chains over the rows of a medium: the same rows as a pass over whole lists, in the memory of a window or a phrase."""
 
+import itertools
 import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,39 @@ def test_ordered_keeps_keys_apart_and_in_order(spark):
         mine = [(r["n"], r["v"]) for r in got if r["k"] == k]
         assert mine == [(i + 1, 999 - i) for i in range(0, 1000, 2)] + [(-1, 499_500)]
     assert ordered(df.limit(0), "k", ["v"], ["v"], Chain, "n int, v long").count() == 0
+
+
+class _Counted(chunks.SlotPass):
+    """Holds what the pass holds at most."""
+
+    def step(self, batch, names):
+        out = super().step(batch, names)
+        assert self.rest is None or self.rest.num_rows <= self.most_words
+        return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_phrases_over_columns_equal_the_chain(seed):
+    rng, rows = random.Random(seed), []
+    for key in [None, 3, 4, 5, 6, 7]:
+        t = rng.randrange(0, 500)
+        for i in range(rng.choice([1, 2, 3, 5, 90, 700])):
+            n = rng.choice([30, 100, 300])
+            rows.append((key, t, t + n, i, rng.choice(["a", "wörd", "end.", "no!", "considerably", "x" * 30, "", "."])))
+            t += rng.choice([0, 20, 90, 400])
+    kinds = pa.schema([("k", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("w_idx", pa.int32()), ("word", pa.string())])
+    slots = pa.schema([("k", pa.int64()), ("phrase", pa.int64()), ("text", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("active", pa.int32()), ("is_first", pa.bool_()), ("is_last", pa.bool_())])
+    words = pa.schema([*kinds, ("phrase", pa.int64()), ("place", pa.int32()), ("phrase_end_ms", pa.int64())])
+    for new, plain, names in ((_Counted, chunks.SlotChain, slots), (chunks.PhrasePass, chunks.PhraseChain, words)):
+        want = []
+        for key, mine in itertools.groupby(rows, lambda r: r[0]):
+            chain = plain()
+            want += [(key, *x) for r in mine for x in chain.add(*r[1:])] + [(key, *x) for x in chain.close()]
+        for size in (1, 2, 7, 64, 10_000):  # batches cut phrases and keys anywhere
+            pass_, got = new(), []
+            for i in range(0, len(rows), size):
+                columns = zip(*rows[i : i + size])
+                got.append(pass_.step(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), names))
+            got.append(pass_.step(None, names))
+            assert [tuple(r.values()) for b in got if b is not None for r in b.to_pylist()] == want
+        assert new().step(None, names) is None
