@@ -15,7 +15,7 @@ _SCORE = "(id * 7919 + media_id * 104729) % 1000"
 
 @query(f"WITH RECURSIVE {SENT}, cand AS (SELECT media_id, sent_id AS id, start_ms AS s, end_ms + 6000 AS e, (sent_id * 7919 + media_id * 104729) % 1000 AS score FROM tx_sentences), {WALK_SQL.format(most=0.5)} SELECT * FROM stays")
 def q_suppress(spark, sf_dir):
-    """Every sentence, run on for six seconds, as a candidate; media of over 20 are settled in rounds."""
+    """Every sentence, run on for six seconds, as a candidate; media of over 20 are settled as they go by."""
     rows = _sentences(spark, sf_dir).select("media_id", F.col("sent_id").alias("id"), "start_ms", (F.col("end_ms") + 6000).alias("end_ms")).withColumn("score", F.expr(_SCORE))
     return retrieval.suppress(rows, "score", 0.5, fold=20)
 

@@ -85,3 +85,19 @@ def test_clip_times_equal_plain(spark, seed):
             edges += [(abs(t - s), len(edges), before), (abs(t - e), len(edges) + 1, before + e - s)]
             before += e - s
         assert got[m, i] == (inside, inside if inside is not None else min(edges)[2] if edges else 0)
+
+
+def test_suppression_writes_no_rounds_and_remembers_a_moment(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    df, before = spark.createDataFrame(_spans(0), SPANS), jobs()
+    retrieval.suppress(df, "score", 0.5, fold=1)
+    assert jobs() == before  # a plan alone: candidates aren't run again for sizes and rounds
+    rng, chain, held = random.Random(1), retrieval.Suppression(0.3, 5), 0
+    rows = [("a", i, i * 1000, i * 1000 + rng.choice([0, 1500, 2500]), float(rng.randrange(50))) for i in range(5000)]
+    got = []
+    for m, i, s, e, score in rows:
+        got += chain.add(-score, i, s, e)
+        held = max(held, len(chain.open))
+    got += chain.close()
+    assert {i for i, _ in got} == {i for _, _, i in plain_suppress(rows, 0.3)} and len(got) == len(set(got)) and held < 8
