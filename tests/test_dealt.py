@@ -91,3 +91,38 @@ def test_a_name_is_kept_by_its_mentions_and_tells_a_passage(spark):
     assert {tuple(r) for r in exclusions.find_brands(s, ["sponsored"], **how).collect()} == {(1, "bolt")}  # mentions of acme lie too far apart
     got = exclusions.sponsor_spans(s, ["sponsored"], ["again"], **how).collect()
     assert [tuple(r) for r in got] == [(1, 0, 19_000, 5, "bolt")]
+
+
+def test_splitting_deals_texts_once(spark, sf):
+    docs = views.table(spark, sf, "documents").count()
+    before = _shuffled(spark)
+    rows = plans.Q["q_chunk_split"](spark, sf)
+    rows.write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before <= docs  # neither words nor pieces are dealt again
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_against_a_plain_search(spark):
+    """Texts at the limit and beyond it, empty words, words without text, texts that go over batches, and a key of two columns."""
+    from spanloom.operators import chunks
+
+    said = lambda n: [("ab. ", "c,", "", "defg;", "h", "ijklmnop")[(i * i + n) % 6].strip() for i in range(n)]
+    texts = {(1, 0): said(3), (1, 1): said(200), (2, 0): ["x" * 20, "y" * 19], (2, 1): ["x" * 20, "y" * 20], (3, 7): said(25_000), (4, 0): ["z" * 300]}
+    rows = [(a, b, i, w, 7 * i - i % 3, 7 * i + 5 + 11 * (i % 4)) for (a, b), ws in texts.items() for i, w in enumerate(ws)] + [(1, 1, 70, None, -9, 9_999_999)]
+    words = spark.createDataFrame(rows, "media_id long, w_index int, w_idx int, word string, start_ms long, end_ms long").repartition(3)
+    got = {tuple(r) for r in chunks.split_long(words, 40, 9, ("media_id", "w_index")).collect()}
+
+    want = set()
+    for (a, b), ws in texts.items():
+        mine, at = [], 0
+        for i, w in enumerate(ws):
+            mine.append((at, at + len(w), i, 7 * i - i % 3, 7 * i + 5 + 11 * (i % 4)))
+            at += len(w) + 1
+        text, lo = " ".join(ws), 0
+        for k, (s, e) in enumerate(chunks.split_text(text, 40, 9) if len(text) > 40 else []):
+            while lo < len(mine) and mine[lo][1] <= s - 40:
+                lo += 1
+            held = [w for w in mine[lo : lo + 200] if w[0] < e and w[1] > s]
+            if held:
+                want.add((a, b, k, held[0][2], held[-1][2], min(w[3] for w in held), max(w[4] for w in held)))
+    assert got == want and len(want) > 1000 and {r[:2] for r in want} == {(1, 1), (2, 1), (3, 7), (4, 0)}
