@@ -164,3 +164,11 @@ def test_semantic_gaps_join_the_boundaries(spark, talk):
     assert {r["end_ms"] for r in transcript.topic_ends(gaps, one).collect()} == {talk[2][7]["end_ms"], talk[2][-1]["end_ms"]}
     spoken = spark.createDataFrame([(1, 0, "One thing.", 0, 900, 2), (1, 1, "Moving on, next.", 1000, 1900, 3), (1, 2, "It ends.", 2000, 2900, 2)], "media_id long, sent_id long, text string, start_ms long, end_ms long, n_words long")
     assert [r["by_marker"] for r in transcript.topic_gaps(spoken).orderBy("sent_id").collect()] == [True, False, False]  # the reference lists are the defaults
+
+
+def test_marked_lines_are_found_once_a_prompt(spark):
+    """Up to which line a prompt is marked is told by chance: told once, the marked lines come first."""
+    lines = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.struct(i.cast("long").alias("s"), i.cast("long").alias("e"), i.cast("int").alias("n"), F.lit("t").alias("text")))
+    got = spark.range(20).select(scoring.prompt_lines(lines, F.lit(0), F.floor(F.rand(7) * 60)).alias("p")).collect()
+    marks = ["".join(line[0] for line in r["p"].split("\n")) for r in got]
+    assert all(m == ">" * m.count(">") + " " * m.count(" ") and len(m) == 60 for m in marks) and len(set(marks)) > 5
