@@ -18,7 +18,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["q_ad_spans"])
+@pytest.mark.parametrize("name", ["q_ad_spans", "q_excluded"])
 def test_odd_letters_equal_sql(spark, tmp_path, name):
     pq.write_table(pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": [TEXTS[i % 4] for i in range(40)]}), f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
