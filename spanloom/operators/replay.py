@@ -29,10 +29,8 @@ def replayed(jobs: DataFrame, promise: Column | None = None, reveal: Column | No
     clips = store.dealt(intervals.mostly_outside(clips.join(words.select("media_id").distinct(), "media_id", "left_semi"), excluded, most_excluded), "clips")
     segs = said.select("media_id", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), F.trim("text").alias("text")).where("text <> ''")
     around = scoring.lines_of(clips, segs)
-    own = F.struct(*key).alias("media_id")
-    lines = around.select(own, F.explode("lines").alias("v")).select("media_id", "v.n", "v.text", F.col("v.s").alias("start_ms"), F.col("v.e").alias("end_ms"))
-    hooks = narrative.locate_hooks(around.select(own, "id", F.coalesce("hook", F.lit("")).alias("hook"), F.lit(None).cast("string").alias("stated")), lines)
-    hooks = scoring._written(hooks.select("media_id.media_id", "id", F.col("start_ms").alias("hook_s"), F.col("end_ms").alias("hook_e"), F.col("score").alias("sure")), "hooks")
+    hooks = narrative.locate_own(around.select(*key, F.coalesce("hook", F.lit("")).alias("hook"), F.lit(None).cast("string").alias("stated"), "lines"))
+    hooks = scoring._written(hooks.select(*key, F.col("start_ms").alias("hook_s"), F.col("end_ms").alias("hook_e"), F.col("score").alias("sure")), "hooks")
     at = narrative.anchored(F.col("start_ms"), F.col("end_ms"), F.col("hook_s"), F.col("hook_e"), F.col("sure"))
     spans = clips.join(hooks, key, "left").select(*key, at.alias("x")).select(*key, F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
     spans = narrative.complete_topics(spans, transcript.topic_ends(transcript.topic_gaps(sentences, openers, closers)))
